@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallow.llm.decontaminate import decontaminate
 from tallow.llm.jaccard_join import jaccard_components
 
 
@@ -11,13 +13,49 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate(docs, _read(spark, sf_dir, "benchmark"), window=13, max_percent=5)
+    ids = F.size("item_ids").cast("long")
+    return found.select(
+        "doc_id", "n_words", "n_hit", ids.alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op6_jaccard_join": op6_jaccard_join,
 }
 
 #: DuckDB equivalents, where SQL can express the query at this size.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": r"""
+WITH dw AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+iw AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT id, least(13, len(w)) AS l, list_aggregate(w[i : i + least(13, len(w)) - 1], 'string_agg', ' ') AS k
+  FROM (SELECT id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM iw WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT l FROM win),
+pos AS (
+  SELECT r, i, l, list_aggregate(w[i : i + l - 1], 'string_agg', ' ') AS k
+  FROM (SELECT r, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM dw, lens WHERE len(w) >= l)),
+hits AS (SELECT DISTINCT p.r, p.i, p.l, x.id FROM pos p JOIN win x ON p.l = x.l AND p.k = x.k),
+cover AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + l)) AS j FROM (SELECT DISTINCT r, i, l FROM hits)) GROUP BY r),
+met AS (SELECT r, count(DISTINCT id) AS n, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM hits GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN cover USING (r) LEFT JOIN met USING (r)
+""",
+}
