@@ -138,7 +138,6 @@ def _postings(k: int, pct: int, buckets: int):
 
 def _shared(table: pa.Table) -> pa.Table:
     """(fp, count) of a bucket: postings whose token another class has too."""
-    names = ["fp", "n"]
     schema = pa.schema([("fp", pa.int64()), ("n", pa.int64())])
     tok = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("tok")])
     own = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("own")])
@@ -151,8 +150,8 @@ def _shared(table: pa.Table) -> pa.Table:
     low, high = np.minimum.reduceat(own, first), np.maximum.reduceat(own, first)
     many = (low != high) | (low == 0)
     pick = np.repeat(many, width) & (own != 0)
-    fp, n = np.unique(own[pick], return_counts=True)
-    return pa.Table.from_arrays([pa.array(fp), pa.array(n.astype(np.int64))], names=names).cast(schema)
+    fp = own[pick]  # a row each: their number follows the postings, however many buckets there are
+    return pa.Table.from_arrays([pa.array(fp), pa.array(np.ones(len(fp), np.int64))], schema=schema)
 
 
 def _set_rows(k: int):
