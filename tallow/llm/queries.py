@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallow.llm.decontaminate import decontaminate
 from tallow.llm.jaccard_join import jaccard_components
+from tallow.llm.quality_rules import apply_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,12 +23,19 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = apply_rules(docs, _read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_quality_rules": op3_quality_rules,
     "op6_jaccard_join": op6_jaccard_join,
 }
 
