@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallow.llm.decontaminate import decontaminate
 from tallow.llm.jaccard_join import jaccard_components
+from tallow.llm.packing import pack
+from tallow.llm.pii import pseudonymise
 from tallow.llm.quality_rules import apply_rules
+from tallow.llm.token_counts import prefix_counts, tokens_of
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +37,30 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, key="tallow").select("doc_id", "text", "n_entities", F.array_join("kinds", ",").alias("kinds"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = prefix_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    n = tokens_of(F.col("prefix_tokens"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return found.select("doc_id", size.alias("n_bytes"), n.alias("n_tokens"), (n > 1024).alias("over_limit"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_quality_rules": op3_quality_rules,
+    "op5_pii": op5_pii,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_packing": op7_packing,
+    "op9_token_counts": op9_token_counts,
 }
 
 #: DuckDB equivalents, where SQL can express the query at this size.
