@@ -12,6 +12,8 @@ from tallow.llm.packing import pack
 from tallow.llm.pii import pseudonymise
 from tallow.llm.quality_rules import apply_rules
 from tallow.llm.token_counts import prefix_counts, tokens_of
+from tallow.llm.url_filter import judge_urls
+from tallow.llm.warc import read_archives, write_archives
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = write_archives(_read(spark, sf_dir, "pages"))
+    return read_archives(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = apply_rules(docs, _read(spark, sf_dir, "labels"))
@@ -46,6 +53,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
 
 
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found = prefix_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -56,10 +71,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_warc": op2_warc,
     "op3_quality_rules": op3_quality_rules,
     "op5_pii": op5_pii,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_packing": op7_packing,
+    "op8_url_filter": op8_url_filter,
     "op9_token_counts": op9_token_counts,
 }
 
@@ -89,5 +106,13 @@ met AS (SELECT r, count(DISTINCT id) AS n, string_agg(DISTINCT id, ',' ORDER BY
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN cover USING (r) LEFT JOIN met USING (r)
+""",
+    "op2_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h, min(page_id) OVER (PARTITION BY sha256(b)) AS f FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+       CASE WHEN n >= 100 AND f <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND f <> page_id THEN f END AS refers_to
+FROM d
 """,
 }
