@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallow.llm.decontaminate import decontaminate
+from tallow.llm.html_crf import extract
 from tallow.llm.jaccard_join import jaccard_components
 from tallow.llm.packing import pack
 from tallow.llm.pii import pseudonymise
+from tallow.llm.quality_classifier import score
 from tallow.llm.quality_rules import apply_rules
 from tallow.llm.token_counts import prefix_counts, tokens_of
 from tallow.llm.url_filter import judge_urls
@@ -44,6 +46,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), cutoff=0.3)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonymise(docs, key="tallow").select("doc_id", "text", "n_entities", F.array_join("kinds", ",").alias("kinds"))
@@ -69,15 +75,21 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", size.alias("n_bytes"), n.alias("n_tokens"), (n > 1024).alias("over_limit"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
     "op3_quality_rules": op3_quality_rules,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_pii": op5_pii,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_packing": op7_packing,
     "op8_url_filter": op8_url_filter,
     "op9_token_counts": op9_token_counts,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 #: DuckDB equivalents, where SQL can express the query at this size.
