@@ -1,5 +1,13 @@
-"""Registered queries and their SQL equivalents."""
+"""Registered queries and their SQL equivalents, put together from the modules of this package."""
+
+from __future__ import annotations
+
+from tallow.plans import indicator_queries
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+for module in (indicator_queries,):
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES
+
 FLAGSHIP = "candle_slice"
