@@ -20,8 +20,8 @@ URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"(?i)href\s*=\s*[\"']?(?:https?:)?//([^/?#\"'\s>]+)"
 #: Share of a rank that follows links, rounds, and rounds between two written tables.
 DAMPING, ROUNDS, WRITE_EVERY = 0.5, 12, 4
-#: A host is blocked if distrust exceeds trust by more: by itself, if more than half of its pages are blocked.
-THRESHOLD = 0.5 * (1 - DAMPING)
+#: A host is blocked if distrust exceeds trust by more: by itself, if more than two fifths of its pages are blocked.
+THRESHOLD = 0.4 * (1 - DAMPING)
 
 
 def host_of(url: Column) -> Column:

@@ -1,0 +1,364 @@
+"""Each operator against brute force or a round trip, with nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
+
+import collections
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tallow.llm import html_crf, html_pages, packing, pii, quality_classifier, quality_rules, token_counts, url_filter, warc
+from tallow.llm.components import components
+from tallow.llm.decontaminate import decontaminate
+from tallow.llm.jaccard_join import jaccard_components
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+SCHEMA = "doc_id long, text string, lang string, n_words string, kept int"
+UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def corpus(seed=3, n=120):
+    """Prose, families of near copies around the threshold, exact copies, a common passage, and odd texts."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(400)]
+    prose = lambda k: " ".join(rng.choices(words, k=k))
+    passage = prose(20)
+    out = []
+    for i in range(n):
+        kind = i % 6
+        if kind == 0:
+            base = prose(60)
+        if kind in (1, 2, 3):
+            w = base.split()
+            for _ in range(kind * rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = rng.choice(words).upper()
+            out.append(" ".join(w))
+        elif kind == 4:
+            out.append(prose(25) + "\n" + passage + "\n" + prose(25))
+        else:
+            out.append(prose(rng.randint(1, 9)))
+    out += ["", None, " \t\n ", "one", "one", "a b c d", "A b C d", prose(30_000), "ünï cödé Ünï", "x" * 5000, out[1], out[1]]
+    rows = [(i, t, rng.choice(["en", "de", None]), "clash", 0) for i, t in enumerate(out)]
+    return [*rows, rows[1], rows[1], (None, "no id at all", None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA)
+
+
+def sets_of(text):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").translate(UPPER).encode())
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def brute_components(rows):
+    ids = [(r[0], sets_of(r[1])) for r in rows]
+    parent = list(range(len(ids)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(ids)):
+        for j in range(i):
+            a, b = ids[i][1], ids[j][1]
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(ids):
+        r = find(i)
+        if d is not None:
+            least[r] = min(least.get(r, d), d)
+    return sorted(((d, len(s), (least.get(find(i)) if s else d)) for i, (d, s) in enumerate(ids)), key=str)
+
+
+def test_jaccard_join(docs):
+    got = sorted(map(tuple, jaccard_components(docs).collect()), key=str)
+    assert got == brute_components(corpus())
+
+
+def test_jaccard_join_of_nothing(spark):
+    assert jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert [tuple(r) for r in jaccard_components(spark.createDataFrame([(5, None, None, None, None)], SCHEMA)).collect()] == [(5, 0, 5)]
+
+
+def test_components_of_paths(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
+    got = dict(components(links).collect())
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+ITEMS = [("3", "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 W15"), ("10", "w5 w6, w7"), ("a", None), ("b", " ... "), ("c", "one"), ("10", "w5 w6, w7"), (None, "A b"), ("d", "w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w99")]
+
+
+def brute_hits(text, items, window=13):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(UPPER))
+    w, hit, met = words(text), set(), set()
+    for item, t in items:
+        x = words(t)
+        k = min(window, len(x))
+        wins = {tuple(x[i : i + k]) for i in range(len(x) - k + 1)} if x else set()
+        for i in range(len(w) - k + 1) if x else ():
+            if tuple(w[i : i + k]) in wins:
+                hit.update(range(i, i + k))
+                met.add(item or "null")
+    return len(w), len(hit), sorted(met)
+
+
+def test_decontaminate(spark, docs):
+    extra = [(900, "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w99 tail", "en", None, 1), (901, "x W5-w6 (w7) y", None, None, 1), (902, "a B a b", None, None, 1)]
+    every = docs.union(spark.createDataFrame(extra, SCHEMA))
+    items = spark.createDataFrame([(i, t, 1) for i, t in ITEMS], "item_id string, text string, n_hit int")
+    rows = decontaminate(every, items).collect()
+    assert len(rows) == every.count()
+    for r in rows:
+        assert (r["n_words"], r["n_hit"], r["item_ids"]) == brute_hits(r["text"], ITEMS), r["text"]
+        assert r["contaminated"] == (r["n_hit"] > 0 and 20 * r["n_hit"] >= r["n_words"])
+        assert (r["clean_text"] is None) == (r["text"] is None)
+        if r["text"] is not None:
+            assert brute_hits(r["clean_text"], [])[0] == r["n_words"] - r["n_hit"]
+
+
+def test_decontaminate_without_items(spark, docs):
+    none = spark.createDataFrame([], "item_id string, text string")
+    assert decontaminate(docs, none).where("n_hit > 0 OR contaminated").count() == 0
+    assert decontaminate(spark.createDataFrame([], SCHEMA), none).count() == 0
+
+
+def brute_statistics(text):
+    t = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    c = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+    hit = {j for k in range(len(w) - 7) if c[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit)
+
+
+def test_quality_rules(spark, docs):
+    odd = ["a b c d e f g h a b c d e f g h", "x " * 50, "l m\nl m\n\n \nl m\n", "### $$ <b> &", "é\u00a0è"]
+    every = docs.union(spark.createDataFrame([(1000 + i, t, "en", None, 1) for i, t in enumerate(odd)], SCHEMA))
+    labels = spark.createDataFrame([(i, 1) for i in range(50)] + [(3, None), (3, 1)], "doc_id long, quality int")
+    rows = quality_rules.apply_rules(every, labels).collect()
+    assert len(rows) == every.count()
+    for r in rows:
+        got = (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"])
+        assert got == brute_statistics(r["text"]), r["text"]
+        assert r["base_failed"] == (got[0] < 20 or 100 * got[4] > 30 * got[0])
+        assert r["kept"] == (not r["base_failed"])  # too few labels to prove a cutoff
+    assert quality_rules.apply_rules(spark.createDataFrame([], SCHEMA), labels).count() == 0
+
+
+def test_binomial_cdf(spark):
+    from math import comb
+
+    cases = [(0, 10), (3, 10), (10, 10), (5, 400), (12, 400), (0, 1)]
+    df = spark.createDataFrame(cases, "k long, n long").select("k", "n", quality_rules.binomial_cdf(F.col("k"), F.col("n"), 0.02).alias("p"))
+    for k, n, p in df.collect():
+        assert p == pytest.approx(sum(comb(n, j) * 0.02**j * 0.98 ** (n - j) for j in range(k + 1)), rel=1e-9)
+
+
+def test_cutoffs_keep_to_the_risk(spark):
+    good = [(i, " ".join(f"v{i}x{j}" for j in range(40)) + (" #" if i % 900 == 0 else ""), "en", None, 0) for i in range(6000)]
+    bad = [(10_000 + i, " ".join(f"u{i}x{j}$$$" for j in range(40)), "en", None, 0) for i in range(200)]
+    df = spark.createDataFrame(good + bad, SCHEMA)
+    labels = df.select("doc_id", (F.col("doc_id") < 10_000).cast("int").alias("quality"))
+    out = quality_rules.apply_rules(df, labels)
+    assert out.where("doc_id >= 10000 AND kept").count() == 0
+    assert out.where("doc_id < 10000 AND NOT kept").count() <= 0.02 * 6000
+
+
+def test_surrogates(spark):
+    t = "Mail a.b@c.example.org or A.B@c.example.org, call +1 (212) 555-0101; 4111111111111111 and 10.1.2.3, Mrs Anna Schmidt, Борис Иванов. Again a.b@c.example.org."
+    rows = [(1, t), (2, t), (3, None), (4, ""), (5, "plain words only"), (6, "see 300.1.2.3 and 123-45-6789")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kinds", F.lit(3))
+    out = {r["doc_id"]: r for r in pii.pseudonymise(df, key="k").collect()}
+    assert out[1]["text"] == out[2]["text"] and out[3]["text"] is None and out[4]["text"] == "" and out[5]["text"] == "plain words only"
+    found = re.findall(r"[\w.]+@[\w.]+\w", out[1]["text"])
+    assert len(found) == 3 and found[0] == found[2] != found[1] and all(x.endswith(".org") for x in found)
+    for secret in ("a.b@c", "555-0101", "4111111111111111", "10.1.2.3", "Anna", "Schmidt", "Борис", "123-45-6789"):
+        assert secret not in out[1]["text"] + out[6]["text"]
+    card = re.search(r"\b\d{16}\b", out[1]["text"]).group()
+    luhn = sum(d if i % 2 == 0 else (2 * d - 9 * (2 * d > 9)) for i, d in enumerate(map(int, reversed(card))))
+    assert luhn % 10 == 0
+    assert re.search(r"Mrs (%s) [A-Z]" % "|".join(pii.NAMES["female, Latin"]), out[1]["text"])
+    assert re.search("(%s) [А-Я]" % "|".join(pii.NAMES["male, Cyrillic"]), out[1]["text"])
+    assert all(0 <= int(o) < 256 for o in re.search(r"and (\d+\.\d+\.\d+\.\d+)", out[1]["text"]).group(1).split("."))
+    assert pii.pseudonymise(df, key="other").where("doc_id = 1").first()["text"] != out[1]["text"]
+    assert pii.pseudonymise(df.where("false")).count() == 0
+
+
+def test_surrogates_are_distinct(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.format_string("%04d 55%02d %04d 1234", F.col("id"), F.col("id") % 100, F.col("id")).alias("text"))
+    assert pii.pseudonymise(df).select("text").distinct().count() == 3000
+
+
+def test_packing(docs):
+    rows = packing.pack(docs, PATH, capacity=512).collect()
+    lib = Tokenizer.from_file(PATH)
+    want = collections.Counter()
+    for d, t, *_ in corpus():
+        n = len(lib.encode(t or "", add_special_tokens=False).ids) + 1
+        first = n % 512 or 512
+        for k in range(-(-n // 512)):
+            want[d, k, 0 if k == 0 else first + (k - 1) * 512, first if k == 0 else 512] += 1
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"]) for r in rows) == want
+    bins = collections.defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for b in bins.values():
+        at = 0
+        for o, n in sorted(b):
+            assert o == at
+            at += n
+        assert at <= 512
+    assert len(bins) <= -(-sum(r["length"] for r in rows) // 512) + 2
+
+
+def test_packing_of_nothing(spark):
+    assert packing.pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_genetic_steps_keep_every_piece():
+    rng = np.random.default_rng(0)
+    size = rng.integers(1, 90, 300).tolist()
+    a, b = [], []
+    packing.best_fit(list(range(300)), size, a, 100)
+    packing.best_fit(list(range(299, -1, -1)), size, b, 100)
+    for sol in (packing.crossover(a, b, size, 100, rng), packing.mutate(a, size, 100, rng), packing.evolve(size, [a, b], 100, 1)):
+        assert sorted(i for x in sol for i in x) == list(range(300))
+        assert all(sum(size[i] for i in x) <= 100 for x in sol)
+    assert len(packing.evolve(size, [], 100, 1)) <= len(a)
+
+
+def test_prefix_answers(spark):
+    df = spark.createDataFrame([(1, "hello brave new world"), (2, None)], "doc_id long, text string")
+    out = token_counts.prefix_counts(df, PATH)
+    c = F.col("prefix_tokens")
+    r = out.select("doc_id", token_counts.tokens_of(c).alias("n"), token_counts.tokens_of(c, 5).alias("five"), token_counts.longest_within(c, 2).alias("fit")).orderBy("doc_id").collect()
+    assert [tuple(x) for x in r] == [(1, 4, 1, 11), (2, 0, 0, 0)]
+    assert token_counts.prefix_counts(df.where("false"), PATH).count() == 0
+
+
+def test_warc_round_trip(spark):
+    big = "<p>" + "é" * 120 + "</p>"
+    rows = [(1, "http://a/", big), (0, "http://b/\r\nx", big), (2, None, None), (3, "u", ""), (4, "u", "short"), (5, "u", "short"), (6, "u", big), (0, "again", big), (7, "u", "<b>" * 200_000), (None, "u", "y" * 200), (9, "u", "y" * 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1))
+    archives = warc.write_archives(pages)
+    assert archives.agg(F.sum("records")).first()[0] == len(rows)
+    got = warc.read_archives(archives).collect()
+    import hashlib
+
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["page_id"]].append(r)
+    for page, _, html in rows:
+        data = (html or "").encode()
+        assert all(r["payload_bytes"] == len(data) and r["payload_digest"] == hashlib.sha256(data).hexdigest() for r in by[page])
+        assert all(r["payload"] == (html or "") for r in by[page] if r["record_type"] == "response")
+    kinds = {p: [(r["record_type"], r["refers_to"]) for r in v] for p, v in by.items()}
+    assert kinds[0] == [("response", None)] * 2 and kinds[1] == kinds[6] == [("revisit", 0)] and kinds[4] == kinds[5] == [("response", None)]
+    assert kinds[9] == [("response", None)] and kinds[None] == [("revisit", 9)]
+    assert warc.read_archives(warc.write_archives(pages.where("false"))).count() == 0
+
+
+def test_warc_damage_is_found():
+    import io
+
+    good = warc._record(1, "u", b"x" * 300, __import__("hashlib").sha256(b"x" * 300).hexdigest(), None)
+    assert len(list(warc.records(io.BytesIO(good * 3), piece=7))) == 3
+    with pytest.raises(ValueError):
+        list(warc.records(io.BytesIO(good[:-9])))
+
+
+RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def test_url_rules_and_propagation(spark):
+    link = '<a href="https://bad.net/x">b</a>'
+    rows = [(1, "http://X.Example.com/en/a?q#f", None), (2, "https://www.example.com/en/", ""), (3, "ftp://a.net/es/1", ""), (4, "http://notexample.com/en/", ""), (5, None, ""), (6, "no scheme", ""), (7, "http://com", ""), (8, "http://bad.net/fr/1", ""),
+            (9, "http://friend.org/", link), (10, "http://friend.org/b", link), (11, "http://plain.org/p", '<a href="/local">x</a>'), (12, "u://h.net?x://y.com/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("rule", F.lit(5))
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, RULES).collect()}
+    assert got[1] == ("x.example.com", "/en/a", "example.com/en/", "block")
+    assert got[2] == ("www.example.com", "/en/", "www.example.com/en/", "allow")
+    assert got[3] == ("a.net", "/es/1", "net/es/", "block")
+    assert got[4] == ("notexample.com", "/en/", "com/", "allow")
+    assert got[5] == got[6] == ("", "", None, "allow")
+    assert got[7] == ("com", "", None, "allow")
+    assert got[9][3] == got[10][3] == "block"  # it links to a blocked host only
+    assert got[11] == ("plain.org", "/p", None, "allow")
+    assert got[12] == ("h.net", "", None, "allow")
+    assert url_filter.judge_urls(pages.where("false"), RULES).count() == 0
+
+
+def test_propagation_equals_the_linear_system(spark):
+    edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 3), ("c", "a", 1), ("d", "a", 5)]
+    seeds = spark.createDataFrame([("a", 1.0), ("d", 0.5)], "host string, seed double")
+    rank = dict(url_filter.propagate(seeds, spark.createDataFrame(edges, "src string, dst string, n long"), 0.5, 30).collect())
+    names = "abcd"
+    p = np.zeros((4, 4))
+    for s, d, n in edges:
+        p[names.index(s), names.index(d)] = n / sum(x[2] for x in edges if x[0] == s)
+    want = np.linalg.solve(np.eye(4) - 0.5 * p.T, 0.5 * np.array([1, 0, 0, 0.5]))
+    for k, name in enumerate(names):
+        assert rank.get(name, 0.0) == pytest.approx(want[k], abs=1e-6)
+
+
+def test_extraction_of_held_out_pages(spark):
+    pages = html_pages.labelled(120, seed=11)
+    df = spark.createDataFrame([(i, h, 1) for i, (h, _) in enumerate(pages)] + [(500, None, 1), (501, "", 1), (502, "<nav>a</nav><script>x</script>", 1)], "page_id long, html string, text int")
+    out = {r["page_id"]: r for r in html_crf.extract(df).collect()}
+    right = sum(out[i]["text"] == " ".join(" ".join(t[1:].split()) for t in texts if t[0] == "+") for i, (_, texts) in enumerate(pages))
+    assert right >= 0.85 * len(pages)
+    assert out[500]["text"] == out[501]["text"] == "" and out[500]["n_chars"] == 0
+    assert html_crf.extract(df.where("false")).count() == 0
+
+
+def test_viterbi_equals_enumeration():
+    rng = np.random.default_rng(5)
+    crf = html_crf.Crf({f"f{k}": k for k in range(6)}, rng.normal(size=(6, 2)), rng.normal(size=2), rng.normal(size=(2, 2)))
+    page = [[f"f{rng.integers(6)}", f"f{rng.integers(8)}"] for _ in range(7)]
+    each = crf.scores(page)
+    score = lambda y: crf.start[y[0]] + sum(each[i, y[i]] for i in range(7)) + sum(crf.move[y[i], y[i + 1]] for i in range(6))
+    best = max(([int(b) for b in f"{k:07b}"] for k in range(128)), key=score)
+    assert crf.decode(page) == best
+
+
+def test_quality_scores(spark):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 8)))
+    good = lambda: ". ".join(" ".join(word() for _ in range(rng.randint(5, 12))).capitalize() for _ in range(6)) + "."
+    bad = lambda: " ".join(word() + "***" for _ in range(60))
+    rows = [(i, bad() if i % 7 == 0 else good()) for i in range(3000)] + [(5000, None), (5001, ""), (None, "x y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
+    labels = spark.createDataFrame([(i, int(i % 7 != 0)) for i in range(0, 3000, 2)] + [(1, None)], "doc_id long, quality int")
+    out = quality_classifier.score(df, labels).collect()
+    assert len(out) == len(rows) and all(0 <= r["score"] <= 1 for r in out)
+    held = [r for r in out if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 3000]
+    assert np.mean([r["predicted"] == int(r["doc_id"] % 7 != 0) for r in held]) > 0.97
+    assert quality_classifier.score(df, labels.where("false")).where("score != 0.5").count() == 0
+    assert quality_classifier.score(df.where("false"), labels).count() == 0
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [r[:3] for r in corpus()]
+    rows.append((800, "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 " + " ".join(f"z{k}" for k in range(40)), "en"))
+    rows.append((801, " ".join(f"q{k}" for k in range(30)) + " mail me.now@mail.example.com", "en"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("1", ITEMS[0][1])], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    left = [r for r in rows if not (lambda s: s[0] < 20 or 100 * s[4] > 30 * s[0])(brute_statistics(r[1]))]
+    comp = brute_components(left)
+    keep = {d for d, _, c in comp if d == c}
+    left = {r[0]: r[1] for r in left if r[0] in keep}
+    want = {d for d, t in left.items() if not (lambda h: h[1] > 0 and 20 * h[1] >= h[0])(brute_hits(t, ITEMS[:1]))}
+    assert {r["doc_id"] for r in got} == want and 800 not in want and 801 in want
+    assert sum(r["piece"] == 0 for r in got) == len(want)
