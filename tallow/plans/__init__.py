@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tallow.plans import evaluation_queries, feature_queries, indicator_queries
+from tallow.plans import evaluation_queries, feature_queries, indicator_queries, model_queries
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (indicator_queries, feature_queries, evaluation_queries):
+for module in (indicator_queries, feature_queries, evaluation_queries, model_queries):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
 
