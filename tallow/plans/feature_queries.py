@@ -427,3 +427,23 @@ def augment_volatility_regime(spark, sf_dir):
 @query("augment_presets", None)
 def augment_presets(spark, sf_dir):
     return A.augment(_samples(spark, sf_dir), ["f"], A.PRESETS["strong"]).groupBy("method", "copy").agg(F.count("*").alias("n"))
+
+
+from tallow.operators import neighbours as N  # noqa: E402
+
+
+def _two(spark, sf_dir) -> DataFrame:
+    return _samples(spark, sf_dir).withColumns({"g": F.col("Close") / 2 + F.col("f"), "h": F.sqrt("Close")})
+
+
+for _name, _make in {
+    "augment_frequency_mask": lambda d: N.frequency_mask(d, ["f", "g"]),
+    "augment_feature_rotation": lambda d: N.feature_rotation(d, ["f", "g", "h"]),
+    "augment_pattern_morph": lambda d: N.pattern_morph(d, ["f", "g"]),
+    "augment_smote": lambda d: N.smote(d, ["f", "g"]),
+}.items():
+
+    def _neighbours(spark, sf_dir, make=_make):
+        return make(_two(spark, sf_dir)).select("Ticker", "idx", "f", "g", F.get("y", F.lit(0)).alias("y1"))
+
+    query(_name, None)(_neighbours)

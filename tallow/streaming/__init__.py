@@ -1,0 +1 @@
+"""Candle features are batch work: nothing in scope streams, so nothing is registered here."""
