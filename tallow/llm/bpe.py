@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from tokenizers import Tokenizer
 
 from tallow.llm.textbatch import _BYTE, _powers, chunks, mix
@@ -26,6 +28,8 @@ for _c in range(_LIMIT):
     _CLASS[_c] = SPACE if regex.match(r"\s", _ch) else LETTER if regex.match(r"\p{L}", _ch) else NUMBER if regex.match(r"\p{N}", _ch) else OTHER
 _CODE = mix(np.arange(_LIMIT + 1, dtype=np.uint64) * _BYTE[1] + _BYTE[2])
 
+#: Bytes of text handled at once: each takes some forty bytes meanwhile.
+CHUNK = 1 << 20
 #: Pre-tokens kept by one worker; beyond it starts anew.
 KEPT = 400_000
 
@@ -53,7 +57,7 @@ class Kept:
             values = make(new)
             size = np.fromiter(map(len, values), np.int64, len(values))
             at = len(self.flat) + np.cumsum(size) - size
-            self.flat = np.concatenate([self.flat, *[np.asarray(v, np.int32) for v in values]])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(values), np.int32, int(size.sum()))])
             every = np.concatenate([self.keys, keys[new]])
             order = np.argsort(every, kind="stable")
             self.keys, self.at, self.size = every[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
@@ -129,19 +133,41 @@ class PreTokens:
         return self.data[self.offs[doc] : self.offs[doc + 1]].tobytes().decode("utf-8", "replace")
 
 
+def raw_vocabulary(path: str) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]], list[str]]:
+    """(ids of the tokens' bytes, merges in order, special strings) of a tokenizers file."""
+    spec = json.load(open(path, encoding="utf-8"))
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in visible}
+    byte |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(visible))}
+    raw = lambda s: bytes(byte[c] for c in s)
+    added = sorted(t["content"] for t in spec["added_tokens"])
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+    return {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in added}, [(raw(a), raw(b)) for a, b in pairs], added
+
+
 class Encoder:
-    """Token ids of texts, as the library gives them without added special tokens."""
+    """Token ids of texts, as the library gives them without added special tokens.
+
+    Single pre-tokens go through a second engine with the same vocabulary,
+    several times as fast and lighter; it merges by id, so ids must be in the
+    order of the merges, which is checked.
+    """
 
     def __init__(self, path: str):
         self.lib = Tokenizer.from_file(path)
         self.lib.no_padding()
         self.lib.no_truncation()
+        ids, merges, _ = raw_vocabulary(path)
+        order = [ids[a + b] for a, b in merges]
+        if order != sorted(order):
+            raise ValueError(f"{path}: ids are not in the order of the merges")
+        self.one = tiktoken.Encoding("one", pat_str=r"(?s).+", mergeable_ranks=ids, special_tokens={}).encode_ordinary
         self.kept = Kept()
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        for _, data, offs in chunks(texts):
+        for _, data, offs in chunks(texts, CHUNK):
             pre = PreTokens(data, offs)
-            at, size = self.kept.find(pre.keys, lambda new: [e.ids for e in self.lib.encode_batch_fast(pre.texts(new), add_special_tokens=False)])
+            at, size = self.kept.find(pre.keys, lambda new: list(map(self.one, pre.texts(new))))
             at, size = at[pre.number], size[pre.number]
             flat = gather(self.kept.flat, at, size)
             ends = np.cumsum(np.bincount(pre.doc, weights=size, minlength=len(offs) - 1)).astype(np.int64)
@@ -163,17 +189,10 @@ class PrefixCounter:
 
     def __init__(self, path: str):
         self.lib = Tokenizer.from_file(path)
-        spec = json.load(open(path, encoding="utf-8"))
-        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte = {chr(b): b for b in visible}
-        byte |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(visible))}
-        raw = lambda s: bytes(byte[c] for c in s)
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
-        added = {t["content"] for t in spec["added_tokens"]}
-        self.tokens = {raw(t) for t in spec["model"]["vocab"] if t not in added}
+        ids, merges, self.special = raw_vocabulary(path)
+        self.rank = {pair: k for k, pair in enumerate(merges)}
+        self.tokens = set(ids)
         self.longest = max(map(len, self.tokens))
-        self.special = sorted(added)
         self.stable: dict[tuple[bytes, bytes], bool] = {}
         self.kept = Kept()
 
@@ -253,7 +272,7 @@ class PrefixCounter:
 
     def counts(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Per text the counts of all its prefixes, from the empty one to the whole."""
-        for _, data, offs in chunks(texts):
+        for _, data, offs in chunks(texts, CHUNK):
             pre = PreTokens(data, offs)
             at, size = self.kept.find(pre.keys, lambda new: [self.prefix(t) for t in pre.texts(new)])
             at, size = at[pre.number], size[pre.number]

@@ -52,10 +52,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow["up"], _pow["down"]
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(index of the first text, bytes, offsets) of runs of texts of about CHUNK bytes.
+def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the first text, bytes, offsets) of runs of texts of about size bytes.
 
-    A null text is an empty one.  A text is never split: one longer than CHUNK
+    A null text is an empty one.  A text is never split: a longer one
     makes a run of its own.
     """
     texts = texts.cast(pa.large_binary()).fill_null(b"")
@@ -67,7 +67,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
     at = 0
     while at < n:
-        to = int(np.searchsorted(offs, offs[at] + CHUNK, "right")) - 1
+        to = int(np.searchsorted(offs, offs[at] + size, "right")) - 1
         to = min(max(to, at + 1), n)
         yield at, data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
         at = to
