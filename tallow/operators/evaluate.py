@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-W = Window.partitionBy("Ticker").orderBy("Datetime")
+from tallow.functions.windows import series
 
 
 def multistep_baselines(train: DataFrame, horizon: int) -> DataFrame:
@@ -32,11 +32,11 @@ def multistep_baselines(train: DataFrame, horizon: int) -> DataFrame:
 
 def rolling_baselines(holdout: DataFrame, horizon: int) -> DataFrame:
     """(model, Ticker, origin, step, y_true, y_pred, last_price) of the same baselines from every origin with all its targets."""
-    h = holdout.withColumn("origin", (F.row_number().over(W) - 1).cast("long"))
-    five, twenty = W.rowsBetween(-4, 0), W.rowsBetween(-19, 0)
+    h = holdout.withColumn("origin", (F.row_number().over(series()) - 1).cast("long"))
+    five, twenty = series().rowsBetween(-4, 0), series().rowsBetween(-19, 0)
     n5 = F.count("*").over(five)
     drift = F.when(n5 > 1, (F.col("Close") - F.first("Close").over(five)) / (n5 - 1)).otherwise(0.0)
-    wide = h.select("Ticker", "origin", F.col("Close").alias("last_price"), drift.alias("drift"), F.avg("Close").over(twenty).alias("mean"), F.array(*[F.lead("Close", k).over(W) for k in range(1, horizon + 1)]).alias("y"))
+    wide = h.select("Ticker", "origin", F.col("Close").alias("last_price"), drift.alias("drift"), F.avg("Close").over(twenty).alias("mean"), F.array(*[F.lead("Close", k).over(series()) for k in range(1, horizon + 1)]).alias("y"))
     wide = wide.where(F.get("y", F.lit(horizon - 1)).isNotNull())
     steps = wide.select("*", F.posexplode("y").alias("pos", "y_true")).withColumn("step", F.col("pos") + 1)
     each = F.create_map(F.lit("naive"), F.col("last_price"), F.lit("drift"), F.col("last_price") + F.col("drift") * F.col("step"), F.lit("rolling_mean"), F.col("mean"))
@@ -46,7 +46,7 @@ def rolling_baselines(holdout: DataFrame, horizon: int) -> DataFrame:
 
 def naive_previous(df: DataFrame, y: str = "Close") -> DataFrame:
     """df with y_true and y_pred = the value before, the first its own."""
-    return df.withColumns({"y_true": F.col(y), "y_pred": F.coalesce(F.lag(y, 1).over(W), F.col(y))})
+    return df.withColumns({"y_true": F.col(y), "y_pred": F.coalesce(F.lag(y, 1).over(series()), F.col(y))})
 
 
 def aggregate_rolling(predictions: DataFrame, method: str = "mean") -> DataFrame:

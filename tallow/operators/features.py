@@ -7,9 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
-W = Window.partitionBy("Ticker").orderBy("Datetime")
+from tallow.functions.windows import series
 RESERVED = ("Datetime", "Ticker", "Date")
 OHLCV = ("Open", "High", "Low", "Close", "Volume")
 FUNCTIONS = ("mean", "std", "var", "min", "max", "median", "skew", "kurt")
@@ -26,12 +25,12 @@ def lag_features(df: DataFrame, lags: list[int], columns: list[str], scale_free:
         columns = [c for c in columns if c not in OHLCV]
     if base_price:
         columns = [c for c in columns if c == base_price or c not in OHLCV]
-    return df.select("*", *[F.lag(c, k).over(W).alias(f"{c}_lag_{k}") for c in columns for k in lags])
+    return df.select("*", *[F.lag(c, k).over(series()).alias(f"{c}_lag_{k}") for c in columns for k in lags])
 
 
 def rolling(col: str, window: int, fn: str) -> Column:
     """fn over the window rows before the current one, from one value on."""
-    w = W.rowsBetween(-window, -1)
+    w = series().rowsBetween(-window, -1)
     x = F.col(col)
     n = F.count(x).over(w)
     flat = F.max(x).over(w) == F.min(x).over(w)
@@ -54,7 +53,7 @@ def rolling_features(df: DataFrame, windows: list[int], functions: list[str], co
 
 def close_features(df: DataFrame, lags: list[int], windows: list[int]) -> DataFrame:
     """Features of the close alone, each as of the row before."""
-    lag = lambda k: F.lag("Close", k).over(W)
+    lag = lambda k: F.lag("Close", k).over(series())
     out = {f"Close_lag_{k}": lag(k) for k in lags}
     out |= {f"Close_return_{k}": F.try_divide(lag(1), lag(k + 1)) - 1 for k in (1, 5, 10)}
     ratio = F.try_divide(lag(1), lag(2))
@@ -198,6 +197,6 @@ def leak_messages(names: DataFrame) -> DataFrame:
 
 def first_row_gaps(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per ticker the share of columns that are null in its first row: under one half, something is not shifted."""
-    first = df.withColumn("__r", F.row_number().over(W)).where("__r = 1")
+    first = df.withColumn("__r", F.row_number().over(series())).where("__r = 1")
     nulls = sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0))
     return first.select("Ticker", (nulls / F.lit(len(columns))).alias("null_share"), (nulls * 2 >= len(columns)).alias("safe"))

@@ -8,15 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tallow.functions.windows import series
 from tallow.operators.models import LinearForecaster
 from tallow.operators.targets import from_target, from_target_cumulative
 
-W = Window.partitionBy("Ticker").orderBy("Datetime")
-
 
 def roll(holdout: DataFrame, predict: Callable[[DataFrame], DataFrame], model: str, horizon: int, stride: int = 1, transform: str = "log_return") -> DataFrame:
     """(model, Ticker, origin, step, y_true, y_pred, last_price) from every stride-th origin of the holdout whose targets are all there; predict adds y_pred."""
-    rows = holdout.withColumns({"origin": (F.row_number().over(W) - 1).cast("long"), "__truth": F.array(*[F.lead("Close", k).over(W) for k in range(1, horizon + 1)])})
+    rows = holdout.withColumns({"origin": (F.row_number().over(series()) - 1).cast("long"), "__truth": F.array(*[F.lead("Close", k).over(series()) for k in range(1, horizon + 1)])})
     rows = rows.where(F.get("__truth", F.lit(horizon - 1)).isNotNull() & (F.pmod("origin", F.lit(stride)) == 0))
     prices = from_target(F.col("y_pred"), transform, F.col("Close"))
     long = predict(rows).select("Ticker", "origin", F.col("Close").alias("last_price"), F.posexplode(F.arrays_zip(F.col("__truth").alias("t"), prices.alias("p"))).alias("pos", "z"))

@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-W = Window.partitionBy("Ticker").orderBy("Datetime")
-ALL = Window.partitionBy("Ticker")
+from tallow.functions.windows import series, whole
 
 
 def row_index(df: DataFrame) -> DataFrame:
     """df with idx from 0 and n, the length of the series."""
-    return df.withColumns({"idx": (F.row_number().over(W) - 1).cast("long"), "n": F.count("*").over(ALL)})
+    return df.withColumns({"idx": (F.row_number().over(series()) - 1).cast("long"), "n": F.count("*").over(whole())})
 
 
 def holdout_split(df: DataFrame, holdout: int, horizon: int, least_train: int = 50) -> DataFrame:
@@ -53,7 +52,7 @@ def outlier_filter(train: DataFrame, percentile: float, how: str = "max_abs", y:
 
 def sample_rows(df: DataFrame, count: int, seed: int = 42, history: int = 30) -> DataFrame:
     """count rows per ticker of least hash, each with the closes of its last history rows."""
-    hist = F.collect_list("Close").over(W.rowsBetween(-(history - 1), 0))
+    hist = F.collect_list("Close").over(series().rowsBetween(-(history - 1), 0))
     order = Window.partitionBy("Ticker").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "Ticker", F.col("Datetime").cast("string"))))
     return df.withColumn("history", hist).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= count).drop("__r")
 

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-W = Window.partitionBy("Ticker").orderBy("Datetime")
+from tallow.functions.windows import series
 FLOOR = 1e-8
 
 
@@ -14,13 +13,13 @@ def multistep_targets(candles: DataFrame, horizon: int, col: str = "Close") -> D
     """candles with y = the next horizon values; rows without all of them go."""
     if horizon < 1:
         raise ValueError("the horizon is at least 1")
-    out = candles.withColumns({"y": F.array(*[F.lead(col, k).over(W) for k in range(1, horizon + 1)]), "__last": F.lead(col, horizon).over(W)})
+    out = candles.withColumns({"y": F.array(*[F.lead(col, k).over(series()) for k in range(1, horizon + 1)]), "__last": F.lead(col, horizon).over(series())})
     return out.where(F.col("__last").isNotNull()).drop("__last")
 
 
 def labelled_targets(candles: DataFrame, horizon: int, col: str = "Close") -> DataFrame:
     """candles with target_{col}_t+k; the tail is null."""
-    return candles.withColumns({f"target_{col}_t+{k}": F.lead(col, k).over(W) for k in range(1, horizon + 1)})
+    return candles.withColumns({f"target_{col}_t+{k}": F.lead(col, k).over(series()) for k in range(1, horizon + 1)})
 
 
 def _base(context: Column) -> Column:
@@ -74,13 +73,13 @@ def target_transform(config: dict) -> str:
 
 def trend_labels(candles: DataFrame, horizon: int, threshold: float = 0.02, name: str = "trend") -> DataFrame:
     """2 up, 1 sideways, 0 down: change over horizon rows strictly beyond the threshold; the tail is 1."""
-    change = F.try_divide(F.lead("Close", horizon).over(W) - F.col("Close"), F.col("Close"))
+    change = F.try_divide(F.lead("Close", horizon).over(series()) - F.col("Close"), F.col("Close"))
     label = F.when(change > threshold, 2).when(change < -threshold, 0).otherwise(1)
     return candles.withColumn(name, F.coalesce(label, F.lit(1)))
 
 
 def ten_day_labels(candles: DataFrame, threshold: float = 0.02) -> DataFrame:
     """As trend_labels over ten rows, the threshold included, the tail left out; with the change."""
-    change = F.try_divide(F.lead("Close", 10).over(W) - F.col("Close"), F.col("Close"))
+    change = F.try_divide(F.lead("Close", 10).over(series()) - F.col("Close"), F.col("Close"))
     out = candles.withColumn("change", change).where(F.col("change").isNotNull())
     return out.withColumn("trend", F.when(F.col("change") >= threshold, 2).when(F.col("change") <= -threshold, 0).otherwise(1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallow.functions.windows import series
 from tallow.operators import evaluate as E
 from tallow.operators import split as S
 from tallow.operators import targets as Y
@@ -104,7 +105,7 @@ _AGG = f"{_PRED}, g AS (SELECT model, Ticker, origin + step AS target, avg(y_pre
 SELECT model, n, R(rmse) AS rmse, R(mae) AS mae, R(r2) AS r2, R(contributions) AS contributions, rmse < (SELECT rmse FROM m WHERE model = 'naive') AS beats_baseline, R(100 * ((SELECT rmse FROM m WHERE model = 'naive') - rmse) / (SELECT rmse FROM m WHERE model = 'naive')) AS improvement FROM m""")
 def evaluate_rolling(spark, sf_dir):
     h = _split(spark, sf_dir).where("split = 'holdout'")
-    actual = h.select("Ticker", (F.row_number().over(E.W) - 1).cast("long").alias("target"), F.col("Close").alias("y_true"))
+    actual = h.select("Ticker", (F.row_number().over(series()) - 1).cast("long").alias("target"), F.col("Close").alias("y_true"))
     return E.evaluate_rolling(actual, E.aggregate_rolling(E.rolling_baselines(h, H)))
 
 
@@ -174,5 +175,5 @@ def run_summary(spark, sf_dir):
 
 @query("holdout_returns", f"SELECT * FROM (SELECT Ticker, Datetime, R(ln(greatest(Close, 1e-8) / greatest(lag(Close, 1) OVER {OVER}, 1e-8))) AS r, lag(Close, 1) OVER {OVER} AS p FROM ({_SPLIT}) WHERE split = 'holdout') WHERE p IS NOT NULL")
 def holdout_returns(spark, sf_dir):
-    h = _split(spark, sf_dir).where("split = 'holdout'").withColumn("p", F.lag("Close", 1).over(E.W)).where("p IS NOT NULL")
+    h = _split(spark, sf_dir).where("split = 'holdout'").withColumn("p", F.lag("Close", 1).over(series())).where("p IS NOT NULL")
     return h.select("Ticker", "Datetime", F.ln(F.greatest("Close", F.lit(1e-8)) / F.greatest("p", F.lit(1e-8))).alias("r"), "p")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallow.functions.windows import series
 from tallow.operators import augment as A
 from tallow.operators import features as X
 from tallow.operators import prune as P
@@ -156,7 +157,7 @@ def close_features(spark, sf_dir):
   R(list_avg(h[-5:]) / nullif(list_avg(h[-20:]), 0)) AS ma_ratio, R(100 * (h[-2] - h[-12]) / nullif(h[-12], 0)) AS ROC_10, R(h[-2] - h[-12]) AS momentum_10, R(h[-1] - 2 * h[-2] + h[-3]) AS acceleration
 FROM (SELECT Ticker, Datetime, list(Close) OVER {_frame(29, 0).replace('0 PRECEDING)', 'CURRENT ROW)')} AS h FROM ({EC})) WHERE len(h) = 30""")
 def price_vector(spark, sf_dir):
-    c = C.event_candles(spark, sf_dir).withColumn("h", F.collect_list("Close").over(S.W.rowsBetween(-29, 0))).where(F.size("h") == 30)
+    c = C.event_candles(spark, sf_dir).withColumn("h", F.collect_list("Close").over(series().rowsBetween(-29, 0))).where(F.size("h") == 30)
     v = X.price_vector(F.col("h"), [1, 3], [5, 20])
     names = ["lag_1", "lag_3", "return_1", "rolling_mean_5", "rolling_std_5", "ma_ratio", "ROC_10", "momentum_10", "acceleration"]
     return c.select("Ticker", "Datetime", *[v[n].alias(n) for n in names])
@@ -174,7 +175,7 @@ for _m, (_a, _b) in {"standard": ("avg({c})", "stddev_pop({c})"), "minmax": ("mi
 
 @query("impute_train_means", f"SELECT Ticker, Datetime, R(coalesce(x, m)) AS x FROM (SELECT *, lag(Close, 3) OVER {OVER} AS x, row_number() OVER {OVER} AS i, count(*) OVER (PARTITION BY Ticker) AS n FROM ({EC})), (SELECT avg(x) AS m FROM (SELECT lag(Close, 3) OVER {OVER} AS x, row_number() OVER {OVER} AS i, count(*) OVER (PARTITION BY Ticker) AS n FROM ({EC})) WHERE i - 1 < floor(n * 0.8))")
 def impute_train_means(spark, sf_dir):
-    c = S.time_split(C.event_candles(spark, sf_dir).withColumn("x", F.lag("Close", 3).over(S.W)), 0.2)
+    c = S.time_split(C.event_candles(spark, sf_dir).withColumn("x", F.lag("Close", 3).over(series())), 0.2)
     return X.impute(c, X.fit_means(c.where("split = 'train'"), ["x"]), ["x"]).select("Ticker", "Datetime", "x")
 
 
@@ -355,7 +356,7 @@ def prune_decisions(spark, sf_dir):
 
 def _samples(spark, sf_dir) -> DataFrame:
     c = C.event_candles(spark, sf_dir)
-    c = c.withColumn("f", F.col("Close") - F.coalesce(F.lag("Close", 1).over(S.W), F.col("Close")))
+    c = c.withColumn("f", F.col("Close") - F.coalesce(F.lag("Close", 1).over(series()), F.col("Close")))
     return S.row_index(Y.multistep_targets(c, 2)).select("Ticker", "idx", "Close", "f", "y")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallow.functions.windows import series
 from tallow.operators import evaluate as E
 from tallow.operators import features as X
 from tallow.operators import forecast as J
@@ -85,7 +86,7 @@ def future_forecast(spark, sf_dir):
 def recursive_forecast(spark, sf_dir):
     names = ["return_1", "ma_ratio", "momentum_10"]
     c = C.event_candles(spark, sf_dir).where("Close > 0")
-    h = c.withColumn("history", F.collect_list("Close").over(S.W.rowsBetween(-29, 0))).where(F.size("history") == 30)
+    h = c.withColumn("history", F.collect_list("Close").over(series().rowsBetween(-29, 0))).where(F.size("history") == 30)
     vec = lambda a: X.price_vector(a, [1], [5, 20])
     rows = Y.multistep_targets(h.withColumns({n: vec(F.col("history"))[n].cast("double") for n in names}), H)
     m = L.LinearForecaster.fit(rows.withColumn("y", Y.to_target(F.col("y"), "log_return", F.col("Close"))), names, H, ridge=1e-6)

@@ -1,5 +1,6 @@
 """Candles, indicators and features: registered SQL, pandas formulas, leaks, isolation of tickers, edge series."""
 
+import datetime as dt
 import os
 
 import duckdb
@@ -93,8 +94,8 @@ def test_tickers_do_not_touch(spark):
 
 
 def test_flat_and_short_series(spark):
-    day = pd.Timestamp("2024-01-01")
-    flat = [("F", day + pd.Timedelta(days=i), 5.0, 5.0, 5.0, 5.0, 0.0) for i in range(60)]
+    day = dt.datetime(2024, 1, 1)
+    flat = [("F", day + dt.timedelta(days=i), 5.0, 5.0, 5.0, 5.0, 0.0) for i in range(60)]
     short = [("S", day, 1.0, 2.0, 0.5, 1.5, 3.0)]
     df = spark.createDataFrame(flat + short, C.SCHEMA)
     out = compute(df, list(REGISTRY.indicators))
