@@ -30,7 +30,8 @@ def linear_recurrences(df: DataFrame, maps: dict[str, tuple[str, str]], key: str
     w = Window.partitionBy(key).orderBy(order)
     names = list(maps)
     numbered = df.withColumn("__n", F.row_number().over(w))
-    numbered = numbered.withColumn("__chunk", F.floor((F.col("__n") - 1) / chunk))
+    # Read three times below; kept (memory, else disk) so that nested recurrences do not redo all before them each time.
+    numbered = numbered.withColumn("__chunk", F.floor((F.col("__n") - 1) / chunk)).persist()
     ab = [F.expr(f"CAST({x} AS DOUBLE)").alias(f"{c}{j}") for j, name in enumerate(names) for c, x in zip("ab", maps[name])]
     rows = numbered.select(key, "__chunk", "__n", *ab).groupBy(key, "__chunk").agg(F.sort_array(F.collect_list(F.struct("__n", *[f"{c}{j}" for j in range(len(names)) for c in "ab"]))).alias("__rows"))
 

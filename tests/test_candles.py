@@ -150,7 +150,7 @@ def test_pruning_learns_from_training_rows_only(spark):
     n = 100
     pdf = pd.DataFrame({"idx": range(n), "Close": rng.normal(size=n), "a": rng.normal(size=n), "same": 1.0, "gap": [None] * 60 + [1.5, 2.5] * 20})
     pdf["twin"] = pdf.a * 2 + 1e-3 * rng.normal(size=n)
-    df = spark.createDataFrame(pdf)
+    df = spark.createDataFrame(pdf).withColumn("gap", C.finite("gap"))
     p = P.Pruner().fit(df.where("idx < 80"), ["Close", "a", "same", "gap", "twin"])
     assert {d[0]: d[1] for d in p.decisions} == {"same": "constant", "gap": "nulls", "twin": "correlated"}
     worse = df.withColumn("a", F.when(F.col("idx") >= 80, 9999.0).otherwise(F.col("a")))
