@@ -255,6 +255,8 @@ def links(docs: DataFrame, k: int = 5, pct: int = 75, classes: DataFrame | None
     thirds = [F.min(F.when(F.pmod("fp", F.lit(3)) == j, score)).alias(f"p{j}") for j in range(3)]
     pivots = sets.groupBy("g").agg(F.count("*").alias("m"), *thirds).where("m > 1")
     pivots = pivots.select("g", F.explode(F.array_compact(F.array("p0", "p1", "p2"))).alias("p")).select("g", F.col("p.fp").alias("b"))
+    # Written first: with an exchange of its own, the join below may split a group of very many members.
+    pivots = scratch.table(pivots, "pivots")
     stars = sets.select("g", F.col("fp").alias("a")).join(pivots.hint("merge"), "g").where("a != b").select("a", "b")
     found = scratch.table(_verified(stars, sets, pct), "stars")
     comp = components(found).withColumnRenamed("id", "fp")
