@@ -181,11 +181,12 @@ def score(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3, sample: int =
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     stats = texts.mapInArrow(_statistic_rows, "doc_id long, x array<double>")
     stats = scratch.table(stats.select("doc_id", out.alias("held_out"), "x"), "statistics")
-    known = labels.where("quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
+    # Labels grow with the corpus: joined by shuffle, of keys and statistics only.
+    known = labels.where("quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").hint("merge")
     first = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     taught = stats.where("NOT held_out")
     pick = lambda df: np.array([r[0] for r in first(df).select("x").collect()]).reshape(-1, len(NAMES))
-    model, _ = train(pick(taught.join(known.where("quality = 1").select("doc_id"), "doc_id")), pick(taught.join(known, "doc_id", "left_anti")))
+    model, _ = train(pick(taught.join(known.where("quality = 1").select("doc_id").hint("merge"), "doc_id")), pick(taught.join(known, "doc_id", "left_anti")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     scored = stats.mapInArrow(_score_rows(shared), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= cutoff).cast("int"))
