@@ -30,6 +30,8 @@ RULES = {
 }
 CUTOFFS = (2, 4, 6, 8, 10, 12, 15, 20, 25, 30, 40, 50, 60, 70, 80, 90)
 
+NUMBERS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
 
 def _share(part: str, whole: Column) -> Column:
     return F.col(part) * F.lit(100.0) / F.greatest(whole, F.lit(1))
@@ -105,7 +107,9 @@ def thresholds(stats: DataFrame, labels: DataFrame, stratum: str = "lang", risk:
     and strata without labels give no rule.
     """
     good = labels.where("quality = 1").select(F.col("doc_id"))
-    held = stats.where(~F.col("base_failed") & F.col(stratum).isNotNull()).join(good, "doc_id")
+    # Labels grow with the corpus: joined by shuffle, of keys and statistics only.
+    counted = stats.where(~F.col("base_failed") & F.col(stratum).isNotNull()).select("doc_id", stratum, *NUMBERS)
+    held = counted.join(good.hint("merge"), "doc_id")
     values = F.create_map(*[x for name, f in RULES.items() for x in (F.lit(name), f().cast("double"))])
     long = held.select(F.col(stratum).alias("stratum"), F.explode(values).alias("rule", "value"))
     # Reject counts of every cutoff at once: partial sums, one row per stratum and rule.
@@ -131,7 +135,7 @@ def judge(stats: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFr
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("__cut", "__stratum")
 
 
-NEW = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept")
+NEW = (*NUMBERS, "base_failed", "rejected_by", "kept")
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, level: float = 0.05) -> DataFrame:
