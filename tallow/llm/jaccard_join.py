@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,7 +116,7 @@ def _postings(k: int, pct: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
         held = 0
-        seq = int(np.random.default_rng().integers(1, 2**40))
+        seq = TaskContext.get().partitionId() << 32  # a rerun must send its credits where the lost run did
         for batch in batches:
             for _, data, offs in chunks(batch.column(0)):
                 for s in shingles(data, offs, k):
@@ -299,7 +300,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
     has no shingles and links with nothing; repeated rows and copies share a
     component; a null doc_id keeps its row and never names a component unless
     no other document is reachable.  Other columns are ignored, an empty table
-    gives an empty result.
+    gives an empty result.  docs is read several times and tasks may be rerun:
+    a partition must give the same rows in the same order each time, as files do.
     """
     each = scratch.table(document_classes(docs, k), "classes")
     classes = each.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.min("fp2").alias("lo"), F.max("fp2").alias("hi"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallow.llm import html_crf, html_pages, packing, pii, quality_classifier, quality_rules, token_counts, url_filter, warc
+from tallow.llm import html_crf, html_pages, jaccard_join, packing, pii, quality_classifier, quality_rules, token_counts, url_filter, warc
 from tallow.llm.components import components
 from tallow.llm.decontaminate import decontaminate
 from tallow.llm.jaccard_join import jaccard_components
@@ -87,6 +87,15 @@ def test_jaccard_join_of_nothing(spark):
     assert [tuple(r) for r in jaccard_components(spark.createDataFrame([(5, None, None, None, None)], SCHEMA)).collect()] == [(5, 0, 5)]
 
 
+def test_postings_repeat_when_a_task_is_rerun(docs):
+    posted = docs.select("text").repartition(3, "doc_id").mapInArrow(jaccard_join._postings(5, 75, 8), "bucket long, tok binary, own binary")
+    rows = lambda: sorted((r["bucket"], bytes(r["tok"]), bytes(r["own"])) for r in posted.collect())
+    first = rows()
+    assert first == rows()
+    local = [r[0] for r in first if r[0] < 0]
+    assert len(local) == len(set(local)) > 1
+
+
 def test_components_of_paths(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = dict(components(links).collect())
