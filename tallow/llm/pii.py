@@ -7,8 +7,8 @@ format and script stay, equal entities get equal surrogates everywhere, and
 different ones different surrogates.  Addresses are permuted among the valid
 ones, card numbers keep whether their check digit holds, given names move
 within the names of their gender and script.  Each text is checked: surrogates
-must be as many as entities and none may be an entity of the text; otherwise
-the text is keyed anew.
+must be as many as entities and none may be an entity of the text; entities
+that break this are keyed anew, one by one, until none does.
 """
 
 from __future__ import annotations
@@ -43,13 +43,17 @@ NAME = rf"(?<=\b(?:{'|'.join(TITLES)})\.? ){_WORD}(?: {_WORD})?|\b(?:{_GIVEN}) {
 
 ENTITY = "|".join((EMAIL, AWS, SECRET, IBAN, IP, PHONE, SSN, CARD, NAME))
 #: Texts without any of these hold no entity.
-HINT = rf"[0-9@]|token|secret|passw|api_key|\b(?:{'|'.join(TITLES)})\b|\b(?:{_GIVEN}) "
+HINT = rf"[0-9@]|AKIA|token|secret|passw|api_key|\b(?:{'|'.join(TITLES)})\b|\b(?:{_GIVEN}) "
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ALPHABETS = (DIGITS, LOWER, UPPER, "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 #: Sounds like a name: vowels stay vowels.
 SPOKEN = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", *ALPHABETS[3:])
 HEX = (DIGITS, "abcdef", "ABCDEF")
+#: Moved in secrets that would stay as they are.
+SIGNS = "!#$%&()*+-/<>?@[]^_`{|}~"
+#: Characters outside the alphabets move within the same kind in their run of so many code points.
+RUN = 64
 
 
 def _let(x: Column, f: Callable[[Column], Column]) -> Column:
@@ -57,10 +61,18 @@ def _let(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), f), 0)
 
 
+def _run(c: Column) -> Column:
+    """The letters or numbers of c's kind and run of code points that no alphabet has, as one string; null for other characters."""
+    kind = F.when(c.rlike(r"^\p{Lu}$"), r"^\p{Lu}$").when(c.rlike(r"^\p{L}$"), r"^[\p{L}&&[^\p{Lu}]]$").when(c.rlike(r"^\p{N}$"), r"^\p{N}$")
+    first = F.ascii(c) - F.ascii(c) % RUN
+    near = F.transform(F.sequence(first, first + RUN - 1), lambda p: F.decode(F.unhex(F.lpad(F.hex(p), 8, "0")), "UTF-32"))
+    return F.when(kind.isNotNull(), F.array_join(F.filter(near, lambda x: F.rlike(x, kind) & (F.position(x, F.lit("".join(ALPHABETS))) == 0)), ""))
+
+
 def _shift(c: Column, by: Column, alphabets: Column) -> Column:
-    """c moved within the first of the alphabets that has it; other characters stay."""
-    own = F.get(F.filter(alphabets, lambda a: F.position(c, a) > 0), 0)
-    return F.coalesce(_let(own, lambda a: F.substr(a, F.pmod(F.position(c, a) - 1 + by, F.length(a)) + 1, F.lit(1))), c)
+    """c moved within the first of the alphabets that has it, else within its run; signs stay."""
+    own = F.coalesce(F.get(F.filter(alphabets, lambda a: F.position(c, a) > 0), 0), F.when(~c.rlike(r"^[\x00-\x7F]$"), _run(c)))
+    return F.coalesce(F.nullif(_let(own, lambda a: F.substr(a, F.pmod(F.position(c, a) - 1 + by, F.length(a)) + 1, F.lit(1))), F.lit("")), c)
 
 
 def _half(chars: Column, other: Column, key: Column, turn: int, alphabets: Column) -> Column:
@@ -107,11 +119,11 @@ def _address(e: Column, key: Column) -> Column:
     return F.when(F.forall(octets, lambda o: o.cast("int") <= 255), dotted)
 
 
-def _given(w: Column, key: Column) -> Column:
-    """A given name's replacement: moved within its own list by a keyed number of places; null for other words."""
+def _given(w: Column, key: Column, turn: Column) -> Column:
+    """A given name's replacement: moved within its own list by a keyed number of places, after the first turn one of its own; null for other words."""
     lists = F.array(*[F.array(*map(F.lit, names)) for names in NAMES.values()])
     own = F.get(F.filter(lists, lambda x: F.array_contains(x, w)), 0)
-    by = lambda x: F.pmod(F.xxhash64(key, F.get(x, 0)), F.size(x) - 1) + 1
+    by = lambda x: F.pmod(F.xxhash64(key, F.when(turn > 0, w).otherwise(F.get(x, 0))), F.size(x) - 1) + 1
     return _let(own, lambda x: F.get(x, F.pmod(F.array_position(x, w) - 1 + by(x), F.size(x)).cast("int")))
 
 
@@ -124,24 +136,36 @@ def kind_of(e: Column) -> Column:
     )
 
 
-def surrogate(e: Column, kind: Column, key: Column) -> Column:
-    """The replacement of entity e; kind as kind_of gives it.
+def surrogate(e: Column, kind: Column, key: Column, turn: Column) -> Column:
+    """The replacement of entity e; kind as kind_of gives it, turn as often as it has been replaced before.
 
     A country code, a key's fixed prefix and an e-mail address's last label
     stay; a card number's last digit keeps its distance from the check digit.
+    From turn FREE on a given name that stands alone leaves its list, from
+    turn GROW on surrogates get longer with each turn (names, addresses and
+    secrets are drawn anew), so that there are enough of them however many
+    entities of one format a text has.
     """
-    keyed = F.concat(key, F.lit("|"), kind)
+    keyed = F.concat(key, F.lit("|"), turn.cast("string"), F.lit("|"), kind)
     fixed = F.when(kind.isin("phone", "access_key", "iban"), r"^(?:\+\d{1,3}(?=[ .(-])|AKIA|[A-Z]{2}(?=\d{2}))?").otherwise(F.lit("^"))
     head = F.regexp_substr(e, fixed)
     last = F.when(kind == "email", r"\.[^.]*$").when(kind == "card", r"\d$").otherwise(F.lit("$"))
     tail = F.regexp_substr(e, last)
-    sets = [F.array(*map(F.lit, x)) for x in (SPOKEN, HEX, ALPHABETS)]
-    alphabets = F.when(kind == "name", sets[0]).when(kind == "hex", sets[1]).otherwise(sets[2])
+    sets = [F.array(*map(F.lit, x)) for x in (SPOKEN, HEX, ALPHABETS, (*ALPHABETS, SIGNS))]
+    alphabets = F.when(kind == "name", sets[0]).when(kind == "hex", sets[1]).when((kind == "secret") & (turn > 0), sets[3]).otherwise(sets[2])
+    stream = F.sha2(F.concat(keyed, F.lit("|more|"), e), 256)
+    size = turn - GROW + 1
+    letters = F.translate(stream, DIGITS, "ghijklmnop")
+    more = F.substr(F.translate(stream, "abcdef", "012345"), F.lit(1), size)
+    word = F.substr(letters, F.lit(1), size + 7)
+    made = F.when(kind == "name", F.initcap(word)).when(kind == "email", F.concat(word, F.lit("@"), F.substr(letters, F.lit(-8), F.lit(8)))).when(kind == "secret", word)
 
     def whole(p: Column) -> Column:
         middle = F.substr(e, F.length(p["head"]) + 1, F.length(e) - F.length(p["head"]) - F.length(p["tail"]))
         words = F.when(kind == "name", F.split(middle, " ")).otherwise(F.array(middle))
-        new = F.array_join(F.transform(words, lambda w: F.coalesce(F.when(kind == "name", _given(w, keyed)), cipher(w, keyed, alphabets))), " ")
+        listed = (kind == "name") & ((F.size(words) > 1) | (turn < FREE))
+        new = F.array_join(F.transform(words, lambda w: F.coalesce(F.when(listed, _given(w, keyed, turn)), cipher(w, keyed, alphabets))), " ")
+        new = F.when(turn >= GROW, F.coalesce(made, F.concat(new, more))).otherwise(new)
         pure = lambda x: F.regexp_replace(x, r"\D", "")
         check = lambda n: F.pmod(p["tail"].cast("int") + _luhn(pure(middle)) - _luhn(pure(n)), F.lit(10)).cast("string")
         return _let(new, lambda n: F.concat(p["head"], n, F.when(kind == "card", check(n)).otherwise(p["tail"])))
@@ -150,8 +174,16 @@ def surrogate(e: Column, kind: Column, key: Column) -> Column:
     return F.coalesce(F.when(kind == "ip", _address(e, keyed)), _let(parts, whole))
 
 
-#: Keys that are tried for one text before the last is taken.
-TRIES = 3
+#: Turns for an entity: those before it may leave its list of names, before its surrogates grow, and in all.
+FREE, GROW, TURNS = 4, 8, 40
+
+
+def _clashes(s: Column, e: Column) -> Column:
+    """Surrogates of s that two entities share, or that are or hold what they must not."""
+    pairs = F.array_sort(F.zip_with(s, e, lambda x, y: F.struct(x.alias("s"), y.alias("e"))))
+    twice = _let(pairs, lambda p: F.filter(p, lambda x, i: (i > 0) & (x["s"] == F.get(p, i - 1)["s"]) & (x["e"] != F.get(p, i - 1)["e"])))
+    held = F.filter(pairs, lambda x: F.contains(x["s"], x["e"]))
+    return F.concat(F.transform(F.concat(twice, held), lambda x: x["s"]), F.array_intersect(s, e))
 
 
 def pseudonymise(docs: DataFrame, key: str = "a secret of the caller") -> DataFrame:
@@ -168,13 +200,17 @@ def pseudonymise(docs: DataFrame, key: str = "a secret of the caller") -> DataFr
     out = docs.withColumn("__e", F.when(some, F.regexp_extract_all(text, F.lit(f"({ENTITY})"), F.lit(0))))
     out = out.withColumn("__e", F.when(F.size("__e") > 0, F.col("__e")))
     out = out.withColumn("__k", F.transform("__e", kind_of))
-    fine = lambda s: (F.size(F.array_distinct(s)) == F.size(F.array_distinct("__e"))) & ~F.arrays_overlap(s, "__e")
-    made = lambda turn: F.transform("__e", lambda e, i: surrogate(e, F.get(F.col("__k"), i), F.concat(F.lit(f"{key}|"), turn.cast("string"))))
-    turns = F.array(*map(F.lit, range(TRIES)))
-    keyed = F.aggregate(turns, F.lit(None).cast("array<string>"), lambda s, turn: F.when(s.isNotNull() & fine(s), s).otherwise(made(turn)))
-    out = out.withColumn("__s", F.when(F.col("__e").isNotNull(), keyed))
+    fine = lambda s: (F.size(F.array_distinct(s)) == F.size(F.array_distinct("__e"))) & ~F.arrays_overlap(s, "__e") & ~F.exists(F.zip_with(s, "__e", F.contains), lambda x: x)
+    one = lambda e, i, turn: surrogate(e, F.get(F.col("__k"), i), F.lit(key), turn)
+    clash = lambda state: F.when(state["s"].isNotNull(), _clashes(state["s"], F.col("__e")))
+    again = lambda s, bad, turn: F.transform("__e", lambda e, i: F.when(bad.isNotNull() & ~F.array_contains(bad, F.get(s, i)), F.get(s, i)).otherwise(one(e, i, turn)))
+    step = lambda state, turn: _let(_let(clash(state), lambda bad: again(state["s"], bad, turn)), lambda s: F.struct(s.alias("s"), fine(s).alias("ok")))
+    start = F.struct(F.lit(None).cast("array<string>").alias("s"), F.lit(False).alias("ok"))
+    keyed = F.aggregate(F.sequence(F.lit(0), F.lit(TURNS - 1)), start, lambda state, turn: F.when(state["ok"], state).otherwise(step(state, turn)))
+    out = out.withColumn("__t", F.when(F.col("__e").isNotNull(), keyed))
+    out = out.withColumn("__s", F.when(F.col("__t.ok"), F.col("__t.s")).when(F.col("__e").isNotNull(), F.raise_error(F.lit("no free surrogates for a text"))))
     gaps = F.transform(F.split(text, ENTITY, -1), lambda g, i: F.concat(g, F.coalesce(F.get(F.col("__s"), i), F.lit(""))))
     new = F.when(F.col("__e").isNull(), text).otherwise(F.array_join(gaps, ""))
     out = out.withColumns({"text": new, "n_entities": F.coalesce(F.size("__e"), F.lit(0)).cast("long"), "kinds": F.coalesce(F.col("__k"), F.array().cast("array<string>"))})
     out = out.withColumn("n_entities", F.when(F.col("n_entities") > 0, F.col("n_entities")).otherwise(0))
-    return out.drop("__e", "__k", "__s")
+    return out.drop("__e", "__k", "__t", "__s")
