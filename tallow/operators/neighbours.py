@@ -1,8 +1,8 @@
 """Augmentations that need more than a row: spectra, rotations and neighbours.
 
 Spectra work on one (Ticker, feature) series per group, rotations on a small
-matrix; neighbours are found within buckets of a random projection, the rows
-of a bucket compared in blocks of bounded size.
+matrix; neighbours are found in blocks along a random projection: a row's own
+block bounds the distance, and every block within that bound is searched too.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Window
 from tallow.operators.augment import uniform
 from tallow.operators.models import pca_features
 
-#: Rows of one block: each row meets its block's rows only, so work is BLOCK per row.
+#: Least rows of one block, and less than twice as many at most, unless the series is shorter.
 BLOCK = 64
 
 
@@ -61,20 +61,57 @@ def feature_rotation(df: DataFrame, columns: list[str], angle: float = 0.1, seed
     return pcs.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
 
 
-def _partners(df: DataFrame, columns: list[str], k: int, seed: int, tag: str, within: str | None = None) -> DataFrame:
-    """df with __p, one of the k nearest rows of the row's block (a struct of columns and y), chosen by hash."""
+def _nearest(df: DataFrame, columns: list[str], k: int, seed: int, within: str | None = None) -> DataFrame:
+    """df with __n, the k nearest other rows of the row's series (structs d, i, o of squared distance, idx, columns and y), nearest first.
+
+    |projection difference| <= |w| * distance, so no block further away than
+    the k-th distance within the own block can hold a nearer row.  Of equally
+    near rows those of the own block come first.
+    """
     rng = np.random.default_rng(seed)
     w = rng.normal(size=len(columns))
     keys = ["Ticker"] + ([within] if within else [])
     proj = sum((F.col(c) * float(x) for c, x in zip(columns, w)), F.lit(0.0))
-    ranked = df.withColumn("__b", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(proj, "idx")) - 1) / BLOCK))
-    other = ranked.select(*keys, "__b", F.struct(F.col("idx").alias("idx"), *columns, "y").alias("o"))
-    blocks = other.groupBy(*keys, "__b").agg(F.collect_list("o").alias("__o"))  # BLOCK rows at most
+    series = Window.partitionBy(*keys)
+    known = F.col("__v").isNotNull() & ~F.isnan("__v")
+    placed = df.withColumn("__v", proj).withColumn("__m", F.count(F.when(known, 1)).over(series)).withColumn("__r", F.when(known, F.row_number().over(series.orderBy(F.when(known, 0).otherwise(1), "__v", "idx"))))
+    blocks = F.greatest(F.lit(1), F.floor(F.col("__m") / max(BLOCK, 2 * k + 2)))
+    ranked = placed.withColumn("__b", F.floor((F.col("__r") - 1) * blocks / F.col("__m"))).drop("__m", "__r")
+    other = ranked.where(known).select(*keys, "__b", "__v", F.struct(F.col("idx").alias("idx"), *columns, "y").alias("o"))
+    held = other.groupBy(*keys, "__b").agg(F.collect_list("o").alias("__o"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     dist = lambda o: sum(((F.col(c) - o[c]) * (F.col(c) - o[c]) for c in columns), F.lit(0.0))
-    near = F.slice(F.array_sort(F.transform(F.filter("__o", lambda o: o["idx"] != F.col("idx")), lambda o: F.struct(dist(o).alias("d"), o["idx"].alias("i"), o.alias("o")))), 1, k)
-    joined = ranked.join(blocks, [*keys, "__b"]).withColumn("__n", near)
+    each = F.transform(F.filter("__o", lambda o: o["idx"] != F.col("idx")), lambda o: F.struct(dist(o).alias("d"), o["idx"].alias("i"), o.alias("o")))
+    first = ranked.join(held.drop("__lo", "__hi"), [*keys, "__b"], "left").withColumn("__n", F.coalesce(F.slice(F.array_sort(each), 1, k), F.slice(F.array_sort(each), 1, 0))).drop("__o")
+    bound = F.when(F.size("__n") == k, F.element_at("__n", -1)["d"])  # fewer only where the series is one block
+    # A little more than the bound, against rounding; nothing is nearer than 0.
+    reach = F.sqrt(bound) * float(np.sqrt((w * w).sum()) * (1 + 1e-9)) + 1e-12 * F.abs("__v")
+    asks = first.where(known & (bound > 0)).select(*keys, "idx", *columns, "__b", "__v", bound.alias("__d"), reach.alias("__reach"))
+    # Blocks are in order of the projection: the first and the last within reach by running counts over rows' ends and blocks' edges.
+    ends = lambda d, at, kind, row: d.select(*keys, at.alias("__at"), F.lit(kind).alias("__kind"), row.alias("__row"))
+    none = F.lit(None).cast("long")
+
+    def passed(edges: DataFrame, edge: str, at, kind: int, name: str) -> DataFrame:
+        both = ends(edges, F.col(edge), 1, none).union(ends(asks, at, kind, F.col("idx").cast("long")))
+        n = F.sum(F.when(F.col("__kind") == 1, 1).otherwise(0)).over(series.orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0))
+        return both.withColumn(name, n).where("__kind != 1").select(*keys, F.col("__row").alias("idx"), name)
+
+    low = passed(held, "__hi", F.col("__v") - F.col("__reach"), 0, "__from")
+    high = passed(held, "__lo", F.col("__v") + F.col("__reach"), 2, "__to")
+    range_ = asks.join(low, [*keys, "idx"]).join(high, [*keys, "idx"])
+    more = range_.withColumn("__x", F.explode(F.filter(F.sequence("__from", F.greatest(F.col("__from"), F.col("__to") - 1)), lambda x: x != F.col("__b"))))
+    met = more.drop("__b").withColumnRenamed("__x", "__b").join(held.drop("__lo", "__hi"), [*keys, "__b"])
+    near = F.slice(F.array_sort(F.filter(each, lambda x: x["d"] < F.col("__d"))), 1, k)
+    found = met.select(*keys, "idx", near.alias("__f")).where(F.size("__f") > 0).groupBy(*keys, "idx").agg(F.flatten(F.collect_list("__f")).alias("__f"))
+    out = first.join(found, [*keys, "idx"], "left")
+    every = F.when(F.col("__f").isNull(), F.col("__n")).otherwise(F.slice(F.array_sort(F.concat("__n", "__f")), 1, k))
+    return out.withColumn("__n", every).drop("__v", "__b", "__f")
+
+
+def _partners(df: DataFrame, columns: list[str], k: int, seed: int, tag: str, within: str | None = None) -> DataFrame:
+    """df with __p, one of the row's k nearest rows (a struct of columns and y), chosen by hash."""
+    joined = _nearest(df, columns, k, seed, within)
     pick = F.floor(uniform(seed, f"{tag}/pick", "Ticker", "idx") * F.size("__n")).cast("int")
-    return joined.withColumn("__p", F.get("__n", pick)["o"]).drop("__b", "__o", "__n")
+    return joined.withColumn("__p", F.get("__n", pick)["o"]).drop("__n")
 
 
 def pattern_morph(df: DataFrame, columns: list[str], alpha: float = 0.5, k: int = 5, seed: int = 42, copy: int = 0) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallow import plans
 from tallow.functions.dialect import Spark
+from tallow.operators import neighbours as N
 from tallow.operators import features as X
 from tallow.operators import prune as P
 from tallow.operators import split as S
@@ -205,5 +206,24 @@ def test_query_equals_its_sql(spark, name):
             assert (a[c].astype(str) == b[c].astype(str)).all(), c
 
 
+def test_nearest_rows_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    n = 1300
+    pdf = pd.DataFrame({"Ticker": ["A"] * n + ["B"] * 65 + ["C"] + ["D"] * 70, "f": rng.normal(size=n + 136), "g": rng.normal(size=n + 136)})
+    pdf.loc[pdf.Ticker == "D", ["f", "g"]] = 1.0
+    pdf["idx"] = pdf.groupby("Ticker").cumcount()
+    df = spark.createDataFrame(pdf).withColumn("y", F.array("f"))
+    got = {(r["Ticker"], r["idx"]): [x["d"] for x in r["__n"]] for r in N._nearest(df, ["f", "g"], 5, 42).collect()}
+    assert len(got) == len(pdf)
+    for t, part in pdf.groupby("Ticker"):
+        x = part[["f", "g"]].to_numpy()
+        d = ((x[:, None] - x[None]) ** 2).sum(2)
+        np.fill_diagonal(d, np.inf)
+        want = np.sort(d, axis=1)[:, : min(5, len(x) - 1)]
+        assert np.allclose([got[t, i] for i in part.idx], want), t
+    made = N.smote(df, ["f", "g"])
+    assert made.count() > len(pdf) and N.pattern_morph(df, ["f", "g"]).count() == len(pdf)
+
+
 def test_every_level_is_known():
     assert sum(map(len, REGISTRY.levels(REGISTRY.indicators, Spark()))) >= 123
