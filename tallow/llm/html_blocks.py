@@ -9,16 +9,21 @@ from collections import Counter
 # Elements of the HTML standard.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "head", "select")
+RAW = ("script", "style", "textarea")
+#: Left out with all they hold if they are closed; else only the tag is. What a head holds is left out by itself, other content ends it.
+HIDDEN = frozenset("noscript template iframe svg select title".split())
 #: An opening tag of the first closes an open element of the second.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 #: Block elements that close an open paragraph.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 
+ATTRS = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:/>|" + ATTRS + r"(?<=[\s\"'])/>|" + ATTRS + r">.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z))"
+    r"|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>" + ATTRS + ")>",
     re.S | re.I,
 )
+EMPTY = re.compile(r"(?:^|[\s\"'])/\Z")
 ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME = re.compile(r"[a-z]+")
 
@@ -30,6 +35,22 @@ class Block:
         self.text, self.tags, self.names, self.linked = text, tags, names, linked
 
 
+def _ends(tokens: list[re.Match]) -> dict[int, int]:
+    """Index of the closing token of each closed hidden element, by the index of its opening one."""
+    out: dict[int, int] = {}
+    open_: dict[str, list[int]] = {}
+    for i, m in enumerate(tokens):
+        tag = (m.group("tag") or "").lower()
+        if tag in HIDDEN:
+            held = open_.setdefault(tag, [])
+            if not m.group("close"):
+                if not EMPTY.search(m.group("attrs")):
+                    held.append(i)
+            elif held:
+                out[held.pop()] = i
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """The non-empty blocks in page order; character references decoded, white space joined and trimmed."""
     out: list[Block] = []
@@ -53,13 +74,22 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 linked += len(piece)
 
-    for m in TOKEN.finditer(page):
+    tokens = list(TOKEN.finditer(page))
+    ends = _ends(tokens)
+    until = -1  # the token that closes a hidden element
+    for i, m in enumerate(tokens):
+        if i <= until:
+            at = m.end()
+            continue
         add(page[at : m.start()])
         at = m.end()
         tag = m.group("tag")
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in HIDDEN:
+            until = ends.get(i, -1) if not m.group("close") else -1
+            continue
         if tag in INLINE:
             if tag == "a":
                 in_link = 0 if m.group("close") else 1

@@ -55,6 +55,9 @@ def page(seed: int) -> list[tuple[str, str | None]]:
         before, after = wrap.split("|")
         out.append((before, None))
         for tag_text in parts:
+            if tag_text.startswith("<"):  # around the items of a list
+                out.append((tag_text, None))
+                continue
             tag, text = tag_text.split("@", 1)
             name = tag.split()[0]
             linked = name == "li" or (not main and rng.random() < 0.3)
@@ -88,18 +91,29 @@ def page(seed: int) -> list[tuple[str, str | None]]:
             paras.append(f"{rng.choice(('h2', 'h3'))}@{make.sentence(1, 8)}")
         elif kind < 0.9:
             paras.append(f"blockquote@{make.prose(1, 3)}")
-        elif kind < 0.95:
+        elif kind < 0.92:
             paras += [f"td@{short()}" for _ in range(rng.randint(2, 4))]
+        elif kind < 0.95:
+            form = rng.random()
+            say = lambda: make.sentence(2, 14) if rng.random() < 0.6 else short()
+            if form < 0.6:
+                tag = rng.choice(("ul", "ul", "ol"))
+                paras.append([f"<{tag}>", *[f"li@{say()}" for _ in range(rng.randint(2, 6))], f"</{tag}>"])
+            elif form < 0.8:
+                paras.append(["<dl>", *[x for _ in range(rng.randint(1, 4)) for x in (f"dt@{short()}", f"dd@{say()}")], "</dl>"])
+            else:
+                paras.append(["<figure>", f"figcaption@{say()}", "</figure>"])
         else:
             paras += [f"pre@{make.sentence()}"]
     inside = rng.random() < 0.4  # boilerplate within the article
     wrap = make.div(MAIN, rng.choice(("article", "main", "article")))
     cut = rng.randint(1, len(paras))
     before, after = wrap.split("|")
-    put(before + "|", True, paras[:cut])
+    flat = lambda some: [x for p in some for x in (p if isinstance(p, list) else [p])]
+    put(before + "|", True, flat(paras[:cut]))
     if inside:
         rng.choice([*extras, bare])()
-    put("|" + after, True, paras[cut:])
+    put("|" + after, True, flat(paras[cut:]))
     for _ in range(rng.randint(0, 2)):
         rng.choice([*extras, bare])()
     if rng.random() < 0.4:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallow.llm import html_crf, html_pages, jaccard_join, packing, pii, quality_classifier, quality_rules, token_counts, url_filter, warc
+from tallow.llm import html_blocks, html_crf, html_pages, jaccard_join, packing, pii, quality_classifier, quality_rules, token_counts, url_filter, warc
 from tallow.llm.components import components
 from tallow.llm.decontaminate import decontaminate
 from tallow.llm.jaccard_join import jaccard_components
@@ -343,6 +343,26 @@ def test_extraction_of_held_out_pages(spark):
     assert html_crf.extract(df.where("false")).count() == 0
 
 
+def test_no_page_is_cut_to_a_prefix():
+    text = lambda page: [b.text for b in html_blocks.blocks(page)]
+    assert text("<html><head><title>t</title><meta x><body><p>a</p><p>b</p></body>") == ["a", "b"]
+    assert text('<p>a <svg class="i" /> b</p><p>c</p><svg><title>no</title><path d="M0"/></svg>') == ["a b", "c"]
+    for tag in ("noscript", "select", "iframe", "template", "svg"):
+        assert text(f"<p>a</p><{tag}><p>b</p>") == ["a", "b"]
+        assert text(f"<p>a</p><{tag}><p>b</p><{tag} x='>'>no</{tag}><p>c</p>") == ["a", "b", "c"]
+    assert text("<p>a</p><template-x>b</template-x><script src='s'/><p>c</p><!--><p>d</p><script>no") == ["a", "b", "c", "d"]
+    assert text("<script src=/a/>no</script><p>a</p><style>no</style><textarea>no</textarea >") == ["a"]
+
+
+def test_lists_and_captions_of_articles_are_main_text():
+    body = "Bake the loaf until the crust is brown and crisp, then let it cool. " * 2
+    lists = "<ul><li>Mix the flour with cold water.</li><li>Knead it for ten minutes.</li><li>Let it rest overnight.</li></ul><dl><dt>Crumb</dt><dd>What is inside of the crust.</dd></dl><figure><figcaption>A loaf on the table.</figcaption></figure>"
+    got = html_crf.main_text(f"<html><body><ul class='menu'><li><a href='/'>Home</a></li><li><a href='/b'>Bread</a></li></ul><article><h1>Bread</h1><p>{body}</p>{lists}<p>{body}</p></article><footer>All rights reserved</footer></body></html>", html_crf.trained())
+    assert "Home" not in got and "rights" not in got
+    for x in ("Mix the flour", "Knead it", "rest overnight", "Crumb", "inside of the crust", "A loaf on"):
+        assert x in got, got
+
+
 def test_viterbi_equals_enumeration():
     rng = np.random.default_rng(5)
     crf = html_crf.Crf({f"f{k}": k for k in range(6)}, rng.normal(size=(6, 2)), rng.normal(size=2), rng.normal(size=(2, 2)))
