@@ -138,8 +138,11 @@ def magnitude_warp(df: DataFrame, columns: list[str], knots: int = 4, low: float
 
 def augment(df: DataFrame, columns: list[str], methods: list[str], copies: int = 1, seed: int = 42) -> DataFrame:
     """Originals first (method original), then each method's copies, tagged (method, copy)."""
-    makers = {"jitter": jitter, "scale": scale, "mixup": mixup, "volatility_regime": volatility_regime, "regime_noise": regime_noise, "magnitude_warp": magnitude_warp}
+    from tallow.operators import neighbours as N  # it imports this module
+
+    makers = {"pattern_morph": N.pattern_morph, "jitter": jitter, "scale": scale, "mixup": mixup, "volatility_regime": volatility_regime, "regime_noise": regime_noise, "magnitude_warp": magnitude_warp}
     plain = {"window_crop": window_crop, "block_bootstrap": block_bootstrap}
+    seeded = {"feature_rotation": N.feature_rotation, "smote": N.smote}
     tag = lambda d, m, k: d.withColumns({"method": F.lit(m), "copy": F.lit(k)})
     out = tag(df, "original", 0)
     for m in methods:
@@ -148,7 +151,9 @@ def augment(df: DataFrame, columns: list[str], methods: list[str], copies: int =
                 made = makers[m](df, columns, seed=seed, copy=k)
             elif m in plain:
                 made = plain[m](df, seed=seed, copy=k)
+            elif m in seeded:
+                made = seeded[m](df, columns, seed=seed + k)
             else:
-                made = {"trend_inject": trend_inject, "tail_augment": tail_augment}[m](df, columns)
+                made = {"trend_inject": trend_inject, "tail_augment": tail_augment, "frequency_mask": N.frequency_mask}[m](df, columns)
             out = out.unionByName(tag(made, m, k))
     return out

@@ -225,5 +225,15 @@ def test_nearest_rows_equal_brute_force(spark):
     assert made.count() > len(pdf) and N.pattern_morph(df, ["f", "g"]).count() == len(pdf)
 
 
+def test_augment_knows_the_methods_of_neighbours(spark):
+    from tallow.operators.augment import augment
+
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([("A", i, *map(float, rng.normal(size=3)), [float(i)]) for i in range(20)], "Ticker string, idx long, f double, g double, h double, y array<double>")
+    for m, n in {"frequency_mask": 20, "pattern_morph": 20, "feature_rotation": 20, "smote": 30}.items():
+        out = augment(df, ["f", "g", "h"], [m])
+        assert out.columns == [*df.columns, "method", "copy"] and out.where(F.col("method") == m).count() == n, m
+
+
 def test_every_level_is_known():
     assert sum(map(len, REGISTRY.levels(REGISTRY.indicators, Spark()))) >= 123
