@@ -1,13 +1,15 @@
 """Byte-level BPE on whole Arrow batches.
 
 The library's pre-tokens are found with numpy for texts of code points below
-0x250, whose classes are stable; all other texts, and those with the special
-string, go through the library's own pre-tokeniser.  What a pre-token encodes
-to is computed once and kept by its 64-bit hash.
+0x530 (Latin, Greek, Cyrillic), whose classes are stable; all other texts, and
+those with the special string, go through the library's own pre-tokeniser.
+What a pre-token encodes to is computed once and kept by its 64-bit hash,
+beside its code points, which a later pre-token of that hash must equal.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -18,50 +20,78 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-from tallow.llm.textbatch import _BYTE, _powers, chunks, mix
+from tallow.llm.textbatch import chunks, run_hashes
 
 SPACE, LETTER, NUMBER, OTHER, FAR = range(5)
-_LIMIT = 0x250
+_LIMIT = 0x530
 _CLASS = np.full(_LIMIT + 1, FAR, np.uint8)
 for _c in range(_LIMIT):
     _ch = chr(_c)
     _CLASS[_c] = SPACE if regex.match(r"\s", _ch) else LETTER if regex.match(r"\p{L}", _ch) else NUMBER if regex.match(r"\p{N}", _ch) else OTHER
-_CODE = mix(np.arange(_LIMIT + 1, dtype=np.uint64) * _BYTE[1] + _BYTE[2])
 
 #: Bytes of text handled at once: each takes some forty bytes meanwhile.
 CHUNK = 1 << 20
 #: Pre-tokens kept by one worker; beyond it starts anew.
 KEPT = 400_000
+#: Bytes of a pre-token from which on it is counted by itself.
+LONG_PRE_TOKEN = 64
 
 
 class Kept:
-    """Ragged int32 values by 64-bit key."""
+    """Ragged int32 values by pre-token: its 64-bit hash and, to be sure, its code points."""
 
     def __init__(self) -> None:
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
+        self.spot = np.zeros(0, np.int64)  # of each key its place in the columns below
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
-
-    def find(self, keys: np.ndarray, make: Callable[[np.ndarray], list]) -> tuple[np.ndarray, np.ndarray]:
-        """Start and length in flat of each of the distinct keys; make(indexes) gives the values of those not kept yet."""
+        self.text_at = np.zeros(0, np.int64)
+        self.text_size = np.zeros(0, np.int64)
+        self.points = np.zeros(0, np.uint32)
+
+    def _same(self, spot: np.ndarray, pre: PreTokens) -> np.ndarray:
+        """Which distinct pre-tokens have the code points kept at spot."""
+        at, size = pre.start[pre.example], pre.end[pre.example] - pre.start[pre.example]
+        same = self.text_size[spot] == size
+        old, new, size = self.text_at[spot][same], at[same], size[same]
+        unlike = gather(self.points, old, size) != gather(pre.points, new, size)
+        if unlike.any():
+            same[np.flatnonzero(same)[np.unique(np.repeat(np.arange(len(size)), size)[unlike])]] = False
+        return same
+
+    def find(self, pre: PreTokens, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length in flat of each distinct pre-token; make gives the values, one after the other, and their numbers, of texts not kept yet."""
         if len(self.keys) > KEPT:
             self.clear()
-        spot = np.searchsorted(self.keys, keys)
-        spot[spot == len(self.keys)] = 0
-        new = np.flatnonzero(self.keys[spot] != keys) if len(self.keys) else np.arange(len(keys))
+        keys = pre.keys
+        near = np.searchsorted(self.keys, keys)
+        near[near == len(self.keys)] = 0
+        known = self.keys[near] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        spot = np.zeros(len(keys), np.int64)
+        spot[known] = self.spot[near[known]]
+        held = known.copy()
+        if known.any():
+            same = np.zeros(len(keys), bool)
+            same[known] = self._same(self.spot[near], pre)[known]
+            held &= same
+        new = np.flatnonzero(~held)
         if len(new):
-            values = make(new)
-            size = np.fromiter(map(len, values), np.int64, len(values))
-            at = len(self.flat) + np.cumsum(size) - size
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(values), np.int32, int(size.sum()))])
-            every = np.concatenate([self.keys, keys[new]])
+            values, size = make(pre.texts(new))
+            spot[new] = len(self.at) + np.arange(len(new))
+            text_at, text_size = pre.start[pre.example[new]], (pre.end - pre.start)[pre.example[new]]
+            add = lambda old, more: np.concatenate([old, more])
+            self.at, self.size = add(self.at, len(self.flat) + np.cumsum(size) - size), add(self.size, size)
+            self.flat = add(self.flat, values)
+            self.text_at, self.text_size = add(self.text_at, len(self.points) + np.cumsum(text_size) - text_size), add(self.text_size, text_size)
+            self.points = add(self.points, gather(pre.points, text_at, text_size))
+            fresh = np.flatnonzero(~known)  # a hash stays with its first owner
+            every = add(self.keys, keys[fresh])
             order = np.argsort(every, kind="stable")
-            self.keys, self.at, self.size = every[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
-            spot = np.searchsorted(self.keys, keys)
+            self.keys, self.spot = every[order], add(self.spot, spot[fresh])[order]
         return self.at[spot], self.size[spot]
 
 
@@ -114,11 +144,12 @@ class PreTokens:
                 start[p + long] = True
         self.start = np.flatnonzero(start[:n])
         self.end = np.append(self.start[1:], n)
-        up, down = _powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_CODE[code] * up[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start])
+        self.hash = run_hashes(code, self.start, self.end)
         self.doc = np.searchsorted(begin, self.start, "right") - 1
+        fast = np.ones(len(offs), bool)
+        fast[list(self.slow)] = False
+        keep = fast[self.doc]  # pre-tokens of slow texts would be for nothing
+        self.start, self.end, self.hash, self.doc = self.start[keep], self.end[keep], self.hash[keep], self.doc[keep]
         self.keys, self.example, self.number = np.unique(self.hash, return_index=True, return_inverse=True)
 
     def texts(self, which: np.ndarray) -> list[str]:
@@ -164,10 +195,15 @@ class Encoder:
         self.one = tiktoken.Encoding("one", pat_str=r"(?s).+", mergeable_ranks=ids, special_tokens={}).encode_ordinary
         self.kept = Kept()
 
+    def _many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = list(map(self.one, texts))
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())), size
+
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         for _, data, offs in chunks(texts, CHUNK):
             pre = PreTokens(data, offs)
-            at, size = self.kept.find(pre.keys, lambda new: list(map(self.one, pre.texts(new))))
+            at, size = self.kept.find(pre, self._many)
             at, size = at[pre.number], size[pre.number]
             flat = gather(self.kept.flat, at, size)
             ends = np.cumsum(np.bincount(pre.doc, weights=size, minlength=len(offs) - 1)).astype(np.int64)
@@ -184,58 +220,153 @@ class PrefixCounter:
     The last token of a prefix is the one whose pair with the last token before
     it is stable, that is, byte pair encoding of the two strings together gives
     just these two; there is exactly one.  Counts follow from the shorter
-    prefix, so nothing is encoded twice.
+    prefix, so nothing is encoded twice.  Candidates are the tokens that end a
+    prefix, longest first, from an Aho-Corasick automaton of the vocabulary;
+    whether a pair is stable is read off the merge trees of its two tokens.
+    All new pre-tokens of a chunk advance together, a byte at a time.
     """
 
     def __init__(self, path: str):
         self.lib = Tokenizer.from_file(path)
         ids, merges, self.special = raw_vocabulary(path)
-        self.rank = {pair: k for k, pair in enumerate(merges)}
-        self.tokens = set(ids)
-        self.longest = max(map(len, self.tokens))
-        self.stable: dict[tuple[bytes, bytes], bool] = {}
+        self.width = max(ids.values()) + 1
+        order = [ids[a + b] for a, b in merges]
+        if order != sorted(order):
+            raise ValueError(f"{path}: ids are not in the order of the merges")
+        #: Of a token made by a merge: its two parts; of a single byte: itself twice.
+        self.left, self.right = np.arange(self.width), np.arange(self.width)
+        self.left[order], self.right[order] = [ids[a] for a, _ in merges], [ids[b] for _, b in merges]
+        pair = self.left[order] * self.width + self.right[order]
+        by_pair = np.argsort(pair)
+        self.pairs, self.made = pair[by_pair], np.array(order, np.int64)[by_pair]
+        #: Whether any merge's pair has these bits of a product; most pairs looked up are no merge.
+        self.perhaps = np.zeros(1 << 22, bool)
+        self.perhaps[self._bits(pair)] = True
+        self._automaton(ids)
         self.kept = Kept()
+        self.far: dict[str, list[int]] = {}
+
+    def _automaton(self, ids: dict[bytes, int]) -> None:
+        """Aho-Corasick over the vocabulary: moves of every state by byte, and the longest token that ends at each."""
+        #: Of each token its length in bytes and the longest shorter token that ends it.
+        self.size, self.shorter = np.zeros(self.width, np.int64), np.zeros(self.width, np.int64)
+        children: dict[int, int] = {}
+        token, levels = [-1], [[]]
+        for text, k in ids.items():
+            self.size[k], s = len(text), 0
+            while len(levels) <= len(text):
+                levels.append([])
+            for depth, byte in enumerate(text, 1):
+                to = children.get(s << 8 | byte)
+                if to is None:
+                    to = children[s << 8 | byte] = len(token)
+                    levels[depth].append((s, byte, to))
+                    token.append(-1)
+                s = to
+            token[s] = k
+        self.moves = moves = np.zeros((len(token), 256), np.int32)
+        self.token = np.array(token, np.int64)
+        back = np.zeros(len(token), np.int64)
+        for level in filter(None, levels):
+            s, byte, to = np.array(level, np.int64).T
+            back[to] = np.where(s > 0, moves[s, byte], 0)  # where the longest proper suffix goes, until the next line
+            moves[s, byte] = to
+            moves[to] = moves[back[to]]
+            own, ends = self.token[to], self.token[back[to]]
+            self.shorter[own[own >= 0]] = ends[own >= 0]
+            self.token[to] = np.where(own >= 0, own, ends)
+
+    @staticmethod
+    def _bits(pair: np.ndarray) -> np.ndarray:
+        return (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
+
+    def _stable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether no merge across the border of tokens a and b comes before those that build them.
+
+        Walks down both trees along the border, undoing the later merge first:
+        what crosses the border then must be merged before the undone one.
+        """
+        out = np.ones(len(a), bool)
+        at = np.arange(len(a))
+        limit = np.full(len(a), self.width)
+        while len(at):
+            pair = a * self.width + b
+            cross = np.flatnonzero(self.perhaps[self._bits(pair)])
+            wrong = np.zeros(len(at), bool)
+            if len(cross):
+                spot = np.minimum(np.searchsorted(self.pairs, pair[cross]), len(self.pairs) - 1)
+                wrong[cross] = (self.pairs[spot] == pair[cross]) & (self.made[spot] < limit[cross])
+                out[at[wrong]] = False
+            a_in, b_in = self.right[a], self.left[b]
+            undo_a = (a_in != a) & ((a > b) | (b_in == b))
+            go = (undo_a | (b_in != b)) & ~wrong
+            limit = np.where(undo_a, a, b + 1)[go]
+            a, b, at = np.where(undo_a, a_in, a)[go], np.where(undo_a, b, b_in)[go], at[go]
+        return out
 
-    def _merge(self, text: bytes) -> list[bytes]:
-        parts = [text[i : i + 1] for i in range(len(text))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), 1 << 40))
-            pair = (parts[best], parts[best + 1])
-            if pair not in self.rank:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    out.append(pair[0] + pair[1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
-
-    def _is_stable(self, a: bytes, b: bytes) -> bool:
-        got = self.stable.get((a, b))
-        if got is None:
-            if len(self.stable) > 1_000_000:
-                self.stable.clear()
-            got = self.stable[a, b] = self._merge(a + b) == [a, b]
-        return got
+    def prefixes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token counts of text[:1], text[:2] ... of each pre-token, one after the other, and how many each has."""
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        long = np.flatnonzero(length > LONG_PRE_TOKEN)
+        order = np.argsort(-length, kind="stable")[len(long) :]
+        width, n = int(length[order[0]]) if len(order) else 0, len(order)
+        # Column by column over all texts that are long enough: these stand first.
+        data = np.frombuffer(b"".join(raw[i].ljust(width, b"\0") for i in order.tolist()), np.uint8).reshape(n, width).T if width else np.zeros((0, n), np.uint8)
+        last, count = np.zeros((width + 1, n), np.int32), np.zeros((width + 1, n), np.int32)
+        state, every = np.zeros(n, np.int64), np.arange(n)
+        fall = np.searchsorted(-length[order], -np.arange(width + 1), "right")
+        for i in range(1, width + 1):
+            m = int(fall[i])
+            state = self.moves[state[:m], data[i - 1, :m]].astype(np.int64)
+            t = self.token[state]
+            a = i - self.size[t]
+            open_ = np.flatnonzero(a)
+            while len(open_):
+                fits = self._stable(last[a[open_], open_].astype(np.int64), t[open_])
+                open_ = open_[~fits]
+                t[open_] = self.shorter[t[open_]]
+                a[open_] = i - self.size[t[open_]]
+                open_ = open_[a[open_] > 0]
+            last[i, :m], count[i, :m] = t, count[a, every[:m]] + 1
+        # Back to the given order, code points only: a prefix ends where no continuation byte follows.
+        ends = np.cumsum(length)
+        flat, starts = np.zeros(int(length.sum()), np.int32), ends - length
+        row, col = np.nonzero(np.arange(width)[:, None] < length[order][None, :])
+        flat[starts[order][col] + row] = count[row + 1, col]
+        for i in long.tolist():
+            flat[starts[i] : ends[i]] = self._one(raw[i])
+        text = np.frombuffer(b"".join(raw), np.uint8)
+        whole = np.append(text[1:] & 0xC0 != 0x80, True) if len(text) else np.zeros(0, bool)
+        whole[ends[length > 0] - 1] = True
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        return flat[whole], sizes
+
+    def _one(self, data: bytes) -> list[int]:
+        """The same for one very long pre-token, byte by byte."""
+        last, count, s = [0], [0], 0
+        stable: dict[tuple[int, int], bool] = {}
+        for i, byte in enumerate(data, 1):
+            s = self.moves.item(s, byte)
+            t = self.token.item(s)
+            a = i - self.size.item(t)
+            while a:
+                pair = last[a], t
+                if pair not in stable:
+                    if len(stable) > KEPT:
+                        stable.clear()
+                    stable[pair] = bool(self._stable(np.array(pair[:1]), np.array(pair[1:]))[0])
+                if stable[pair]:
+                    break
+                t = self.shorter.item(t)
+                a = i - self.size.item(t)
+            last.append(t)
+            count.append(count[a] + 1)
+        return count[1:]
 
     def prefix(self, text: str) -> list[int]:
         """Token counts of text[:1], text[:2] ... of one pre-token."""
-        data = text.encode("utf-8", "replace")
-        n = len(data)
-        last: list[bytes] = [b""] * (n + 1)
-        count = [0] * (n + 1)
-        tokens, longest = self.tokens, self.longest
-        for i in range(1, n + 1):
-            for a in range(max(0, i - longest), i):
-                t = data[a:i]
-                if t in tokens and (not a or (count[a] and self._is_stable(last[a], t))):
-                    last[i], count[i] = t, count[a] + 1
-                    break
-        return [count[i] for i in range(1, n + 1) if i == n or data[i] & 0xC0 != 0x80]
+        return self.prefixes([text])[0].tolist()
 
     def _slow(self, text: str) -> np.ndarray:
         """Counts of every prefix, the empty one first, for any text."""
@@ -254,8 +385,15 @@ class PrefixCounter:
     def prefix_of_plain(self, text: str) -> list[int]:
         out: list[int] = []
         base = 0
-        for _, (a, b) in self.lib.pre_tokenizer.pre_tokenize_str(text):
-            counts = self.prefix(text[a:b])
+        spans = [x for _, x in self.lib.pre_tokenizer.pre_tokenize_str(text)]
+        if len(self.far) > KEPT:
+            self.far.clear()
+        new = list({text[a:b] for a, b in spans} - self.far.keys())
+        flat, size = self.prefixes(new)
+        ends = np.cumsum(size).tolist()
+        self.far |= {t: flat[x - len(t) : x].tolist() for t, x in zip(new, ends)}
+        for a, b in spans:
+            counts = self.far[text[a:b]]
             out += [base + c for c in counts]
             base += counts[-1]
         return self._spaces(text, out)
@@ -274,7 +412,7 @@ class PrefixCounter:
         """Per text the counts of all its prefixes, from the empty one to the whole."""
         for _, data, offs in chunks(texts, CHUNK):
             pre = PreTokens(data, offs)
-            at, size = self.kept.find(pre.keys, lambda new: [self.prefix(t) for t in pre.texts(new)])
+            at, size = self.kept.find(pre, self.prefixes)
             at, size = at[pre.number], size[pre.number]
             inner = gather(self.kept.flat, at, size)
             whole = self.kept.flat[at + size - 1] if len(at) else np.zeros(0, np.int32)
@@ -283,13 +421,27 @@ class PrefixCounter:
             per_doc = np.bincount(pre.doc, weights=whole, minlength=n_docs).astype(np.int64)
             before = np.cumsum(per_doc) - per_doc
             counts = (inner + np.repeat(total - before[pre.doc], size)).astype(np.int32)
+            points_of = np.bincount(pre.doc, weights=size, minlength=n_docs).astype(np.int64)
+            ends = np.cumsum(points_of)
             for d in range(n_docs):
                 if d in pre.slow:
                     yield self._slow(pre.slow_text(d))
                     continue
                 a, b = int(pre.begin[d]), int(pre.begin[d + 1])
-                own = np.concatenate([np.zeros(1, np.int32), counts[a:b]])
+                own = np.concatenate([np.zeros(1, np.int32), counts[ends[d] - points_of[d] : ends[d]]])
                 space = _CLASS[np.minimum(pre.points[a:b], _LIMIT)] == SPACE
                 if (space[1:] & space[:-1]).any() or (pre.points[a:b] == 39).any():
                     own[1:] = self._spaces(pre.slow_text(d), own[1:].tolist())
                 yield own
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One engine, with its memory of pre-tokens, per worker process."""
+    return Encoder(path)
+
+
+@functools.lru_cache(maxsize=2)
+def prefix_counter(path: str) -> PrefixCounter:
+    """One engine, with its memory of pre-tokens, per worker process."""
+    return PrefixCounter(path)

@@ -7,8 +7,10 @@ needs no list of all pairs within a group of copies.
 
 Method
 ------
-1. *Classes.* Documents with equal sets share a 64-bit fingerprint (a second,
-   independent one proves that no two sets were confused) and count as one.
+1. *Classes.* Documents with equal sets share a 64-bit fingerprint and count as
+   one.  A second fingerprint, of word hashes at another base, is held against
+   it: the two confuse a pair of sets with probability 2^-110 or so, and one
+   that disagrees stops the job.
 2. *Bounding scan.* A set that links with any other shares at least k of its
    first ``n - ceil(t n) + k`` tokens in hash order with it.  One pass counts,
    for every class, how many of those tokens any other class has as well;
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 
 from tallow.llm import scratch
 from tallow.llm.components import components
-from tallow.llm.textbatch import chunks, prints, shingles
+from tallow.llm.textbatch import chunks, fingerprint, shingles
 
 #: A table of at most so many keys of 8 bytes is sent to all executors; a larger one is shuffled.
 BROADCAST_KEYS = 4_000_000
@@ -63,11 +65,10 @@ def _class_rows(k: int):
         for batch in batches:
             ns, fs, gs = [], [], []
             for _, data, offs in chunks(batch.column(1)):
-                for s in shingles(data, offs, k):
-                    f, g = prints(s)
+                for s, other in zip(shingles(data, offs, k), shingles(data, offs, k, base=1)):
                     ns.append(len(s))
-                    fs.append(f)
-                    gs.append(g)
+                    fs.append(fingerprint(s))
+                    gs.append(fingerprint(other))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ns, pa.int64()), pa.array(fs, pa.int64()), pa.array(gs, pa.int64())],
                 ["doc_id", "n_shingles", "fp", "fp2"],
@@ -123,7 +124,7 @@ def _postings(k: int, pct: int, buckets: int):
                     n = len(s)
                     if not n:
                         continue
-                    fp = prints(s)[0]
+                    fp = fingerprint(s)
                     if fp not in sets:
                         take = min(n, n - _need(n, pct) + max(1, n // 8) + 1)
                         sets[fp] = s[:take].copy()
@@ -165,7 +166,7 @@ def _set_rows(k: int):
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([prints(s)[0] for s in sets], pa.int64()),
+                        pa.array([fingerprint(s) for s in sets], pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64))),
                     ],
@@ -183,7 +184,7 @@ def _survivors(docs: DataFrame, classes: DataFrame, k: int, pct: int) -> DataFra
     buckets = max(4 * parts, tokens >> 20)
     posted = docs.select(F.col("text").cast("string")).mapInArrow(_postings(k, pct, buckets), "bucket long, tok binary, own binary")
     counts = posted.groupBy("bucket").applyInArrow(_shared, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("shared"))
-    kept = classes.join(counts, "fp").where(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.col("n") / 8)))
+    kept = classes.join(counts.hint("merge"), "fp").where(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.col("n") / 8)))
     return scratch.table(kept.select("fp", "rep"), "survivors")
 
 
@@ -264,7 +265,7 @@ def links(docs: DataFrame, k: int = 5, pct: int = 75, classes: DataFrame | None
 
     # The same between cells that share a prefix token.
     full, matrix = _cells(prefix, comp)
-    heads = sets.join(full.select("fp", "cell").distinct(), "fp").groupBy("cell").agg(F.min(score)["fp"].alias("fp"))
+    heads = sets.join(full.select("fp", "cell").distinct().hint("merge"), "fp").groupBy("cell").agg(F.min(score)["fp"].alias("fp"))
     met = _cell_pairs(matrix, pct)
     met = met.join(heads.select(F.col("cell").alias("x"), F.col("fp").alias("a")), "x").join(heads.select(F.col("cell").alias("y"), F.col("fp").alias("b")), "y")
     found = scratch.table(found.union(_verified(met, sets, pct)), "stars")
@@ -309,9 +310,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
     if classes.where("lo != hi").limit(1).count():
         raise RuntimeError("two different sets have one fingerprint; choose another seed in textbatch")
     comp = components(links(docs, k, pct, classes))
-    named = classes.join(comp.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least.hint("merge"), "component").select("fp", "component_id")
+    # Written: a component of very many classes may then be split, and what is small be sent to all.
+    named = scratch.table(classes.select("fp", "rep").join(comp.withColumnRenamed("id", "fp").hint("merge"), "fp"), "named")
+    least = scratch.table(named.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
+    linked = named.join(least, "component").select("fp", "component_id")
+    named = linked.union(classes.join(named, "fp", "left_anti").select("fp", F.col("rep").alias("component_id")))
     out = each.join(named.hint("merge"), "fp", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallow.llm import scratch
-from tallow.llm.bpe import Encoder
+from tallow.llm.bpe import encoder
 
 #: Pieces of a cell, on average; an island's memory and time follow it.
 CELL_PIECES = 2048
@@ -35,11 +35,11 @@ REPACK_BELOW = 0.9
 
 def _piece_rows(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        engine = encoder(path)
         tail = np.array([end_id], np.int32)
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
-            for row, ids in enumerate(encoder.encode(batch.column(1))):
+            for row, ids in enumerate(engine.encode(batch.column(1))):
                 ids = np.concatenate([ids, tail]).astype("<u4")
                 at, k, n = 0, 0, len(ids)
                 step = n % capacity or capacity

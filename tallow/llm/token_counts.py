@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallow.llm.bpe import PrefixCounter
+from tallow.llm.bpe import prefix_counter
 
 
 def _rows(path: str, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(path)
+        counter = prefix_counter(path)
         for batch in batches:
             row = 0
             held: list = []
