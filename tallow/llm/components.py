@@ -1,7 +1,9 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Each round is two group-by-minimum joins, so no vertex's neighbourhood is ever
-gathered in one place; rounds grow with the logarithm of the longest path.
+Each round joins every edge with the least neighbour of one of its ends.  The
+least neighbours are written first, so the edges' exchange serves the join
+alone: a vertex of very many edges may be split over tasks, or the small table
+sent to all of them.  Rounds grow with the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -12,40 +14,39 @@ from pyspark.sql import functions as F
 from tallow.llm import scratch
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """(u, v) both ways, with m: the least of u and all its neighbours."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.join(least.withColumn("m", F.least("m", "u")), "u")
-
-
 def _large(edges: DataFrame) -> DataFrame:
-    return _least(edges).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    """Every neighbour above u, linked to the least of u and its neighbours."""
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")), "least").withColumn("m", F.least("m", "u"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
+    """u and its neighbours below, linked to the least of these."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = scratch.table(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     near = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.union(least.select("u", F.col("m").alias("v")))
 
 
+def _edges(df: DataFrame) -> DataFrame:
+    return scratch.table(df.where("u != v").distinct(), "edges")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every vertex in links; component is its least id.
 
     Null ends and loops are ignored; repeated links count once; an empty table
-    gives an empty one.
+    gives an empty one.  The rounds end when one changes no edge.
     """
-    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct()
-    edges = scratch.table(edges, "links")
-    seen = None
-    while True:
-        edges = _small(_large(edges).where("u != v").distinct()).where("u != v").distinct()
-        edges = scratch.table(edges, "stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if now == seen:
+    edges = _edges(links.select(F.col(a).alias("u"), F.col(b).alias("v")))
+    count = edges.count()
+    while count:
+        old, before = edges, count
+        edges = _edges(_small(_edges(_large(edges))))
+        count = edges.count()
+        if count == before and not edges.join(old, ["u", "v"], "left_anti").limit(1).count():
             break
-        seen = now
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
         edges.select(F.col("v").alias("id"), F.col("v").alias("component"))
     ).distinct()
