@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from tallow.llm import scratch
 from tallow.llm.textbatch import ALNUM, NOT_SPACE, Words, chunks
 
-#: Rows of either kind that training takes at most: those of least hash.
+#: Rows of either kind that the weights are fitted on at most: those of least hash.
 SAMPLE = 20_000
+#: Score bins in which positives and unlabelled rows are counted for the class prior.
+GRID = 2000
 NAMES = ("n_words", "word_len", "symbols", "upper", "digits", "marks", "pipes", "distinct", "repeats", "top_word", "lines", "far", "bare", "shouts")
 BINS = 12
 
@@ -98,21 +100,26 @@ class Model:
 
 
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.05) -> float:
-    """Share of positives among the unlabelled, from the scores of both.
+    """Share of positives among the unlabelled, from the counts of both per score bin, lowest scores first.
 
-    Wherever positives fall below a score, the unlabelled do so at least as
+    Wherever positives stand above a score, the unlabelled do so at least as
     often times the prior: the prior is at most the least ratio of the two
     shares above a threshold that leaves a share ``least`` of the positives,
     each with its deviation bound (Scott 2015).
     """
-    p, u = np.sort(positive), np.sort(unlabelled)
-    if not len(p) or not len(u):
+    n, m = positive.sum(), unlabelled.sum()
+    if not n or not m:
         return 0.5
-    at = np.unique(np.quantile(p, np.linspace(0, 1 - least, 200)))
-    above = lambda s: 1 - np.searchsorted(s, at, "left") / len(s)
-    eps = np.sqrt(np.log(200) / len(p)) / 2 + np.sqrt(np.log(200) / len(u)) / 2
-    ratio = (above(u) + eps) / np.maximum(above(p) - eps, 1e-9)
-    return float(np.clip(ratio[above(p) > 2 * eps].min(initial=1.0), 0.05, 0.98))
+    above = lambda c: np.cumsum(c[::-1])[::-1] / c.sum()
+    p, u = above(positive), above(unlabelled)
+    eps = np.sqrt(np.log(200) / n) / 2 + np.sqrt(np.log(200) / m) / 2
+    ratio = (u + eps) / np.maximum(p - eps, 1e-9)
+    return float(np.clip(ratio[(p > 2 * eps) & (p >= least)].min(initial=1.0), 0.05, 0.98))
+
+
+def grid(scores: np.ndarray) -> np.ndarray:
+    """The score bin of each score."""
+    return np.minimum((scores * GRID).astype(np.int64), GRID - 1)
 
 
 def _fit(model: Model, p: np.ndarray, u: np.ndarray, prior: float | None, steps: int = 800, rate: float = 0.1, decay: float = 1e-5) -> None:
@@ -142,19 +149,16 @@ def _fit(model: Model, p: np.ndarray, u: np.ndarray, prior: float | None, steps:
     model.weight, model.shift = theta[:-1], float(theta[-1])
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[Model, float]:
-    """(model, prior). Without positives or unlabelled rows every text scores one half."""
+def start(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
+    """A model with bins and the weights that tell positives from unlabelled; all weights 0 if either is missing."""
     both = np.concatenate([positive, unlabelled])
     cuts = [np.unique(np.quantile(both[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) if len(both) else np.zeros(0) for k in range(len(NAMES))]
     # Rare extremes, where junk is found, get bins of their own.
     cuts = [np.unique(np.concatenate([c, np.quantile(both[:, k], [0.005, 0.02, 0.05, 0.95, 0.98, 0.995]) if len(both) else []])) for k, c in enumerate(cuts)]
     model = Model(cuts, np.zeros(sum(len(c) + 1 for c in cuts)), 0.0)
-    if not len(positive) or not len(unlabelled):
-        return model, 0.5
-    _fit(model, positive, unlabelled, None)
-    prior = class_prior(model.score(positive), model.score(unlabelled))
-    _fit(model, positive, unlabelled, prior)
-    return model, prior
+    if len(positive) and len(unlabelled):
+        _fit(model, positive, unlabelled, None)
+    return model
 
 
 def _score_rows(model):
@@ -167,26 +171,71 @@ def _score_rows(model):
     return run
 
 
+def _least(stats: DataFrame, sample: int) -> list[DataFrame]:
+    """The ``sample`` rows of least hash of kind 0 and of kind 1 of stats (kind, h, doc_id, x).
+
+    Counts per kind and leading bits of the hash say below which hash these
+    rows stand, so that about as many and no more come to the driver.
+    """
+    lead = F.shiftright("h", 52)  # 4096 values in all
+    counts = sorted(tuple(r) for r in stats.groupBy("kind", lead.alias("lead")).count().collect())
+    cut, seen = {}, {}
+    for kind, at, n in counts:
+        if seen.get(kind, 0) < sample:
+            cut[kind] = at
+        seen[kind] = seen.get(kind, 0) + n
+    near = F.lit(False)
+    for kind, at in cut.items():
+        near = near | ((F.col("kind") == kind) & (lead <= at))
+    return [stats.where(near & (F.col("kind") == kind)).orderBy("h", "doc_id", "x").limit(sample) for kind in (0, 1)]
+
+
+def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, float]:
+    """(model, class prior) from stats (doc_id, held_out, x).
+
+    The weights are fitted on a bounded sample; the prior is estimated from
+    the scores of all positives and all unlabelled rows.
+    """
+    spark = stats.sparkSession
+    # Labels grow with the corpus: joined by shuffle, of keys and statistics only.
+    known = labels.where("quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").hint("merge")
+    kind = F.when(F.col("quality").isNull(), 0).when(F.col("quality") == 1, 1).alias("kind")
+    taught = stats.where("NOT held_out").join(known, "doc_id", "left").select(kind, F.xxhash64("doc_id").alias("h"), "doc_id", "x").where("kind IS NOT NULL")
+    taught = scratch.table(taught, "taught")
+    u, p = (np.array([r[0] for r in few.select("x").collect()]).reshape(-1, len(NAMES)) for few in _least(taught, sample))
+    model = start(p, u)
+    if not len(p) or not len(u):
+        return model, 0.5
+    shared = spark.sparkContext.broadcast(model)
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.asarray(batch.column(1).flatten()).reshape(-1, len(NAMES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grid(shared.value.score(x)))], ["kind", "bin"])
+
+    counts = np.zeros((2, GRID))
+    for k, b, n in taught.select("kind", "x").mapInArrow(bins, "kind int, bin long").groupBy("kind", "bin").count().collect():
+        counts[k, b] = n
+    prior = class_prior(counts[1], counts[0])
+    _fit(model, p, u, prior)
+    return model, prior
+
+
 def score(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs (doc_id, text, ...).
 
     held_out rows (crc32 of doc_id as text divisible by five) teach nothing.
     Positives are the others labelled quality 1, unlabelled those without a
-    label; of each the ``sample`` rows of least hash.  A document labelled
-    twice counts twice; a null or empty text has the statistics of no words; a
-    null doc_id is scored and not held out; empty tables give an empty result
-    or scores of one half.
+    label; the weights are fitted on the ``sample`` rows of least hash of each,
+    the class prior on all of them.  A document labelled twice counts twice; a
+    null or empty text has the statistics of no words; a null doc_id is scored
+    and not held out; empty tables give an empty result or scores of one half.
     """
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     stats = texts.mapInArrow(_statistic_rows, "doc_id long, x array<double>")
     stats = scratch.table(stats.select("doc_id", out.alias("held_out"), "x"), "statistics")
-    # Labels grow with the corpus: joined by shuffle, of keys and statistics only.
-    known = labels.where("quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").hint("merge")
-    first = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    taught = stats.where("NOT held_out")
-    pick = lambda df: np.array([r[0] for r in first(df).select("x").collect()]).reshape(-1, len(NAMES))
-    model, _ = train(pick(taught.join(known.where("quality = 1").select("doc_id").hint("merge"), "doc_id")), pick(taught.join(known, "doc_id", "left_anti")))
+    model, _ = fit(stats, labels, sample)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     scored = stats.mapInArrow(_score_rows(shared), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= cutoff).cast("int"))
