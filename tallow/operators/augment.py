@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tallow.functions.recurrence import linear_recurrences
+from tallow.functions.recurrence import Affine, linear_recurrences
 
 PRESETS = {"light": ["jitter", "scale"], "medium": ["jitter", "scale", "magnitude_warp"], "strong": ["jitter", "scale", "magnitude_warp", "trend_inject", "regime_noise"], "time": ["window_crop", "block_bootstrap"], "mix": ["mixup"], "tails": ["tail_augment"]}
 
@@ -81,7 +81,7 @@ def volatility_regime(df: DataFrame, columns: list[str], alpha: float = 0.1, bet
     """X times a volatility path v = 0.01 + alpha z^2 + beta v', its root over its mean, clipped to [0.5, 2]."""
     z = df.withColumn("__z", normal(seed, f"vol/{copy}", "Ticker", "idx"))
     z = z.withColumn("__z1", F.coalesce(F.lag("__z", 1).over(Window.partitionBy("Ticker").orderBy("idx")), F.lit(0.0)))
-    path = linear_recurrences(z, {"__v": (f"CASE WHEN idx = 0 THEN 0.0 ELSE {beta!r} END", f"CASE WHEN idx = 0 THEN 1.0 ELSE 0.01 + {alpha!r} * __z1 * __z1 END")}, order="idx")
+    path = linear_recurrences(z, [Affine("__v", f"CASE WHEN idx = 0 THEN 0.0 ELSE {beta!r} END", f"CASE WHEN idx = 0 THEN 1.0 ELSE 0.01 + {alpha!r} * __z1 * __z1 END")], order="idx")
     root = F.sqrt("__v")
     path = path.withColumn("__f", F.greatest(F.least(root / F.avg(root).over(Window.partitionBy("Ticker")), F.lit(2.0)), F.lit(0.5)))
     return _put(path, df, {c: F.col(c) * F.col("__f") for c in columns})

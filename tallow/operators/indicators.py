@@ -4,7 +4,7 @@ An indicator is a formula (see functions.dialect) over named columns: candle
 columns Open, High, Low, Close, Volume, shared intermediates and other
 indicators.  The planner orders what is asked for by dependency into levels
 and emits one ``select`` per level, so that all windows of a level share one
-sort; recurrences of a level are solved together.  Every indicator is shifted
+sort; recurrences, those that take each other in too, are solved in one pass.  Every indicator is shifted
 by one row at the end, so that a row knows only the rows before it.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tallow.functions.dialect import ORDER, Spark
-from tallow.functions.recurrence import linear_recurrences
+from tallow.functions.recurrence import Affine, Mean, linear_recurrences
 
 CANDLE = ("Open", "High", "Low", "Close", "Volume")
 Formula = Callable[[Spark], str]
@@ -28,10 +28,15 @@ Formula = Callable[[Spark], str]
 
 @dataclass
 class Recurrence:
-    """y = a y' + b; both formulas."""
+    """y = a y' + b; both formulas.  An exponential mean also says of what sum (name, factor), and its span."""
 
     a: Formula
     b: Formula
+    of: tuple[tuple[str, float], ...] = ()
+    span: int = 0
+
+    def part(self, name: str, d: Spark) -> Mean | Affine:
+        return Mean(name, self.of, self.span) if self.of else Affine(name, self.a(d), self.b(d))
 
 
 @dataclass
@@ -101,8 +106,11 @@ REGISTRY = Registry()
 _add, _help = REGISTRY.register, REGISTRY.helper
 
 
-def ema(x: str, span: int) -> Recurrence:
-    """Exponential mean without adjustment; starts at the first value, an inner gap carries the mean on."""
+def ema(x: str, span: int, **of: float) -> Recurrence:
+    """Exponential mean without adjustment; starts at the first value, an inner gap carries the mean on.
+
+    of says what x is the sum of, if that is recurrences of the same pass: name=factor.
+    """
     keep = 1 - 2 / (span + 1)
     alpha = 2 / (span + 1)
 
@@ -115,7 +123,7 @@ def ema(x: str, span: int) -> Recurrence:
         none = f"{d.frame(f'count({x})', None)} = 0"
         return f"CASE WHEN {first(d)} THEN {x} WHEN {none} THEN NULL WHEN {x} IS NULL THEN 0.0 ELSE {alpha!r} * {x} END"
 
-    return Recurrence(a, b)
+    return Recurrence(a, b, tuple(of.items()) or ((x, 1.0),), span)
 
 
 # Shared intermediates.
@@ -217,7 +225,7 @@ _add("stoch_rsi_14", "momentum", lambda d: d.full("avg", "rsi_pos", 3), ["Close"
 _help("ema_12", ema("Close", 12))
 _help("ema_26", ema("Close", 26))
 _add("macd_12_26_9", "momentum", lambda d: "ema_12 - ema_26", ["Close"])
-_add("macd_12_26_9_signal", "momentum", ema("macd_12_26_9", 9), ["Close"])
+_add("macd_12_26_9_signal", "momentum", ema("macd_12_26_9", 9, ema_12=1.0, ema_26=-1.0), ["Close"])
 _add("macd_12_26_9_hist", "momentum", lambda d: "macd_12_26_9 - macd_12_26_9_signal", ["Close"])
 _help("tp_avg_20", lambda d: d.full("avg", "tp", 20))
 _help("tp_list_20", lambda d: d.window_list("tp", 20))
@@ -357,16 +365,25 @@ def compute(candles: DataFrame, names: Iterable[str], shift: bool = True, regist
     Series are the rows of one Ticker by Datetime.  Rows of a series too short
     for a window get null, flags 0 (null in the first row once shifted).
     """
-    names = list(names)
-    d = Spark()
+    names, d = list(names), Spark()
     out = candles
-    for level in registry.levels(names, d):
-        plain = [n for n in level if not isinstance(registry.formula(n), Recurrence)]
-        maps = {n: tuple(registry.texts(n, d)) for n in level if n not in plain}
-        if plain:
+    todo = [n for level in registry.levels(names, d) for n in level]
+    while todo:
+        # All formulas that need no recurrence still to come, level by level; then all recurrences that these and each other feed.
+        while plain := [n for n in todo if not isinstance(registry.formula(n), Recurrence) and not registry.needs(n, d).intersection(todo)]:
             out = out.select("*", *[F.expr(registry.texts(n, d)[0]).alias(n) for n in plain])
-        if maps:
-            out = linear_recurrences(out, maps)
+            todo = [n for n in todo if n not in plain]
+        means = [n for n in todo if isinstance(registry.formula(n), Recurrence)]
+
+        def waits(n: str) -> bool:
+            f = registry.formula(n)
+            return bool({x for x, _ in f.of} & (set(todo) - set(means)) if f.of else registry.needs(n, d).intersection(todo))
+
+        while late := [n for n in means if waits(n)]:
+            means = [n for n in means if n not in late]
+        if means:
+            out = linear_recurrences(out, [registry.formula(n).part(n, d) for n in means])
+            todo = [n for n in todo if n not in means]
     w = Window.partitionBy("Ticker").orderBy("Datetime")
     return out.select(*candles.columns, *[(F.lag(n, 1).over(w) if shift else F.col(n)).alias(n) for n in names])
 
