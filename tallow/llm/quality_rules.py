@@ -85,17 +85,33 @@ def statistics(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", failed & (F.monotonically_increasing_id() >= 0))
 
 
+def _log_factorial(x: Column) -> Column:
+    """ln x! by Stirling's series at x + 9, whose error is below 1e-10."""
+    z = x.cast("double") + 9
+    up = F.lit(1.0)
+    for k in range(1, 9):
+        up = up * (x.cast("double") + k)
+    return (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * F.pow(z, F.lit(5))) - F.ln(up)
+
+
 def binomial_cdf(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) for X ~ Binomial(n, p), summed term by term in logarithms."""
-    ratio = math.log(p / (1 - p))
-    start = F.struct((n * F.lit(math.log(1 - p))).alias("t"), F.exp(n * F.lit(math.log(1 - p))).alias("s"))
+    """P(X <= k) for X ~ Binomial(n, p) and k up to n p, rounded up by 1e-4 of itself.
+
+    The last term comes from factorials, those before it one from another;
+    they fall like a bell curve, so that nine deviations of them are all that
+    counts.
+    """
+    top = F.exp(_log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) + k * F.lit(math.log(p)) + (n - k) * F.lit(math.log(1 - p)))
+    odds = (1 - p) / p
 
     def add(acc: Column, j: Column) -> Column:
-        t = acc["t"] + F.ln((n - j + 1) / j.cast("double")) + F.lit(ratio)
-        return F.struct(t.alias("t"), (acc["s"] + F.exp(t)).alias("s"))
+        t = acc["t"] * j * F.lit(odds) / (n - j + 1)
+        return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
 
-    steps = F.when(k >= 1, F.sequence(F.lit(1).cast("long"), F.least(k, n))).otherwise(F.array().cast("array<bigint>"))
-    return F.when(k >= n, F.lit(1.0)).otherwise(F.aggregate(steps, start, add)["s"])
+    least = F.greatest(F.lit(1).cast("long"), k - F.ceil(F.sqrt(n * p) * 9 + 40).cast("long"))
+    steps = F.when(k >= 1, F.sequence(k, least, F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    total = F.aggregate(steps, F.struct(top.alias("t"), top.alias("s")), add)["s"]
+    return F.when(k >= n, F.lit(1.0)).otherwise(F.least(F.lit(1.0), total * 1.0001))
 
 
 def thresholds(stats: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, level: float = 0.05) -> DataFrame:
@@ -114,22 +130,24 @@ def thresholds(stats: DataFrame, labels: DataFrame, stratum: str = "lang", risk:
     long = held.select(F.col(stratum).alias("stratum"), F.explode(values).alias("rule", "value"))
     # Reject counts of every cutoff at once: partial sums, one row per stratum and rule.
     counts = long.groupBy("stratum", "rule").agg(F.count("*").alias("n"), *[F.sum((F.col("value") > c).cast("long")).alias(f"k{c}") for c in CUTOFFS])
+    counts = scratch.table(counts, "rejects")
+    tests = max(1, counts.select("stratum").distinct().count() * len(RULES) * len(CUTOFFS))
     each = counts.select("stratum", "rule", "n", F.explode(F.array(*[F.struct(F.lit(c).alias("cutoff"), F.col(f"k{c}").alias("k")) for c in CUTOFFS])).alias("x"))
-    tests = counts.agg((F.countDistinct("stratum") * len(RULES) * len(CUTOFFS)).alias("tests"))
-    each = each.crossJoin(F.broadcast(tests)).select("stratum", "rule", "n", "tests", "x.cutoff", "x.k")
+    each = each.select("stratum", "rule", "n", "x.cutoff", "x.k")
     # Above the risk no cutoff can pass; the sum is only formed where it may.
     part = risk / len(RULES)  # what each rule may reject, so that all together keep to the risk
-    proven = F.when(F.col("k") > F.col("n") * part, F.lit(False)).otherwise(binomial_cdf(F.col("k"), F.col("n"), part) * F.col("tests") <= level)
+    proven = F.when(F.col("k") > F.col("n") * part, F.lit(False)).otherwise(binomial_cdf(F.col("k"), F.col("n"), part) * tests <= level)
     return each.where(proven).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
 def judge(stats: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
     """stats with rejected_by (names of the rules that reject, sorted) and kept.
 
-    cutoffs has one row per stratum and rule in use, a few hundred at most.
+    cutoffs has one row per stratum and rule in use; read from a written
+    table, its size decides whether it is sent to all tasks.
     """
     by = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", F.col("cutoff").cast("double")))).alias("__cut"))
-    out = stats.join(F.broadcast(by.withColumnRenamed("stratum", "__stratum")), stats[stratum] == F.col("__stratum"), "left")
+    out = stats.join(by.withColumnRenamed("stratum", "__stratum"), stats[stratum] == F.col("__stratum"), "left")
     over = [F.when(f() > F.try_element_at("__cut", F.lit(name)), F.lit(name)) for name, f in sorted(RULES.items())]
     out = out.withColumn("rejected_by", F.array_compact(F.array(*over)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("__cut", "__stratum")
@@ -138,15 +156,16 @@ def judge(stats: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFr
 NEW = (*NUMBERS, "base_failed", "rejected_by", "kept")
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, level: float = 0.05) -> DataFrame:
-    """docs with the statistics, base_failed, rejected_by and kept.
+def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, level: float = 0.05, keep_text: bool = True) -> DataFrame:
+    """docs with the statistics, base_failed, rejected_by and kept; without keep_text less the column text.
 
-    All columns of docs stay (one named like a new column is replaced), and so
-    do all rows, repeated ones too.  A null text has no words and fails the
-    base rules; a null stratum has the base rules only.  Empty labels leave
+    All other columns of docs stay (one named like a new column is replaced),
+    and so do all rows, repeated ones too.  A null text has no words and fails
+    the base rules; a null stratum has the base rules only.  Empty labels leave
     the base rules, an empty docs an empty result.
     """
     stats = statistics(docs.drop(*NEW))
-    # Counts of the labelled documents: one small table, written so that both uses see the same cutoffs.
+    # Written: the cutoffs and the verdicts use the same numbers, each text is gone through once.
+    stats = scratch.table(stats if keep_text else stats.drop("text"), "statistics")
     cutoffs = scratch.table(thresholds(stats, labels.select("doc_id", "quality"), stratum, risk, level), "cutoffs")
     return judge(stats, cutoffs, stratum)
