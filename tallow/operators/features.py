@@ -139,46 +139,69 @@ def drop_incomplete(df: DataFrame, columns: list[str]) -> DataFrame:
 # Rules on names ----------------------------------------------------------
 
 # Patterns of feature names by scale class, in order of precedence; case does not matter.
-RULES: list[tuple[str, str]] = [
-    ("volume", r"^volume|^obv$|^ad_line|^pvt$|^kvo|^force_index|^eom|_volume|volume_"),
-    ("relative", r"ratio|return|pct|zscore|percent|position|normalized|^rsi|^stoch|^williams|^roc|_roc|^cci|^adx|^dmi|^aroon|^vortex|^mfi|^cmf|^tsi|^ppo|^trix|^ultimate|^hurst|^autocorr|^skew|^kurt|^entropy|volatility|vol_|drawdown|dist_to|slope|cross|spread|breakout|breakdown|inside_bar|engulfing|spike|score|fisher|width|body_to_range|close_pos"),
-    ("absolute", r"^(sma|ema|wma|vwma|hma|dema|tema|kama)_\d+$|^atr_|^true_range|^vwap|^(open|high|low|close)_lag_\d+$|_rolling_\d+_(mean|min|max|median)$|^momentum_|^candle_body|wick|^gap_|^intraday_range|^dpo|^elder_ray|^awesome"),
-    ("relative", r"_rolling_\d+_(skew|kurt)$"),
-    ("absolute", r"_rolling_\d+_(std|var)$"),
-    ("price", r"^(open|high|low|close|adj close)$"),
-]
-SCALE_FREE_SUFFIXES = ("_ratio", "_normalized", "_position", "_percent", "_pct", "_zscore", "_return")
-ABSOLUTE_PREFIXES = ("sma_", "ema_", "wma_", "vwma_", "hma_", "dema_", "tema_", "kama_", "atr_", "true_range", "vwap_", "obv", "ad_line", "pvt")
+RULES: dict[str, tuple[str, ...]] = {
+    "volume": ("^Volume$", "^Volume_", "_Volume_", "^obv$", "^vpt$", "^ad_line$", "^force_index", "^ease_of_movement"),
+    "relative": (
+        r"_return_\d+$", "^log_return", "^pct_return", "_log_return$", "_pct_return$", "_ratio", "^price_to_sma", "_normalized", "_zscore", "^zscore_", "_percentile", "_position",
+        "^bb_width", "^keltner_width", "^donchian_width", r"^rsi_\d+$", "^stoch_[kd]$", "^stoch_rsi", r"^cci_\d+$", r"^mfi_\d+$", "^williams_r", r"^adx_\d+$", r"^di_(plus|minus)_\d+$",
+        "^realized_vol", "^parkinson_vol", "^garman_klass", "^chaikin_vol", "^trend_strength", "^aroon_", "_return.*_rolling.*_std", "_acceleration$", "^price_acceleration", r"^roc_\d+$", r"_ROC_\d+$", "^cmf_", "^regime_", "^hurst_", "^fractal_dim",
+    ),
+    "absolute": (
+        "^(Close|Open|High|Low|Adj Close)$", r"^(Close|Open|High|Low)_lag_\d+$", r"^(Close|Open|High|Low)_rolling_\d+_(mean|min|max|median)$", r"^(sma|ema|wma|dema|tema|kama|hma|vwma)_\d+$", r"^atr_\d+$", "^true_range$",
+        r"^bb_(upper|lower)_\d+$", r"^(keltner|donchian)_(upper|lower)_\d+$", "^macd_(line|signal|hist)$", r"^momentum_\d+$", "^intraday_range$", "^gap_open_close$", r"^dpo_\d+$", r"^elder_ray_(bull|bear)_\d+$", "^awesome_osc$", r"^Close_momentum_\d+$",
+    ),
+}
+PRICE_NAMES = ("Close", "Open", "High", "Low", "Adj Close")
+#: What else a price gives its name to, as written, is of its scale.
+PRICE_PREFIX = f"^({'|'.join(PRICE_NAMES)})_"
+# Prefixes of indicators in price units, and what makes them safe anywhere in the name.
+ABSOLUTE_PREFIXES = ("sma_", "ema_", "wma_", "vwma_", "hma_", "dema_", "tema_", "kama_", "true_range", "atr_", "momentum_", "macd_", "elder_ray_", "awesome_osc", "dpo_", "gap_open_close", "intraday_range")
+SCALE_FREE_PARTS = ("_ratio", "_normalized", "_pct", "_percent", "_width", "_position")
+# Parts of names that speak of the future, and of names of features that look back.
+FUTURE = ("_t+", "_future", "_next", "_forward", "_ahead")
+BACKWARD = ("_lag_", "_return_", "_rolling_", "_ma_ratio_", "_ROC_", "_momentum_", "_acceleration")
 
 
 def classify(names: DataFrame, name: str = "name") -> DataFrame:
-    """names with scale: the first rule's class whose pattern the name matches, else other."""
-    found = F.lit("other")
-    for scale, pattern in reversed(RULES):
-        found = F.when(F.col(name).rlike(f"(?i){pattern}"), scale).otherwise(found)
+    """names with scale: volume, relative, absolute or other, by the first class with a pattern that the name matches."""
+    n = F.col(name)
+    found = F.when(n.rlike(PRICE_PREFIX), "absolute").otherwise("other")
+    for scale in reversed(RULES):
+        found = F.when(n.rlike(f"(?i){'|'.join(RULES[scale])}"), scale).otherwise(found)
     return names.withColumn("scale", found)
 
 
 def scale_of(name: str) -> str:
-    return next((s for s, p in RULES if re.search(p, name, re.I)), "other")
+    found = next((s for s, patterns in RULES.items() if re.search("|".join(patterns), name, re.I)), None)
+    return found or ("absolute" if re.search(PRICE_PREFIX, name) else "other")
 
 
-def keep_scale_free(df: DataFrame) -> DataFrame:
-    """Columns of absolute scale go; prices, reserved and all other columns stay."""
-    return df.select(*[c for c in df.columns if c in RESERVED or scale_of(c) != "absolute"])
+def keep_scale_free(df: DataFrame, base: str = "Close") -> DataFrame:
+    """Columns of absolute scale go; the base price, reserved and all other columns stay."""
+    return df.select(*[c for c in df.columns if c in (*RESERVED, base) or scale_of(c) != "absolute"])
 
 
 def scale_free_indicators(names: list[str]) -> list[str]:
-    """Names without an absolute prefix, or with a safe suffix anywhere."""
-    return [n for n in names if not n.startswith(ABSOLUTE_PREFIXES) or any(s in n for s in SCALE_FREE_SUFFIXES)]
+    """Names without an absolute prefix, or with a safe part anywhere."""
+    return [n for n in names if not n.startswith(ABSOLUTE_PREFIXES) or any(s in n for s in SCALE_FREE_PARTS)]
 
 
 def of_base_price(columns: list[str], base: str = "Close") -> list[str]:
     """Columns that no other price gives its name to."""
-    others = [p for p in OHLCV if p not in (base, "Volume")]
+    others = [p for p in PRICE_NAMES if p != base]
     return [c for c in columns if not any(c == o or c.startswith(f"{o}_") for o in others)]
 
 
+def indicators_of_base_price(inputs: dict[str, set[str]], base: str = "Close") -> dict[str, str]:
+    """Of the indicators with these input columns those that need another price, with that price."""
+    return {n: min(bad) for n, cols in inputs.items() if (bad := {c for c in cols if c in PRICE_NAMES and c != base})}
+
+
+def prices_used(columns: list[str]) -> list[str]:
+    """Prices that are, or give their names to, columns."""
+    return [p for p in PRICE_NAMES if any(c == p or c.startswith(f"{p}_") for c in columns)]
+
+
 def feature_set(columns: list[str]) -> list[str]:
     """Five close-only features or more: these; else all of the close; else the rest."""
     derived = [c for c in columns if c.startswith("Close_")]
@@ -188,11 +211,21 @@ def feature_set(columns: list[str]) -> list[str]:
 
 
 def leak_messages(names: DataFrame) -> DataFrame:
-    """(name, level, message) of names that look into the future or are the raw target."""
+    """(name, level, message) of names that look into the future, are the raw target, or are of the close without looking back."""
     n = F.col("name")
-    level = F.when(n == "Close", "ERROR").when(n.rlike(r"(?i)_t\+\d|_future|_next|_forward|_ahead"), "ERROR").when(n.rlike(r"^Close_") & ~n.rlike(r"lag|rolling|return|ratio|ROC|momentum|acceleration"), "WARNING")
-    message = F.when(n == "Close", "the raw target is a feature").when(level == "ERROR", "the name speaks of the future").otherwise("a feature of the close without a lag")
-    return names.select("name", level.alias("level"), message.alias("message")).where("level IS NOT NULL")
+    speaks = lambda parts, x: F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(x, p))
+    found = [
+        (n == "Close", "ERROR", "the raw target is a feature"),
+        (speaks(FUTURE, F.lower(n)), "ERROR", "the name speaks of the future"),
+        (n.startswith("Close_") & ~speaks(BACKWARD, n), "WARNING", "a feature of the close that may not look back"),
+    ]
+    each = F.explode(F.array_compact(F.array(*[F.when(c, F.struct(F.lit(level).alias("level"), F.lit(text).alias("message"))) for c, level, text in found])))
+    return names.select("name", each.alias("m")).select("name", "m.level", "m.message")
+
+
+def overlapping_targets(pairs: DataFrame, feature_time: str, target_time: str) -> int:
+    """Rows whose target is not later than their features."""
+    return pairs.where(F.col(target_time) <= F.col(feature_time)).count()
 
 
 def first_row_gaps(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tallow.functions.windows import series, whole
+from tallow.operators.features import scale_free_indicators
 
 
 def row_index(df: DataFrame) -> DataFrame:
@@ -70,11 +71,18 @@ def postprocess(forecast: Column, last: Column, max_change: float = 0.1) -> Colu
     return F.aggregate(forecast, start, step, lambda s: s["out"])
 
 
-def preflight(spark, requested: list[str], registry_names: list[str], rows: int, limit: int = 100_000_000) -> DataFrame:
-    """(level, message): requested indicators that are not registered, and a cell count beyond limit."""
-    want = spark.createDataFrame([(x,) for x in requested], "name string")
-    have = spark.createDataFrame([(x,) for x in registry_names], "name string")
-    missing = want.join(have, "name", "left_anti").select(F.lit("ERROR").alias("level"), F.concat(F.lit("unknown indicator "), "name").alias("message"))
-    cells = rows * len(requested)
-    size = spark.createDataFrame([("WARNING", f"{cells} cells")] if cells > limit else [], "level string, message string")
-    return missing.union(size)
+def preflight(spark, requested: list[str], registry: dict[str, str], rows: int, groups: list[str] = (), limit: int = 100_000_000) -> DataFrame:
+    """(level, message) on a job of rows rows: unknown indicators and groups, a cell count beyond limit, indicators in price units.
+
+    registry gives the group of every indicator; a handful of names, so plain
+    lists become a small table.
+    """
+    found = [("ERROR", f"unknown indicator {x}") for x in requested if x not in registry]
+    found += [("ERROR", f"unknown group {x}") for x in groups if x not in registry.values()]
+    known = [x for x in requested if x in registry]
+    cells = rows * (len(known) + sum(g in groups for g in registry.values()))
+    if cells > limit:
+        found.append(("WARNING", f"{cells} cells"))
+    free = scale_free_indicators(known)
+    found += [("INFO", f"{x} is in price units") for x in known if x not in free]
+    return spark.createDataFrame(found, "level string, message string")

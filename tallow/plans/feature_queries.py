@@ -58,12 +58,12 @@ def query(name: str, sql: str | None, digits: int = 6):
 # Ingest --------------------------------------------------------------------
 
 
-@query("kline_normalise", "SELECT 'click' AS Ticker, date_trunc('millisecond', ts) AS Datetime, value AS Open, value AS High, value AS Low, value AS Close, CAST(user_id AS DOUBLE) AS Volume FROM events WHERE event_type = 'click'")
+@query("kline_normalise", "SELECT event_type AS Ticker, date_trunc('millisecond', ts) AS Datetime, value AS Open, value AS High, value AS Low, value AS Close, CAST(user_id AS DOUBLE) AS Volume FROM events")
 def kline_normalise(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'click'")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     text = lambda c: F.col(c).cast("string")
     k = F.array(F.unix_millis(F.col("ts").cast("timestamp")).cast("string"), *[text("value")] * 4, text("user_id"))
-    out = C.normalise_klines(e.select(k.alias("k")), "click")
+    out = C.normalise_klines(e.select("event_type", k.alias("k")), F.col("event_type"))
     return out.withColumn("Datetime", F.col("Datetime").cast("timestamp_ntz"))
 
 
@@ -74,7 +74,7 @@ def keep_last_chunk(spark, sf_dir):
     return C.keep_last(C.combine([c.withColumn("chunk", F.lit(1)), later.withColumn("chunk", F.lit(2))]))
 
 
-@query("clamp_history", f"SELECT c.* FROM ({EC}) c JOIN (SELECT Ticker, max(Datetime) AS m FROM ({EC}) GROUP BY 1) USING (Ticker) WHERE Datetime >= m - INTERVAL 7 DAY")
+@query("clamp_history", f"SELECT c.* FROM ({EC}) c JOIN (SELECT Ticker, max(Datetime) AS m FROM ({EC}) GROUP BY 1) USING (Ticker) WHERE Datetime >= m - INTERVAL 6 DAY")
 def clamp_history(spark, sf_dir):
     return C.clamp_history(C.event_candles(spark, sf_dir), "1m")
 
@@ -89,21 +89,20 @@ def asset_summary(spark, sf_dir):
     return C.summary(C.event_candles(spark, sf_dir))
 
 
-@query("symbols", """SELECT raw, CASE WHEN b IN ('BTC','ETH','BNB','SOL','XRP','ADA','DOGE','LTC','DOT') THEN b || '-USD' ELSE b END AS ticker,
-  CASE WHEN s IN ('BTC','ETH','BNB','SOL','XRP') THEN s || 'USDT' ELSE s || 'USDT' END AS pair
-FROM (SELECT *, regexp_replace(b, '[-/]?USDT?$', '') AS s FROM (SELECT raw, upper(trim(split_part(raw, ':', 1))) AS b FROM
-  (SELECT DISTINCT CASE c_custkey % 4 WHEN 0 THEN 'btc' WHEN 1 THEN c_mktsegment || ':NYSE' WHEN 2 THEN 'eth-usd' ELSE 'SOL/USDT' END AS raw FROM customer)))""")
+@query("symbols", '''SELECT raw, category, CASE WHEN category <> 'crypto' THEN upper(split_part(raw, ':', 1)) WHEN suffix(raw, '-USD') OR suffix(raw, '-USDT') THEN upper(raw) ELSE upper(raw) || '-USD' END AS ticker,
+  replace(replace(upper(raw), '-USD', ''), '-USDT', '') || 'USDT' AS pair
+FROM (SELECT DISTINCT CASE c_custkey % 5 WHEN 0 THEN 'btc' WHEN 1 THEN c_mktsegment || ':NYSE' WHEN 2 THEN 'eth-USD' WHEN 3 THEN lower(c_mktsegment) ELSE 'Sol-USDT' END AS raw, CASE WHEN c_custkey % 5 IN (1, 3) THEN 'stock' ELSE 'crypto' END AS category FROM customer)''')
 def symbols(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    m = F.col("c_custkey") % 4
-    raw = F.when(m == 0, "btc").when(m == 1, F.concat("c_mktsegment", F.lit(":NYSE"))).when(m == 2, "eth-usd").otherwise("SOL/USDT")
-    out = c.select(raw.alias("raw")).distinct()
-    return out.select("raw", *[v.alias(k) for k, v in C.symbol_columns(F.col("raw")).items()])
+    m = F.col("c_custkey") % 5
+    raw = F.when(m == 0, "btc").when(m == 1, F.concat("c_mktsegment", F.lit(":NYSE"))).when(m == 2, "eth-USD").when(m == 3, F.lower("c_mktsegment")).otherwise("Sol-USDT")
+    out = c.select(raw.alias("raw"), F.when(m.isin(1, 3), "stock").otherwise("crypto").alias("category")).distinct()
+    return out.select("raw", "category", *[v.alias(k) for k, v in C.symbol_columns(F.col("raw"), F.col("category")).items()])
 
 
 @query("candles_by_interval", f"SELECT Ticker, date_trunc('day', Datetime) AS Datetime, first(Open ORDER BY Datetime) AS Open, max(High) AS High, min(Low) AS Low, last(Close ORDER BY Datetime) AS Close, sum(Volume) AS Volume FROM ({EC}) GROUP BY ALL")
 def candles_by_interval(spark, sf_dir):
-    return C.event_candles(spark, sf_dir, bucket=C.BUCKETS[C.interval("daily")])
+    return C.event_candles(spark, sf_dir, bucket=C.BUCKETS[C.interval("1day")])
 
 
 # Features ------------------------------------------------------------------
@@ -185,24 +184,51 @@ def drop_incomplete(spark, sf_dir):
     return X.drop_incomplete(c, ["x"])
 
 
-_CASES = " ".join(f"WHEN regexp_matches(name, '{p}', 'i') THEN '{s}'" for s, p in X.RULES)
-_NAMES_SQL = f"SELECT unnest([{', '.join(repr(n) for n in REGISTRY.indicators)}]) AS name"
-_COLUMN_SQL = "SELECT DISTINCT event_type || s AS name FROM events, (SELECT unnest(['_lag_5', '_rolling_20_mean', '_ratio', '_t+1', '_future_x', '_volume']) AS s)"
+# Written by hand from the rules' meaning, not made from them: the class of every indicator that is not "other".
+_SCALES = """absolute: sma_5 sma_10 sma_20 sma_50 sma_200 ema_5 ema_10 ema_20 ema_50 ema_200 wma_20 vwma_20 hma_20 dema_20 tema_20 kama_10 kama_20 atr_14 true_range momentum_10 momentum_20 intraday_range
+gap_open_close dpo_20 elder_ray_bull_13 elder_ray_bear_13 awesome_osc
+relative: log_return_1 log_return_5 log_return_10 pct_return_1 pct_return_5 pct_return_10 realized_vol_5 realized_vol_10 realized_vol_20 zscore_close_5 zscore_close_10 zscore_close_20 price_acceleration
+sma_5_ratio sma_10_ratio sma_20_ratio sma_50_ratio sma_200_ratio ema_5_ratio ema_10_ratio ema_20_ratio ema_50_ratio ema_200_ratio price_to_sma_20_ratio price_to_ema_20_ratio atr_normalized_14 keltner_width_20
+keltner_position_20 donchian_width_20 donchian_position_20 parkinson_volatility_20 garman_klass_volatility_20 chaikin_volatility_10 rsi_14 rsi_28 stoch_rsi_14 cci_20 williams_r_14 roc_10 roc_20 adx_14 aroon_up_25
+aroon_down_25 aroon_osc_25 mfi_14 cmf_20 body_to_range_ratio hurst_100 skew_return_20 kurt_return_20
+volume: obv ad_line force_index_13 volume_roc_10 volume_zscore_20 volume_spike_20"""
+_CLOSE_SCALES = """absolute: Close Open High Low Close_lag_5 Close_rolling_20_mean Close_rolling_20_std Close_rolling_std_20 Close_momentum_10 High_x
+relative: Close_return_5 Close_log_return Close_ma_ratio Close_ROC_10 Close_acceleration
+volume: Volume Volume_lag_1
+other: Datetime high_x Ticker"""
 
 
-@query("classify_features", f"SELECT name, CASE {_CASES} ELSE 'other' END AS scale FROM ({_COLUMN_SQL} UNION ALL {_NAMES_SQL})")
-def classify_features(spark, sf_dir):
+def _scale_rows(text: str) -> str:
+    scale, rows = "", []
+    for word in text.split():
+        scale, rows = (word[:-1], rows) if word.endswith(":") else (scale, [*rows, f"('{word}', '{scale}')"])
+    return ", ".join(rows)
+
+
+_ENDS = ["_lag_5", "_rolling_20_mean", "_ratio", "_t+1", "_future_x", "_volume"]
+_COLUMN_SQL = f"SELECT DISTINCT event_type || s AS name FROM events, (SELECT unnest({_ENDS}) AS s)"
+_ALL_NAMES = ", ".join(f"('{n}')" for n in REGISTRY.indicators)
+
+
+def _event_names(spark, sf_dir) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type").distinct()
-    ends = F.explode(F.array(*map(F.lit, ["_lag_5", "_rolling_20_mean", "_ratio", "_t+1", "_future_x", "_volume"])))
-    names = e.select("event_type", ends.alias("s")).select(F.concat("event_type", "s").alias("name"))
-    return X.classify(names.union(spark.createDataFrame([(n,) for n in REGISTRY.indicators], "name string")))
+    return e.select("event_type", F.explode(F.array(*map(F.lit, _ENDS))).alias("s")).select(F.concat("event_type", "s").alias("name"))
+
 
+@query("classify_features", f"""WITH known(name, scale) AS (VALUES {_scale_rows(_SCALES)}), own(name, scale) AS (VALUES {_scale_rows(_CLOSE_SCALES)})
+SELECT name, CASE WHEN suffix(name, '_ratio') THEN 'relative' ELSE 'other' END AS scale FROM ({_COLUMN_SQL})
+UNION ALL SELECT n.name, coalesce(known.scale, 'other') AS scale FROM (VALUES {_ALL_NAMES}) n(name) LEFT JOIN known USING (name) UNION ALL SELECT * FROM own""")
+def classify_features(spark, sf_dir):
+    own = [w for w in _CLOSE_SCALES.split() if not w.endswith(":")]
+    return X.classify(_event_names(spark, sf_dir).union(spark.createDataFrame([(n,) for n in [*REGISTRY.indicators, *own]], "name string")))
 
-@query("leak_rules", f"SELECT name, 'ERROR' AS level, 'the name speaks of the future' AS message FROM ({_COLUMN_SQL}) WHERE regexp_matches(name, '_t\\+\\d|_future|_next|_forward|_ahead', 'i')")
+
+@query("leak_rules", f"""WITH n AS (SELECT name FROM ({_COLUMN_SQL}) UNION ALL SELECT unnest(['Close', 'Close_lag_1', 'Close_ma_ratio', 'Close_log_return', 'Close_ROC_10', 'Close_x_ahead']))
+SELECT name, 'ERROR' AS level, 'the name speaks of the future' AS message FROM n WHERE contains(name, '_t+') OR contains(name, '_future') OR contains(name, '_ahead')
+UNION ALL SELECT 'Close', 'ERROR', 'the raw target is a feature' UNION ALL SELECT unnest(['Close_ma_ratio', 'Close_log_return', 'Close_x_ahead']), 'WARNING', 'a feature of the close that may not look back'""")
 def leak_rules(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type").distinct()
-    ends = F.explode(F.array(*map(F.lit, ["_lag_5", "_rolling_20_mean", "_ratio", "_t+1", "_future_x", "_volume"])))
-    return X.leak_messages(e.select("event_type", ends.alias("s")).select(F.concat("event_type", "s").alias("name")))
+    own = spark.createDataFrame([(n,) for n in ("Close", "Close_lag_1", "Close_ma_ratio", "Close_log_return", "Close_ROC_10", "Close_x_ahead")], "name string")
+    return X.leak_messages(_event_names(spark, sf_dir).union(own))
 
 
 _GAP = ["pct_return_1", "rsi_14", "sma_20", "atr_14"]
@@ -312,11 +338,13 @@ def sample_rows(spark, sf_dir):
     return S.sample_rows(C.event_candles(spark, sf_dir), 10)
 
 
-@query("preflight", "SELECT 'ERROR' AS level, 'unknown indicator ' || event_type AS message FROM (SELECT DISTINCT event_type FROM events)")
+@query("preflight", f"""SELECT 'ERROR' AS level, 'unknown indicator ' || event_type AS message FROM (SELECT DISTINCT event_type FROM events) UNION ALL SELECT 'ERROR', 'unknown group colour' UNION ALL SELECT 'INFO', 'sma_20 is in price units'
+  UNION ALL SELECT 'WARNING', CAST(n * 14 AS VARCHAR) || ' cells' FROM (SELECT count(*) AS n FROM ({EC})) WHERE n * 14 > 1000""")
 def preflight(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     asked = [r[0] for r in e.select("event_type").distinct().collect()]  # a handful of names
-    return S.preflight(spark, asked + ["sma_20"], list(REGISTRY.indicators), 1000)
+    groups = {n: i.group for n, i in REGISTRY.indicators.items()}
+    return S.preflight(spark, [*asked, "sma_20", "rsi_14"], groups, C.event_candles(spark, sf_dir).count(), ["volume", "colour"], limit=1000)
 
 
 # Pruning -----------------------------------------------------------------------

@@ -10,11 +10,11 @@ from pyspark.sql import Window
 SCHEMA = T.StructType([T.StructField("Ticker", T.StringType()), T.StructField("Datetime", T.TimestampType()), *[T.StructField(c, T.DoubleType()) for c in ("Open", "High", "Low", "Close", "Volume")]])
 PRICES = ("Open", "High", "Low", "Close", "Volume")
 
-# Canonical intervals and what else they are called, the longest history per interval in days.
-INTERVALS = {"1m": 7, "2m": 60, "5m": 60, "15m": 60, "30m": 60, "90m": 60, "1h": 730, "1d": 36500, "5d": 36500, "1wk": 36500, "1mo": 36500, "3mo": 36500}
-ALIASES = {"60m": "1h", "1hour": "1h", "hourly": "1h", "daily": "1d", "1day": "1d", "weekly": "1wk", "1w": "1wk", "monthly": "1mo"}
+# Canonical intervals with the longest history in days, and what else they are called.
+INTERVALS = {"1m": 6, "2m": 58, "5m": 58, "15m": 58, "30m": 58, "60m": 58, "90m": 58, "1h": 725, "1d": 36500, "5d": 36500, "1wk": 36500, "1mo": 36500, "3mo": 36500}
+ALIASES = {"1min": "1m", "2min": "2m", "5min": "5m", "15min": "15m", "30min": "30m", "60min": "60m", "90min": "90m", "1hour": "1h", "1day": "1d", "5day": "5d", "1week": "1wk", "1month": "1mo", "3month": "3mo"}
 #: Buckets that candles can be made in.
-BUCKETS = {"1m": "minute", "1h": "hour", "1d": "day", "1wk": "week", "1mo": "month", "3mo": "quarter"}
+BUCKETS = {"1m": "minute", "60m": "hour", "1h": "hour", "1d": "day", "1wk": "week", "1mo": "month", "3mo": "quarter"}
 
 
 def finite(c: Column | str) -> Column:
@@ -37,10 +37,11 @@ def read_candles(spark: SparkSession, path: str, fmt: str = "parquet", tickers:
     return df.select("Ticker", F.col("Datetime").cast("timestamp").alias("Datetime"), *[finite(F.col(c).cast("double")).alias(c) for c in PRICES])
 
 
-def normalise_klines(rows: DataFrame, ticker: str) -> DataFrame:
-    """Kline arrays ``k`` of strings (epoch milliseconds, open, high, low, close, volume, ...) to candles."""
+def normalise_klines(rows: DataFrame, ticker: str | Column) -> DataFrame:
+    """Kline arrays ``k`` of strings (epoch milliseconds, open, high, low, close, volume, ...) to candles of one ticker or of a column's."""
     at = lambda i: F.get("k", i)
-    return rows.select(F.lit(ticker).alias("Ticker"), F.timestamp_millis(at(0).cast("long")).alias("Datetime"), *[finite(at(i + 1).cast("double")).alias(c) for i, c in enumerate(PRICES)])
+    name = F.lit(ticker) if isinstance(ticker, str) else ticker
+    return rows.select(name.alias("Ticker"), F.timestamp_millis(at(0).cast("long")).alias("Datetime"), *[finite(at(i + 1).cast("double")).alias(c) for i, c in enumerate(PRICES)])
 
 
 def keep_last(chunks: DataFrame, chunk: str = "chunk") -> DataFrame:
@@ -61,21 +62,19 @@ def clamp_history(candles: DataFrame, name: str) -> DataFrame:
     """The interval's longest history of each ticker, counted back from its last candle."""
     last = candles.groupBy("Ticker").agg(F.max("Datetime").alias("__last"))
     days = INTERVALS[interval(name)]
-    return candles.join(last, "Ticker").where(F.col("Datetime") >= F.col("__last") - F.expr(f"INTERVAL {days} DAYS")).drop("__last")
+    return candles.join(last.hint("merge"), "Ticker").where(F.col("Datetime") >= F.col("__last") - F.expr(f"INTERVAL {days} DAYS")).drop("__last")
 
 
-# Exchange pairs of common symbols.
-PAIRS = {"BTC": "BTCUSDT", "ETH": "ETHUSDT", "BNB": "BNBUSDT", "SOL": "SOLUSDT", "XRP": "XRPUSDT"}
-CRYPTO = ("BTC", "ETH", "BNB", "SOL", "XRP", "ADA", "DOGE", "LTC", "DOT")
+def symbol_columns(raw: Column, category: Column | str = "crypto") -> dict[str, Column]:
+    """ticker: crypto ends in -USD or -USDT, other assets lose their :EXCHANGE; pair: the base with USDT.
 
-
-def symbol_columns(raw: Column) -> dict[str, Column]:
-    """ticker: crypto gets -USD, :EXCHANGE goes; pair: from the table, else the base with USDT."""
-    bare = F.upper(F.trim(F.split(raw, ":")[0]))
-    base = F.regexp_replace(bare, r"[-/]?USDT?$", "")
-    ticker = F.when(bare.isin(*CRYPTO), F.concat(bare, F.lit("-USD"))).otherwise(bare)
-    known = F.create_map(*[F.lit(x) for kv in PAIRS.items() for x in kv])
-    return {"ticker": ticker, "pair": F.coalesce(F.try_element_at(known, base), F.concat(base, F.lit("USDT")))}
+    The pair drops -USD first and -USDT then, so that A-USDT gives ATUSDT.
+    """
+    kind = F.lit(category) if isinstance(category, str) else category
+    upper = F.upper(raw)
+    crypto = F.when(raw.endswith("-USD") | raw.endswith("-USDT"), upper).otherwise(F.concat(upper, F.lit("-USD")))
+    base = F.replace(F.replace(upper, F.lit("-USD"), F.lit("")), F.lit("-USDT"), F.lit(""))
+    return {"ticker": F.when(kind == "crypto", crypto).otherwise(F.upper(F.split(raw, ":")[0])), "pair": F.concat(base, F.lit("USDT"))}
 
 
 def combine(frames: list[DataFrame]) -> DataFrame:

@@ -125,9 +125,12 @@ def test_duplicate_candles_keep_the_last_chunk(spark):
 
 
 def test_intervals():
-    assert C.interval("60m") == "1h" and C.interval("Daily") == "1d"
-    with pytest.raises(ValueError):
-        C.interval("7x")
+    # Expectations by hand: the limits in days, aliases, and names that are none.
+    assert C.interval(" 60MIN ") == "60m" and C.interval("1day") == "1d" and C.interval("1hour") == "1h" and C.interval("3month") == "3mo" and C.interval("1week") == "1wk"
+    assert C.INTERVALS["60m"] == 58 and C.INTERVALS["1h"] == 725 and C.INTERVALS["1m"] == 6 and len(C.INTERVALS) == 13
+    for name in ("7x", "hourly", "daily", "1w"):
+        with pytest.raises(ValueError):
+            C.interval(name)
 
 
 def test_target_round_trips(spark):
@@ -142,8 +145,9 @@ def test_target_round_trips(spark):
 
 def test_scale_rules():
     assert X.scale_of("sma_20") == "absolute" and X.scale_of("sma_20_ratio") == "relative" and X.scale_of("Volume") == "volume"
-    assert X.scale_of("Close") == "price" and X.scale_of("Close_lag_5") == "absolute" and X.scale_of("rsi_14") == "relative"
-    assert X.scale_free_indicators(["sma_20", "sma_20_ratio", "rsi_14"]) == ["sma_20_ratio", "rsi_14"]
+    assert X.scale_of("Close") == "absolute" and X.scale_of("bbands_width_20") == "other" and X.scale_of("candle_body") == "other" and X.scale_of("Close_rolling_std_20") == "absolute" and X.scale_of("Close_lag_5") == "absolute" and X.scale_of("rsi_14") == "relative"
+    assert X.scale_free_indicators(["sma_20", "sma_20_ratio", "rsi_14", "macd_12_26_9", "obv", "vwap_proxy_20"]) == ["sma_20_ratio", "rsi_14", "obv", "vwap_proxy_20"]
+    assert X.of_base_price(["Close", "Open_lag_1", "Adj Close", "rsi_14", "Volume"]) == ["Close", "rsi_14", "Volume"] and X.prices_used(["High_x", "Close"]) == ["Close", "High"]
 
 
 def test_pruning_learns_from_training_rows_only(spark):
