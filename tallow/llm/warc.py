@@ -2,9 +2,9 @@
 
 A task writes archives of bounded size to shared storage through pyarrow's
 file systems and hands on their paths only; a repeated task writes under new
-names, so what a lost executor left behind is never read.  The reader holds
-one buffer: it inflates a member piece by piece, frames the block by its
-Content-Length and checks the payload's digest as it passes.
+names, so what a lost executor left behind is never read.  The reader inflates
+a member in pieces of bounded size, frames the block by its Content-Length and
+hashes the payload as it passes; it holds a payload only if that is wanted.
 """
 
 from __future__ import annotations
@@ -23,6 +23,10 @@ from tallow.llm import scratch
 
 #: A new archive begins beyond so many bytes.
 ARCHIVE_BYTES = 32 << 20
+#: Bytes read, and inflated, at once.
+PIECE = 1 << 18
+#: A header of more bytes is taken for damage.
+MOST_HEADER = 1 << 28
 #: Payloads below are not worth a reference.
 LEAST_REVISIT = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -93,30 +97,71 @@ def write_archives(pages: DataFrame) -> DataFrame:
     return scratch.table(made, "archives")
 
 
-def records(stream, piece: int = 1 << 18) -> Iterator[tuple[dict[str, str], dict[str, str], bytes, str, int]]:
-    """(header, HTTP header, payload, its SHA-256, its length) of each gzip member of a binary stream."""
+class _Member:
+    """One gzip member of a stream, inflated on demand: never more than PIECE bytes beyond what is asked for."""
+
+    def __init__(self, stream, rest: bytes):
+        self.stream, self.rest, self.held = stream, rest, b""
+        self.unpack = zlib.decompressobj(31)
+
+    def _more(self) -> bytes:
+        """The next inflated bytes, at most PIECE; none at the member's end, whose unread input is then in rest."""
+        while not self.unpack.eof:
+            out = self.unpack.decompress(self.rest, PIECE)
+            self.rest = self.unpack.unused_data if self.unpack.eof else self.unpack.unconsumed_tail
+            if out:
+                return out
+            if not self.unpack.eof and not self.rest:
+                self.rest = self.stream.read(PIECE)
+                if not self.rest:
+                    raise ValueError("the archive ends inside a record")
+        return b""
+
+    def take(self, most: int) -> bytes:
+        """Up to so many of the next bytes; none at the end."""
+        data = self.held or self._more()
+        self.held = data[most:]
+        return data[:most]
+
+    def head(self) -> bytes:
+        """The bytes before the next empty line, which is passed over."""
+        data = self.held
+        while (at := data.find(b"\r\n\r\n")) < 0:
+            if not (more := self._more()) or len(data) > MOST_HEADER:
+                raise ValueError("a record's header does not end")
+            data += more
+        self.held = data[at + 4 :]
+        return data[:at]
+
+
+def records(stream, keep: bool = True) -> Iterator[tuple[dict[str, str], dict[str, str], bytes | None, str, int]]:
+    """(header, HTTP header, payload, its SHA-256, its length) of each gzip member of a binary stream.
+
+    The block is framed by Content-Length and hashed while it is inflated;
+    only with keep does a payload stand in memory.
+    """
     rest = b""
-    while rest or (rest := stream.read(piece)):
-        unpack, text = zlib.decompressobj(31), bytearray()
-        while not unpack.eof:
-            if not rest and not (rest := stream.read(piece)):
-                raise ValueError("the archive ends inside a record")
-            text += unpack.decompress(rest)
-            rest = unpack.unused_data
-        rest = unpack.unused_data
-        at = text.index(b"\r\n\r\n")
-        header = _fields(text[:at])
+    while rest or (rest := stream.read(PIECE)):
+        member = _Member(stream, rest)
+        header = _fields(member.head())
         size = int(header["content-length"])
-        block = bytes(text[at + 4 : at + 4 + size])
-        if len(block) != size or text[at + 4 + size :] != b"\r\n\r\n":
+        http = member.head()
+        digest, parts, left = hashlib.sha256(), [], size - len(http) - 4
+        length = left
+        while left > 0 and (part := member.take(left)):
+            digest.update(part)
+            left -= len(part)
+            if keep:
+                parts.append(part)
+        end = member.take(5) + member.take(5) + member.take(5) + member.take(5)
+        if left or end != b"\r\n\r\n" or member.take(1):
             raise ValueError(f"{header.get('warc-record-id')}: the block is not of the length that its header gives")
-        at = block.index(b"\r\n\r\n")
-        payload = block[at + 4 :]
-        yield header, _fields(block[:at]), payload, hashlib.sha256(payload).hexdigest(), len(payload)
+        rest = member.rest
+        yield header, _fields(http), b"".join(parts) if keep else None, digest.hexdigest(), length
 
 
 def _fields(head: bytes) -> dict[str, str]:
-    lines = bytes(head).decode("utf-8", "replace").split("\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
@@ -132,7 +177,7 @@ def _read_rows(with_payload: bool):
                 fs, path = pafs.FileSystem.from_uri(uri)
                 rows, size = [], 0
                 with fs.open_input_stream(path, compression=None) as stream:
-                    for header, http, payload, digest, length in records(stream):
+                    for header, http, payload, digest, length in records(stream, with_payload):
                         kind = header["warc-type"]
                         said = header["warc-payload-digest"].removeprefix("sha256:")
                         if kind == "response":
@@ -164,9 +209,17 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of every record of archives (path, ...).
 
     payload is a response's text, null for a revisit, or always without
-    with_payload.  A damaged record raises.
+    with_payload.  A damaged record raises.  A revisit holds no payload: its
+    digest and length are what its header says, which ``unresolved`` compares
+    with the response that it refers to.
     """
     paths = archives.select("path")
     n = max(1, paths.count())
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
     return paths.repartition(n, "path").mapInArrow(_read_rows(with_payload), schema)
+
+
+def unresolved(rows: DataFrame) -> DataFrame:
+    """The revisits among rows, as read_archives gives them, that refer to no response of their digest and length."""
+    met = rows.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").hint("merge")
+    return rows.where("record_type = 'revisit'").join(met, ["refers_to", "payload_digest", "payload_bytes"], "left_anti")
