@@ -7,8 +7,9 @@ generator that runs along a partition.  Rows are numbered by ``idx``.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -71,7 +72,7 @@ def mixup(df: DataFrame, columns: list[str], low: float = 0.5, seed: int = 42, c
     """Each row mixed with its partner in a random permutation of its ticker; the weight is max(u, 1 - u), at least low, for X and y."""
     partner = _ranked(df, seed, f"mixup/{copy}").select("Ticker", F.col("__r").alias("idx"), *[F.col(c).alias(f"__{c}") for c in columns], F.col("y").alias("__y"))
     lam = F.greatest(uniform(seed, f"mixup/l/{copy}", "Ticker", "idx"), F.lit(low))
-    joined = df.join(partner, ["Ticker", "idx"]).withColumn("__l", lam)
+    joined = df.join(partner.hint("merge"), ["Ticker", "idx"]).withColumn("__l", lam)
     mix = lambda a, b: F.col("__l") * a + (1 - F.col("__l")) * b
     new = {c: mix(F.col(c), F.col(f"__{c}")) for c in columns} | {"y": F.zip_with("y", "__y", mix)}
     return _put(joined, df, new)
@@ -94,7 +95,7 @@ def block_bootstrap(df: DataFrame, block: int = 10, seed: int = 42, copy: int =
     places = n.select("Ticker", "__n", size.alias("__b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("__i"))
     start = F.floor(uniform(seed, f"boot/{copy}", "Ticker", F.floor(F.col("__i") / F.col("__b"))) * F.col("__n"))
     places = places.select("Ticker", F.col("__i"), F.pmod(start + F.col("__i") % F.col("__b"), F.col("__n")).cast("long").alias("idx"))
-    out = places.join(df, ["Ticker", "idx"])
+    out = places.hint("merge").join(df, ["Ticker", "idx"])
     return out.select(*[F.col("__i").alias("idx") if c == "idx" else F.col(c) for c in df.columns])
 
 
@@ -136,6 +137,34 @@ def magnitude_warp(df: DataFrame, columns: list[str], knots: int = 4, low: float
     return _put(wide, df, {c: F.col(c) * curve for c in columns})
 
 
+METHODS = {
+    "jitter": "normal noise in proportion to each feature's deviation", "scale": "one random factor per row", "window_crop": "a random contiguous block", "mixup": "rows mixed with random partners",
+    "volatility_regime": "a clustered volatility path", "block_bootstrap": "random blocks in a new order", "frequency_mask": "a band of the spectrum at zero", "pattern_morph": "rows moved toward near ones",
+    "trend_inject": "an added trend", "regime_noise": "noise that grows with volatility", "tail_augment": "extreme rows pushed further out", "feature_rotation": "a small turn among principal components",
+    "smote": "new rows between near ones of one target range", "magnitude_warp": "a random smooth factor over time",
+}
+
+
+def methods(spark: SparkSession) -> DataFrame:
+    """(method, description)."""
+    return spark.createDataFrame(sorted(METHODS.items()), "method string, description string")
+
+
+def summary(spark: SparkSession, chosen: list[str], copies: int = 1, enabled: bool = True) -> DataFrame:
+    """One row: enabled, methods, copies and by how much rows are expected to multiply."""
+    used = chosen if enabled else []
+    row = (enabled, ",".join(used), copies if enabled else 0, 1 + len(used) * copies if enabled else 1)
+    return spark.createDataFrame([row], "enabled boolean, methods string, copies int, expected_multiplier int")
+
+
+def compare(train: DataFrame, columns: list[str], score: Callable[[DataFrame], DataFrame], chosen: list[str], seed: int = 42) -> DataFrame:
+    """(method, rmse, mae, r2, place): none and each method alone, as score (one row: rmse, mae, r2) judges a model of those rows; best rmse first, of equal ones the greater r2."""
+    runs = [("none", train)] + [(m, augment(train, columns, [m], seed=seed).drop("method", "copy")) for m in chosen]
+    rows = [(m, *score(rows).select("rmse", "mae", "r2").first()) for m, rows in runs]  # a Spark job per method
+    rows.sort(key=lambda r: (r[1], -r[3], r[0]))
+    return train.sparkSession.createDataFrame([(*r, k + 1) for k, r in enumerate(rows)], "method string, rmse double, mae double, r2 double, place int")
+
+
 def augment(df: DataFrame, columns: list[str], methods: list[str], copies: int = 1, seed: int = 42) -> DataFrame:
     """Originals first (method original), then each method's copies, tagged (method, copy)."""
     from tallow.operators import neighbours as N  # it imports this module

@@ -61,7 +61,7 @@ def _sums(df: DataFrame, keys: list[str]) -> DataFrame:
     mean = ok.groupBy(*keys).agg(F.avg("y_true").alias("__m"))
     err = F.col("y_true") - F.col("y_pred")
     ape = F.when(F.col("y_true") != 0, F.abs(err / F.when(F.col("y_true") != 0, F.col("y_true"))))
-    return ok.join(mean, keys).groupBy(*keys).agg(
+    return ok.join(mean.hint("merge"), keys).groupBy(*keys).agg(
         F.count("*").alias("n"), F.sum(err * err).alias("sse"), F.sum(F.abs(err)).alias("sae"), F.sum((F.col("y_true") - F.col("__m")) ** 2).alias("sst"), F.avg(ape).alias("ape")
     )
 
@@ -94,6 +94,32 @@ def evaluate_rolling(actual: DataFrame, aggregated: DataFrame, baseline: str = "
     )
 
 
+def direct_evaluation(predictions: DataFrame) -> DataFrame:
+    """rmse, mae and r2 of the first step per model, the rmse of the last price as a forecast of it, and whether the model beats that."""
+    first = predictions.where("step = 1")
+    naive = metrics(first.withColumn("y_pred", F.col("last_price")), ["model"]).select("model", F.col("rmse").alias("naive_rmse"))
+    return metrics(first, ["model"]).select("model", "n", "rmse", "mae", "r2").join(naive.hint("merge"), "model").withColumn("beats_naive", F.col("rmse") < F.col("naive_rmse"))
+
+
+def recursive_scores(forecast: DataFrame, actual: DataFrame) -> DataFrame:
+    """rmse, mae and r2 per ticker of forecast (Ticker, step, y_pred) against actual (Ticker, step, y_true), over the steps that both have."""
+    both = forecast.join(actual.hint("merge"), ["Ticker", "step"])
+    return metrics(both, ["Ticker"]).select("Ticker", "n", "rmse", "mae", "r2")
+
+
+def trend_assessment(classes: DataFrame, forecasts: DataFrame, scores: DataFrame) -> DataFrame:
+    """Per ticker the class and its probabilities, and the change in percent that the model of best r2 expects at its last step.
+
+    classes: (Ticker, trend, probabilities, Close); forecasts: (Ticker, model,
+    step, y_pred); scores: (model, r2).
+    """
+    best = scores.agg(F.max_by("model", F.struct("r2", "model")).alias("best_model"))  # one row
+    last = forecasts.groupBy("Ticker", "model").agg(F.max_by("y_pred", "step").alias("expected"))
+    chosen = last.crossJoin(F.broadcast(best)).where("model = best_model").select("Ticker", "best_model", "expected")
+    change = 100 * F.try_divide(F.col("expected") - F.col("Close"), F.col("Close"))
+    return classes.join(chosen.hint("merge"), "Ticker", "left").select("Ticker", "trend", "probabilities", "best_model", change.alias("expected_change"))
+
+
 def prediction_alarms(predictions: DataFrame) -> DataFrame:
     """Per model: negative predictions, those over half off the mean, and whether r2 is too good to be true."""
     mean = predictions.groupBy("model").agg(F.avg("y_true").alias("__m"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
 from tallow.functions.windows import series
+
 RESERVED = ("Datetime", "Ticker", "Date")
 OHLCV = ("Open", "High", "Low", "Close", "Volume")
 FUNCTIONS = ("mean", "std", "var", "min", "max", "median", "skew", "kurt")
@@ -119,6 +123,65 @@ def apply_scaler(df: DataFrame, params: DataFrame, columns: list[str], inverse:
     return wide.select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns])
 
 
+def fit_step_scaler(rows: DataFrame, steps: int) -> DataFrame:
+    """One row: arrays y__shift and y__scale with the mean and population deviation of each step of y; a scale of 0 counts as 1."""
+    each = [F.get("y", F.lit(k)) for k in range(steps)]
+    one = lambda s: F.when(s == 0, 1.0).otherwise(F.coalesce(s, F.lit(1.0)))
+    return rows.agg(F.array(*map(F.avg, each)).alias("y__shift"), F.array(*[one(F.stddev_pop(y)) for y in each]).alias("y__scale"))
+
+
+def apply_step_scaler(rows: DataFrame, params: DataFrame, inverse: bool = False, name: str = "y") -> DataFrame:
+    """The array column name scaled step by step, or back."""
+    wide = rows.crossJoin(F.broadcast(params))  # params is one row
+    pairs = F.arrays_zip(F.col("y__shift").alias("m"), F.col("y__scale").alias("s"))
+    value = F.zip_with(name, pairs, lambda v, p: v * p["s"] + p["m"] if inverse else (v - p["m"]) / p["s"])
+    return wide.select(*[value.alias(name) if c == name else F.col(c) for c in rows.columns])
+
+
+@dataclass
+class FeaturePipeline:
+    """Lag and rolling features of some columns, scaled by what training rows gave; new rows are transformed with what was stored."""
+
+    columns: list[str]
+    lags: list[int]
+    windows: list[int]
+    functions: list[str]
+    method: str = "standard"
+    params: dict[str, float] | None = None
+
+    def names(self) -> list[str]:
+        return [f"{c}_lag_{k}" for c in self.columns for k in self.lags] + [f"{c}_rolling_{w}_{f}" for c in self.columns for w in self.windows for f in self.functions]
+
+    def _features(self, df: DataFrame) -> DataFrame:
+        return rolling_features(lag_features(df, self.lags, self.columns), self.windows, self.functions, self.columns)
+
+    def fit(self, train: DataFrame) -> "FeaturePipeline":
+        self.params = fit_scaler(self._features(train), self.names(), self.method).first().asDict()
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """df with the scaled features."""
+        return self._features(df).withColumns({c: (F.col(c) - float(self.params[f"{c}__shift"])) / float(self.params[f"{c}__scale"]) for c in self.names()})
+
+    def transform_new(self, new: DataFrame, context: DataFrame) -> DataFrame:
+        """The scaled features of new rows; of context only each ticker's last rows, as many as a feature looks back, are used."""
+        reach = max([*self.lags, *self.windows])
+        back = Window.partitionBy("Ticker").orderBy(F.desc("Datetime"))
+        tail = context.withColumn("__k", F.row_number().over(back)).where(F.col("__k") <= reach).drop("__k")
+        both = tail.withColumn("__new", F.lit(False)).unionByName(new.withColumn("__new", F.lit(True)))
+        return self.transform(both).where("__new").drop("__new")
+
+    def summary(self) -> dict:
+        return {"columns": len(self.columns), "features": len(self.names()), "fitted": self.params is not None, "method": self.method}
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self))
+
+    @classmethod
+    def from_json(cls, text: str) -> "FeaturePipeline":
+        return cls(**json.loads(text))
+
+
 def fit_means(train: DataFrame, columns: list[str]) -> DataFrame:
     """One row of training means for impute()."""
     return train.agg(*[F.avg(F.col(c)).alias(f"{c}__mean") for c in columns])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tallow.functions import scratch
 from tallow.functions.windows import series
 from tallow.operators.models import LinearForecaster
 from tallow.operators.targets import from_target, from_target_cumulative
@@ -49,5 +50,13 @@ def recursive(histories: DataFrame, features: Callable[[Column], dict[str, Colum
             return F.struct(p.alias("p"), F.concat(s["out"], F.array(p)).alias("out"))
 
         safe = F.aggregate(made, start, step, lambda s: s["out"])
-        out = out.withColumn("forecast", F.concat("forecast", safe)).select(*keep, "forecast")
+        # A row per ticker, written: each block's expressions would hold all those before it.
+        out = scratch.table(out.withColumn("forecast", F.concat("forecast", safe)).select(*keep, "forecast"), "forecast")
     return out.withColumn("forecast", F.slice("forecast", 1, steps))
+
+
+def recursive_holdout(histories: DataFrame, features: Callable[[Column], dict[str, Column]], model: LinearForecaster, holdout: DataFrame, steps: int, transform: str = "log_return") -> DataFrame:
+    """(Ticker, step, y_true, y_pred): prices chained over the holdout's first rows, from what was known before it."""
+    made = recursive(histories, features, model, steps, transform).select("Ticker", F.posexplode("forecast").alias("pos", "y_pred"))
+    truth = holdout.select("Ticker", F.row_number().over(series()).alias("step"), F.col("Close").alias("y_true")).where(F.col("step") <= steps)
+    return made.select("Ticker", (F.col("pos") + 1).alias("step"), "y_pred").join(truth.hint("merge"), ["Ticker", "step"])

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tallow.functions import scratch
 from tallow.functions.dialect import ORDER, Spark
 from tallow.functions.recurrence import Affine, Mean, linear_recurrences
 
@@ -79,6 +80,48 @@ class Registry:
         found = {x for t in self.texts(name, d) for x in re.findall(r"[A-Za-z_]\w*", t)}
         return {x for x in found if x in self.indicators or x in self.helpers} - {name}
 
+    def variant(self, name: str, value: int, d: Spark | None = None) -> str:
+        """The name of an indicator like name with another window, span or period; it is registered, with the helpers it needs.
+
+        The number stands in the names of helpers of the same number, too.
+        """
+        d = d or Spark()
+        old = next(iter(self._numbers(name)), None)
+        if old is None:
+            raise ValueError(f"{name} has no parameter")
+        new = re.sub(rf"_{old}(?=_|$)", f"_{value}", name, count=1)
+        if new in self.indicators or new in self.helpers:
+            return new
+        f = self.formula(name)
+        arg = next(iter(f.__defaults__ and f.__code__.co_varnames[1:2] or ()), None) if not isinstance(f, Recurrence) else None
+        if isinstance(f, Recurrence):
+            if not f.of or len(f.of) != 1 or f.span != old:
+                raise ValueError(f"{name} can't take another number")
+            made: Formula | Recurrence = ema(f.of[0][0], value)
+        elif arg and f.__defaults__[0] == old:
+            made = lambda x: f(x, **{arg: value})
+        else:
+            raise ValueError(f"{name} can't take another number")
+        if name in self.indicators:
+            i = self.indicators[name]
+            self.register(new, i.group, made, i.inputs, **{k: value if v == old else v for k, v in i.params.items()})
+        else:
+            self.helper(new, made)
+        for need in {x for t in self.texts(new, d) for x in re.findall(r"[A-Za-z_]\w*", t)}:
+            base = re.sub(rf"_{value}(?=_|$)", f"_{old}", need, count=1)
+            if need != base and need not in self.indicators and need not in self.helpers and (base in self.indicators or base in self.helpers):
+                self.variant(base, value, d)
+        return new
+
+    def _numbers(self, name: str) -> list[int]:
+        params = self.indicators[name].params.values() if name in self.indicators else ()
+        return [v for v in params if isinstance(v, int)] or [int(x) for x in re.findall(r"_(\d+)(?=_|$)", name)][:1]
+
+    def summary(self, spark) -> DataFrame:
+        """(name, category, inputs, params) of every indicator."""
+        rows = [(n, i.group, ",".join(i.inputs), ",".join(f"{k}={v}" for k, v in i.params.items())) for n, i in self.indicators.items()]
+        return spark.createDataFrame(rows, "name string, category string, inputs string, params string")
+
     def inputs_of(self, name: str, d: Spark | None = None) -> set[str]:
         """Candle columns that an indicator is made from."""
         d = d or Spark()
@@ -401,3 +444,36 @@ def compute_sql(source: str, names: Iterable[str], dialect: Spark, shift: bool =
         text = f"SELECT *, {', '.join(cols)} FROM ({text})"
     last = [(dialect.lag(n, 1) if shift else n) + f" AS {n}" for n in names]
     return f"SELECT Ticker, Datetime, {', '.join(last)} FROM ({text})"
+
+
+def indicator_features(candles: DataFrame, groups: list[str], prune=None, registry: Registry = REGISTRY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candles with the indicators of some groups, pruning decisions, first-row leak report).
+
+    With prune (a Pruner) constant, gappy and twin columns of the whole frame
+    go first; fit it on training rows by itself where a model follows.
+    """
+    from tallow.operators.features import first_row_gaps
+
+    names = [n for g in groups for n in registry.by_category(g)]
+    out = compute(candles, names, registry=registry)
+    spark = candles.sparkSession
+    decisions = spark.createDataFrame([], "column string, reason string, detail string")
+    if prune is not None:
+        out = scratch.table(out, "indicators")
+        prune.fit(out, names)
+        decisions, out = prune.summary(spark), prune.transform(out)
+    return out, decisions, first_row_gaps(out, [n for n in names if n in out.columns])
+
+
+def leak_audit(candles: DataFrame, names: Iterable[str], factor: float = 10.0, registry: Registry = REGISTRY) -> DataFrame:
+    """(name, moved): in how many series an indicator changes in the very row whose close is multiplied, the middle one; it should be none."""
+    names = list(names)
+    whole = Window.partitionBy("Ticker")
+    placed = candles.withColumn("__hit", F.row_number().over(whole.orderBy("Datetime")) == F.floor(F.count("*").over(whole) / 2) + 1)
+    placed = scratch.table(placed, "audit")
+    changed = placed.withColumn("Close", F.when(F.col("__hit"), F.col("Close") * factor).otherwise(F.col("Close")))
+    keep = lambda df, tag: compute(df, names, registry=registry).where("__hit").select("Ticker", F.array(*[F.col(n).cast("double") for n in names]).alias(tag))
+    both = keep(placed, "a").join(keep(changed, "b").hint("merge"), "Ticker")
+    off = lambda a, b: (a.isNull() != b.isNull()) | F.coalesce(F.abs(a - b) > 1e-5 * F.greatest(F.abs(a), F.abs(b)), F.lit(False))
+    each = both.select(F.explode(F.zip_with(F.arrays_zip("a", "b"), F.array(*map(F.lit, names)), lambda x, n: F.struct(n.alias("name"), off(x["a"], x["b"]).cast("long").alias("m")))).alias("z"))
+    return each.groupBy(F.col("z.name").alias("name")).agg(F.sum("z.m").alias("moved"))

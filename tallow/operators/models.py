@@ -8,16 +8,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.tuning import CrossValidator
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallow.functions import scratch
+from tallow.functions.windows import series, whole
+from tallow.operators.features import apply_scaler, fit_scaler
+
 
 @dataclass
 class LinearForecaster:
@@ -53,6 +60,17 @@ class LinearForecaster:
     def transform(self, rows: DataFrame, name: str = "y_pred") -> DataFrame:
         return rows.withColumn(name, self.predict())
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """One row per step and feature, the intercept by the name ""."""
+        rows = [(k, j, c, float(w[j])) for k, w in enumerate(self.weights) for j, c in enumerate([*self.features, ""])]
+        spark.createDataFrame(rows, "step int, place int, feature string, weight double").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "LinearForecaster":
+        rows = sorted(map(tuple, spark.read.parquet(path).collect()))  # coefficients
+        features = [c for k, _, c, _ in rows if k == 0 and c]
+        return cls(features, np.array([w for *_, w in rows]).reshape(-1, len(features) + 1))
+
 
 def assemble(rows: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(rows)
@@ -87,6 +105,116 @@ def predict_steps(models: list[Model], rows: DataFrame, features: list[str]) ->
     return out.withColumn("y_pred", F.array(*[F.col(f"__p{k}") for k in range(len(models))])).drop("features", *[f"__p{k}" for k in range(len(models))])
 
 
+def save_steps(models: list[Model], path: str) -> None:
+    """One folder per step."""
+    for k, m in enumerate(models):
+        m.write().overwrite().save(f"{path}/step-{k}")
+
+
+def load_steps(kind: type[Model], path: str, steps: int) -> list[Model]:
+    return [kind.load(f"{path}/step-{k}") for k in range(steps)]
+
+
+def importances(spark: SparkSession, models: list[Model], features: list[str], top: int | None = None) -> DataFrame:
+    """(feature, importance, place), the mean over the steps, greatest first; of equal ones by name."""
+    mean = np.mean([m.featureImportances.toArray() for m in models], axis=0)
+    rows = sorted(zip(features, map(float, mean)), key=lambda x: (-x[1], x[0]))[:top]
+    return spark.createDataFrame([(f, v, k + 1) for k, (f, v) in enumerate(rows)], "feature string, importance double, place int")
+
+
+def grid(space: dict[str, list], most: int | None = None, seed: int = 42) -> list[dict]:
+    """Every choice of the space, or as many of them as most, drawn by seed."""
+    every = [dict(zip(space, x)) for x in product(*space.values())]
+    if most is None or most >= len(every):
+        return every
+    return [every[i] for i in sorted(np.random.default_rng(seed).choice(len(every), most, replace=False).tolist())]
+
+
+def search(choices: list[dict], loss: Callable[[dict], float]) -> tuple[dict, list[tuple[dict, float]]]:
+    """(best choice, all with their losses); each loss is a Spark job of its own, of equal ones the first wins."""
+    tried = [(c, loss(c)) for c in choices]
+    return min(tried, key=lambda x: x[1])[0], tried
+
+
+def first_step_loss(fit: Callable[[dict, DataFrame], Callable[[DataFrame], DataFrame]], rows: DataFrame, share: float = 0.8) -> Callable[[dict], float]:
+    """Loss of a choice: the rmse of the first step on each ticker's last rows, after a fit on those before."""
+    place = F.row_number().over(series()) / F.count("*").over(whole())
+    cut = scratch.table(rows.withColumn("__early", place <= share), "search")
+    early, late = cut.where("__early").drop("__early"), cut.where("NOT __early").drop("__early")
+
+    def loss(choice: dict) -> float:
+        off = F.get("y_pred", F.lit(0)) - F.get("y", F.lit(0))
+        return fit(choice, early)(late).agg(F.sqrt(F.avg(off * off))).first()[0] or float("inf")
+
+    return loss
+
+
+def search_kernel_ridge(rows: DataFrame, features: list[str], steps: int, space: dict[str, list], most: int | None = None) -> tuple[LinearForecaster, Callable[[DataFrame], DataFrame], dict]:
+    """kernel_ridge with the alpha and gamma of the space that forecast the first step best."""
+
+    def fit(choice: dict, early: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        m, add = kernel_ridge(early.withColumn("y", F.slice("y", 1, 1)), features, 1, **choice)
+        return lambda df: m.transform(add(df))
+
+    best, _ = search(grid(space, most), first_step_loss(fit, rows))
+    model, add = kernel_ridge(rows, features, steps, **best)
+    return model, add, best
+
+
+def search_forest(train: DataFrame, features: list[str], space: dict[str, list], most: int, seed: int = 42, label: str = "trend") -> tuple[Model, dict]:
+    """A random forest with the parameters, of a seeded part of the space, that classify folds of the training rows best."""
+    maps = []
+    forest = RandomForestClassifier(numTrees=20, seed=seed, labelCol="label")
+    for choice in grid(space, most, seed):
+        maps.append({forest.getParam(k): v for k, v in choice.items()})
+    rows = assemble(train.dropna(subset=features), features).select("features", F.col(label).cast("double").alias("label"))
+    judge = MulticlassClassificationEvaluator(labelCol="label", metricName="f1")
+    found = CrossValidator(estimator=forest, estimatorParamMaps=maps, evaluator=judge, numFolds=3, seed=seed).fit(scratch.table(rows, "forest"))
+    best = maps[int(np.argmax(found.avgMetrics))]
+    return found.bestModel, {k.name: v for k, v in best.items()}
+
+
+@dataclass
+class FeatureProcessor:
+    """Standardised features as they are (raw) or with principal components before them (raw+pca)."""
+
+    features: list[str]
+    mode: str = "raw"
+    share: float | int = 0.95
+    scaler: DataFrame | None = None
+    loadings: list[list[float]] | None = None
+    kept: list[float] | None = None
+
+    def fit(self, train: DataFrame) -> "FeatureProcessor":
+        if self.mode not in ("raw", "raw+pca"):
+            raise ValueError(f"unknown mode {self.mode!r}: raw or raw+pca")
+        self.scaler = scratch.table(fit_scaler(train, self.features), "scaler")
+        if self.mode == "raw+pca":
+            scaled = apply_scaler(train, self.scaler, self.features).dropna(subset=self.features)
+            vec = VectorAssembler(inputCols=self.features, outputCol="__v").transform(scaled)
+            model = PCA(k=len(self.features) if self.share < 1 else int(self.share), inputCol="__v", outputCol="__pc").fit(vec)
+            kept, load = model.explainedVariance.toArray(), model.pc.toArray()
+            k = int(np.searchsorted(np.cumsum(kept), self.share) + 1) if self.share < 1 else len(kept)
+            signs = np.sign(load[np.abs(load).argmax(0), np.arange(load.shape[1])])
+            self.loadings, self.kept = (load * signs)[:, :k].T.tolist(), kept[:k].tolist()
+        return self
+
+    def names(self) -> list[str]:
+        return [f"PCA_{j + 1}" for j in range(len(self.loadings or []))] + self.features
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """rows with the features scaled and the components, which are null where a feature is."""
+        out = apply_scaler(rows, self.scaler, self.features)
+        parts = {f"PCA_{j + 1}": sum((F.col(c) * float(w) for c, w in zip(self.features, load)), F.lit(0.0)) for j, load in enumerate(self.loadings or [])}
+        rest = [c for c in rows.columns if c not in self.features]
+        return out.select(*rest, *[v.alias(k) for k, v in parts.items()], *self.features)
+
+    def metadata(self, spark: SparkSession) -> DataFrame:
+        """One row: mode, dimensions in and out, components, and the variance that they explain."""
+        row = (self.mode, len(self.features), len(self.names()), len(self.loadings or []), float(sum(self.kept or [])))
+        return spark.createDataFrame([row], "mode string, n_in int, n_out int, n_components int, explained double")
+
+
 def random_features(rows: DataFrame, features: list[str], count: int = 64, gamma: float = 1.0, seed: int = 42) -> DataFrame:
     """rows with rff_0 ...: cosines whose products approximate a Gaussian kernel (Rahimi and Recht 2007)."""
     rng = np.random.default_rng(seed)

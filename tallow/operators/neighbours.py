@@ -36,7 +36,7 @@ def frequency_mask(df: DataFrame, columns: list[str], band: str = "high", share:
     out = long.groupBy("Ticker", "c").applyInPandas(run, "Ticker string, idx long, c string, v double")
     wide = out.groupBy("Ticker", "idx").pivot("c", columns).agg(F.first("v"))
     rest = [c for c in df.columns if c not in columns]
-    return df.select(*rest).join(wide, ["Ticker", "idx"]).select(*df.columns)
+    return df.select(*rest).join(wide.hint("merge"), ["Ticker", "idx"]).select(*df.columns)
 
 
 def feature_rotation(df: DataFrame, columns: list[str], angle: float = 0.1, seed: int = 42) -> DataFrame:
@@ -81,7 +81,7 @@ def _nearest(df: DataFrame, columns: list[str], k: int, seed: int, within: str |
     held = other.groupBy(*keys, "__b").agg(F.collect_list("o").alias("__o"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     dist = lambda o: sum(((F.col(c) - o[c]) * (F.col(c) - o[c]) for c in columns), F.lit(0.0))
     each = F.transform(F.filter("__o", lambda o: o["idx"] != F.col("idx")), lambda o: F.struct(dist(o).alias("d"), o["idx"].alias("i"), o.alias("o")))
-    first = ranked.join(held.drop("__lo", "__hi"), [*keys, "__b"], "left").withColumn("__n", F.coalesce(F.slice(F.array_sort(each), 1, k), F.slice(F.array_sort(each), 1, 0))).drop("__o")
+    first = ranked.join(held.drop("__lo", "__hi").hint("merge"), [*keys, "__b"], "left").withColumn("__n", F.coalesce(F.slice(F.array_sort(each), 1, k), F.slice(F.array_sort(each), 1, 0))).drop("__o")
     bound = F.when(F.size("__n") == k, F.element_at("__n", -1)["d"])  # fewer only where the series is one block
     # A little more than the bound, against rounding; nothing is nearer than 0.
     reach = F.sqrt(bound) * float(np.sqrt((w * w).sum()) * (1 + 1e-9)) + 1e-12 * F.abs("__v")
@@ -97,12 +97,12 @@ def _nearest(df: DataFrame, columns: list[str], k: int, seed: int, within: str |
 
     low = passed(held, "__hi", F.col("__v") - F.col("__reach"), 0, "__from")
     high = passed(held, "__lo", F.col("__v") + F.col("__reach"), 2, "__to")
-    range_ = asks.join(low, [*keys, "idx"]).join(high, [*keys, "idx"])
+    range_ = asks.join(low.hint("merge"), [*keys, "idx"]).join(high.hint("merge"), [*keys, "idx"])
     more = range_.withColumn("__x", F.explode(F.filter(F.sequence("__from", F.greatest(F.col("__from"), F.col("__to") - 1)), lambda x: x != F.col("__b"))))
-    met = more.drop("__b").withColumnRenamed("__x", "__b").join(held.drop("__lo", "__hi"), [*keys, "__b"])
+    met = more.drop("__b").withColumnRenamed("__x", "__b").join(held.drop("__lo", "__hi").hint("merge"), [*keys, "__b"])
     near = F.slice(F.array_sort(F.filter(each, lambda x: x["d"] < F.col("__d"))), 1, k)
     found = met.select(*keys, "idx", near.alias("__f")).where(F.size("__f") > 0).groupBy(*keys, "idx").agg(F.flatten(F.collect_list("__f")).alias("__f"))
-    out = first.join(found, [*keys, "idx"], "left")
+    out = first.join(found.hint("merge"), [*keys, "idx"], "left")
     every = F.when(F.col("__f").isNull(), F.col("__n")).otherwise(F.slice(F.array_sort(F.concat("__n", "__f")), 1, k))
     return out.withColumn("__n", every).drop("__v", "__b", "__f")
 

@@ -7,10 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tallow.functions import scratch
+
 KEEP = ("Open", "High", "Low", "Close", "Volume", "Ticker", "Datetime", "Date")
 
 
@@ -25,26 +28,73 @@ def column_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Each column replaced by its average rank; nulls stay null. One pass per column over its distinct values."""
-    out = df
-    for c in columns:
-        counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
-        # The running count over range buckets needs no single-partition window.
-        counts = _running(counts, c)
-        ranks = counts.select(F.col(c).alias("__v"), (F.col("before") + (F.col("n") + 1) / 2).alias("__rank"))
-        out = out.join(ranks, out[c] == ranks["__v"], "left").drop("__v", c).withColumnRenamed("__rank", c)
-    return out
-
-
-def _running(counts: DataFrame, c: str) -> DataFrame:
-    """counts with before: rows of smaller values, by range-partitioned prefix sums."""
+    """columns replaced by average ranks; nulls stay null, rows without any value go. All columns are ranked in one pass over their distinct values."""
+    rows = scratch.table(df.select(F.monotonically_increasing_id().alias("__id"), *[F.col(c).cast("double").alias(c) for c in columns]), "values")
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("c"), F.col(c).alias("v")) for k, c in enumerate(columns)]))
+    long = rows.select("__id", pairs.alias("x")).select("__id", "x.c", "x.v").where("v IS NOT NULL")
+    ranks = scratch.table(_running(long.groupBy("c", "v").agg(F.count("*").alias("n"))), "ranks")
+    ranked = long.join(ranks.select("c", "v", (F.col("before") + (F.col("n") + 1) / 2).alias("r")), ["c", "v"])
+    wide = ranked.groupBy("__id").pivot("c", list(range(len(columns)))).agg(F.first("r"))
+    return wide.select(*[F.col(str(k)).alias(c) for k, c in enumerate(columns)])
+
+
+def _running(counts: DataFrame) -> DataFrame:
+    """counts (c, v, n) with before: rows of c with smaller values, by prefix sums over range partitions."""
     n = max(1, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parts = counts.repartitionByRange(n, c).withColumn("__p", F.spark_partition_id())
-    own = Window.partitionBy("__p").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-    totals = parts.groupBy("__p").agg(F.sum("n").alias("t"))
-    offsets = totals.alias("a").join(totals.alias("b"), F.col("b.__p") < F.col("a.__p"), "left").groupBy(F.col("a.__p").alias("__p")).agg(F.coalesce(F.sum("b.t"), F.lit(0)).alias("o"))
+    parts = scratch.table(counts.repartitionByRange(n, "c", "v").withColumn("__p", F.spark_partition_id()), "ranges")  # a partition's number is only true of this one run
+    own = Window.partitionBy("c", "__p").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("c", "__p").agg(F.sum("n").alias("t"))  # a row per column and partition
+    before = Window.partitionBy("c").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = scratch.table(totals.select("c", "__p", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("o")), "offsets")
     inner = parts.withColumn("__i", F.coalesce(F.sum("n").over(own), F.lit(0)))
-    return inner.join(F.broadcast(offsets), "__p").withColumn("before", F.col("__i") + F.col("o")).drop("__p", "__i", "o")
+    return inner.join(offsets, ["c", "__p"]).withColumn("before", F.col("__i") + F.col("o")).drop("__p", "__i", "o")
+
+
+def dominance(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> float:
+    """Sum of w_i w_j over the pairs with u_i < u_j and v_i < v_j, by merging halves."""
+    rank = np.unique(v, return_inverse=True)[1]
+    order = np.lexsort((-rank, u))  # of equal u the greater v first, so that they never count
+    r, w, at, total, s = rank[order].astype(np.int64), w[order].astype(float), np.arange(len(order)), 0.0, 1
+    m = int(r.max(initial=0)) + 1
+    while s < len(r):
+        pair, left = at // (2 * s), at // s % 2 == 0
+        key = pair * m + r
+        low = np.argsort(key[left], kind="stable")
+        keys, sums = key[left][low], np.concatenate([[0.0], np.cumsum(w[left][low])])
+        below = sums[np.searchsorted(keys, key[~left])] - sums[np.searchsorted(keys, pair[~left] * m)]
+        total += float((w[~left] * below).sum())
+        s *= 2
+    return total
+
+
+def _dominance_of(u: str, v: str):
+    def run(table: pa.Table) -> pa.Table:
+        get = lambda c: table.column(c).to_numpy()
+        return pa.table({"c": [dominance(get(u), get(v), get("n"))]})
+
+    return run
+
+
+def kendall(df: DataFrame, a: str, b: str) -> float | None:
+    """Tau-b of two columns over the rows where both are present; null where either is constant.
+
+    Equal pairs are counted first.  Concordant pairs stand in one range of a's
+    values, or in different ranges of a and of b, or in different ranges of a
+    and one of b: three sums of counts within groups of bounded size.
+    """
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    xy = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).dropna().groupBy("x", "y").agg(F.count("*").alias("n"))
+    by_x = scratch.table(xy.repartitionByRange(n, "x").withColumn("p", F.spark_partition_id()), "kendall-x")
+    both = scratch.table(by_x.repartitionByRange(n, "y").withColumn("q", F.spark_partition_id()), "kendall-y")
+    cells = both.groupBy("p", "q").agg(F.sum("n").alias("n"))  # at most a row for each pair of ranges
+    found = both.groupBy("p").applyInArrow(_dominance_of("x", "y"), "c double")
+    found = found.union(both.groupBy("q").applyInArrow(_dominance_of("p", "y"), "c double"))
+    found = found.union(cells.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(_dominance_of("p", "q"), "c double"))
+    same = lambda *keys: (both.groupBy(*keys).agg(F.sum("n").alias("n")) if keys else both.agg(F.sum("n").alias("n"))).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0.0
+    concordant, every, tx, ty, txy = found.agg(F.sum("c")).first()[0] or 0.0, same(), same("x"), same("y"), same("x", "y")
+    discordant = every - tx - ty + txy - concordant
+    scale = (every - tx) * (every - ty)
+    return (concordant - discordant) / scale**0.5 if scale > 0 else None
 
 
 def _gram(columns: list[str]):
@@ -73,17 +123,20 @@ def correlations(df: DataFrame, columns: list[str], method: str = "pearson") ->
     pearson centres by training means first, so that the sums lose little; one
     row of p * p sums per partition is all that is exchanged.
     """
+    if method == "kendall":
+        pairs = [(a, b, kendall(df, a, b)) for i, a in enumerate(columns) for b in columns[i + 1 :]]  # some jobs for each pair
+        return df.sparkSession.createDataFrame(pairs, "a string, b string, corr double")
     if method == "spearman":
         return correlations(average_ranks(df.select(*columns), columns), columns)
     if method != "pearson":
-        raise ValueError(f"unknown correlation {method!r}: pearson or spearman")
+        raise ValueError(f"unknown correlation {method!r}: pearson, spearman or kendall")
     means = df.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"m{i}") for i, c in enumerate(columns)])
     centred = df.crossJoin(F.broadcast(means)).select(*[(F.col(c).cast("double") - F.col(f"m{i}")).alias(c) for i, c in enumerate(columns)])
     p = len(columns)
     sums = centred.mapInPandas(_gram(columns), "cell long, n double, sx double, sxx double, sxy double").groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sxx", "sxy")])
     sums = sums.select(F.floor(F.col("cell") / p).cast("int").alias("i"), (F.col("cell") % p).cast("int").alias("j"), "n", "sx", "sxx", "sxy")
     back = sums.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("sx").alias("sy"), F.col("sxx").alias("syy"))
-    full = sums.where("i < j").join(back, ["i", "j"])
+    full = sums.where("i < j").join(back.hint("merge"), ["i", "j"])
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.when(F.col("n") > 0, F.col("n"))
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / F.when(F.col("n") > 0, F.col("n"))
     vy = F.col("syy") - F.col("sy") * F.col("sy") / F.when(F.col("n") > 0, F.col("n"))

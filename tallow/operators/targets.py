@@ -83,3 +83,9 @@ def ten_day_labels(candles: DataFrame, threshold: float = 0.02) -> DataFrame:
     change = F.try_divide(F.lead("Close", 10).over(series()) - F.col("Close"), F.col("Close"))
     out = candles.withColumn("change", change).where(F.col("change").isNotNull())
     return out.withColumn("trend", F.when(F.col("change") >= threshold, 2).when(F.col("change") <= -threshold, 0).otherwise(1))
+
+
+def launcher_labels(candles: DataFrame, window: int, horizon: int, threshold: float = 0.02) -> DataFrame:
+    """candles with target_trend over window rows and, where that is another number, target_trend_h{horizon}."""
+    out = trend_labels(candles, window, threshold, "target_trend")
+    return out if window == horizon else trend_labels(out, horizon, threshold, f"target_trend_h{horizon}")

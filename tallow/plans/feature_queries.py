@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tallow.functions.windows import series
 from tallow.operators import augment as A
 from tallow.operators import features as X
+from tallow.operators import indicators
 from tallow.operators import prune as P
 from tallow.operators import split as S
 from tallow.operators import targets as Y
@@ -374,9 +375,50 @@ def correlation_spearman(spark, sf_dir):
     return P.correlations(C.event_candles(spark, sf_dir), ["Close", "Volume", "Open"], "spearman")
 
 
-@query("prune_decisions", None)
+_KENDALL = ("Close", "Volume", "Open")
+
+
+@query("correlation_kendall", f"WITH p AS (SELECT row_number() OVER () AS i, * FROM ({EC})) " + " UNION ALL ".join(f"""SELECT '{a}' AS a, '{b}' AS b, R(sum(sign(x.{a} - y.{a}) * sign(x.{b} - y.{b})) / sqrt(sum(CAST(x.{a} <> y.{a} AS INT)) * sum(CAST(x.{b} <> y.{b} AS INT)))) AS corr FROM p x JOIN p y ON x.i < y.i""" for a, b in (("Close", "Volume"), ("Close", "Open"), ("Volume", "Open"))))
+def correlation_kendall(spark, sf_dir):
+    return P.correlations(C.event_candles(spark, sf_dir), list(_KENDALL), "kendall")
+
+
+# Columns of known fate: constant, mostly missing on training rows, and twice the same; judged on the first four fifths of each series.
+_FATE = f"""SELECT Ticker, Close, High AS first, 2 * High + 1 AS twin, 7.0 AS same, CASE WHEN idx % 3 = 0 THEN Low END AS gap, CASE WHEN idx >= floor(n * 0.8) THEN 5.0 ELSE 1.0 END AS late FROM (SELECT *, row_number() OVER {OVER} - 1 AS idx, count(*) OVER (PARTITION BY Ticker) AS n FROM ({EC})) WHERE idx < floor(n * 0.8)"""
+
+
+@query("prune_decisions", f"""WITH t AS ({_FATE}) SELECT 'same' AS "column", 'constant' AS reason, '' AS detail FROM t HAVING min(same) = max(same) UNION ALL SELECT 'late', 'constant', '' FROM t HAVING min(late) = max(late)
+  UNION ALL SELECT 'gap', 'nulls', printf('%.6f', avg(CASE WHEN gap IS NULL THEN 1.0 ELSE 0.0 END)) FROM t HAVING avg(CASE WHEN gap IS NULL THEN 1.0 ELSE 0.0 END) > 0.5 UNION ALL SELECT 'twin', 'correlated', 'first ' || printf('%.6f', corr(first, twin)) FROM t HAVING abs(corr(first, twin)) > 0.95""")
 def prune_decisions(spark, sf_dir):
-    return P.Pruner().fit(compute(C.event_candles(spark, sf_dir), _PR), _PR).summary(spark)
+    c = S.time_split(C.event_candles(spark, sf_dir), 0.2)
+    late = F.when(F.col("split") == "test", 5.0).otherwise(1.0)
+    c = c.select("Ticker", "split", "Close", F.col("High").alias("first"), (2 * F.col("High") + 1).alias("twin"), F.lit(7.0).alias("same"), F.when(F.col("idx") % 3 == 0, F.col("Low")).alias("gap"), late.alias("late"))
+    return P.Pruner().fit(c.where("split = 'train'"), ["Close", "first", "same", "gap", "twin", "late"]).summary(spark)
+
+
+@query("leak_audit", f"SELECT unnest({list(REGISTRY.indicators)!r}) AS name, 0 AS moved")
+def leak_audit(spark, sf_dir):
+    return indicators.leak_audit(C.event_candles(spark, sf_dir), list(REGISTRY.indicators))
+
+
+@query("indicator_variant", f"SELECT Ticker, Datetime, R(lag(a, 1) OVER {OVER}) AS sma_7_ratio FROM (SELECT *, CASE WHEN count(Close) OVER w = 7 THEN Close / avg(Close) OVER w - 1 END AS a FROM ({EC}) WINDOW w AS (PARTITION BY Ticker ORDER BY Datetime ROWS 6 PRECEDING))")
+def indicator_variant(spark, sf_dir):
+    names = indicators.Registry()
+    names.indicators, names.helpers = dict(REGISTRY.indicators), dict(REGISTRY.helpers)  # the shared registry stays as it is
+    name = names.variant("sma_20_ratio", 7)
+    return compute(C.event_candles(spark, sf_dir), [name], registry=names).select("Ticker", "Datetime", name)
+
+
+@query("indicator_summary", "SELECT * FROM (VALUES ('candle', 9), ('momentum', 31), ('regime', 9), ('returns', 16), ('trend', 32), ('volatility', 14), ('volume', 12)) v(category, n) WHERE (SELECT count(*) FROM events) > 0")
+def indicator_summary(spark, sf_dir):
+    out = REGISTRY.summary(spark).groupBy("category").agg(F.count("*").alias("n"))
+    return out.where(F.lit(spark.read.parquet(f"{sf_dir}/events.parquet").limit(1).count() > 0))
+
+
+@query("indicator_features", f"SELECT DISTINCT Ticker, 1.0 AS null_share, true AS safe FROM ({EC})")
+def indicator_features(spark, sf_dir):
+    """Every indicator looks back, so that each series' first row has none."""
+    return indicators.indicator_features(C.event_candles(spark, sf_dir), ["candle", "volatility"], P.Pruner())[2]
 
 
 # Augmentation --------------------------------------------------------------------
