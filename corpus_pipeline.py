@@ -21,7 +21,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group linked by near-equal shingle sets; of repeated rows one."""
+    """The document of least doc_id of each group linked by near-equal shingle sets; of repeated rows one.
+
+    Rows without doc_id can't be told apart and all stay.
+    """
     found = scratch.table(jaccard_components(docs), "components")
     others = scratch.table(found.where("doc_id != component_id").select("doc_id").distinct(), "others")
     kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)

@@ -1,40 +1,16 @@
-"""Shared scratch space: tables written once and read back.
-
-Everything an operator has to cut off from its lineage goes below the folder
-that the cluster names in ``spark.checkpoint.dir``; a folder of our own is set
-only where that setting is missing (tests, notebooks).
-"""
+"""Shared scratch space of the operators here: tables, and folders of their own for other files."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from tallow.functions.scratch import root, table
 
-def root(spark: SparkSession) -> str:
-    """The shared folder as a URI, without a closing slash."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+__all__ = ["folder", "root", "table"]
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path for one table; nothing is created yet."""
+    """A new path for one set of files; nothing is created yet."""
     return f"{root(spark)}/tallow/{name}-{uuid.uuid4().hex}"
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to shared storage and read it back.
-
-    The result has no lineage beyond the files, survives lost executors, and
-    its size is known to the planner, so Spark's own broadcast threshold may
-    be trusted with it.
-    """
-    spark = df.sparkSession
-    path = folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
