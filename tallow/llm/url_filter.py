@@ -57,7 +57,8 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, roun
     seeds is (host, seed), links (src, dst, n), one row per pair.  Hosts
     without seed that no seed reaches are missing; empty links give the seeds.
     """
-    total = links.groupBy("src").agg(F.sum("n").alias("all"))
+    # Written: the links' exchange then serves the join alone, and a hub's links may be split over tasks.
+    total = scratch.table(links.groupBy("src").agg(F.sum("n").alias("all")), "totals")
     moves = scratch.table(links.join(total, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("p")), "moves")
     start = scratch.table(seeds.select("host", ((1 - damping) * F.col("seed")).alias("rank")).where("rank > 0"), "seeds")
     rank = start
