@@ -13,6 +13,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a row group, which a task holds while it writes.
+ROW_GROUP = 32 << 20
+
+
 def root(spark: SparkSession) -> str:
     """The shared folder as a URI, without a closing slash."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,5 +32,5 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to shared storage and read back: no lineage beyond the files, and of known size."""
     spark = df.sparkSession
     path = f"{root(spark)}/tallow/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

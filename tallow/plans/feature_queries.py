@@ -334,9 +334,11 @@ def postprocess_forecast(spark, sf_dir):
     return c.select("Ticker", "Datetime", F.get(p, F.lit(0)).alias("p1"), F.get(p, F.lit(1)).alias("p2"))
 
 
-@query("sample_rows", None)
+@query("sample_rows", f"""SELECT Ticker, Datetime, R(Close) AS Close, len(h) AS n_history, R(list_sum(h)) AS sum_history FROM (SELECT *, list(Close) OVER (PARTITION BY Ticker ORDER BY Datetime ROWS 29 PRECEDING) AS h FROM ({EC}))
+  QUALIFY row_number() OVER (PARTITION BY Ticker ORDER BY md5(concat_ws('|', '42', Ticker, CAST(Datetime AS VARCHAR)))) <= 10""")
 def sample_rows(spark, sf_dir):
-    return S.sample_rows(C.event_candles(spark, sf_dir), 10)
+    out = S.sample_rows(C.event_candles(spark, sf_dir), 10)
+    return out.select("Ticker", "Datetime", "Close", F.size("history").cast("long").alias("n_history"), F.aggregate("history", F.lit(0.0), lambda s, x: s + x).alias("sum_history"))
 
 
 @query("preflight", f"""SELECT 'ERROR' AS level, 'unknown indicator ' || event_type AS message FROM (SELECT DISTINCT event_type FROM events) UNION ALL SELECT 'ERROR', 'unknown group colour' UNION ALL SELECT 'INFO', 'sma_20 is in price units'
@@ -490,12 +492,17 @@ def augment_magnitude_warp(spark, sf_dir):
     return A.magnitude_warp(_samples(spark, sf_dir), ["f"]).select("Ticker", "idx", "f")
 
 
-@query("augment_volatility_regime", None)
+_Z = f"SELECT *, {_n('vol/0', 'Ticker', 'idx')} AS z FROM ({_SAMPLES})"
+_AB = f"SELECT *, CASE WHEN idx = 0 THEN 0.0 ELSE 0.85 END AS a, CASE WHEN idx = 0 THEN 1.0 ELSE 0.01 + 0.1 * z1 * z1 END AS b FROM (SELECT *, coalesce(lag(z, 1) OVER (PARTITION BY Ticker ORDER BY idx), 0.0) AS z1 FROM ({_Z}))"
+_VOL = f"SELECT *, sqrt({Duck().recurrence('a', 'b').replace('ORDER BY Datetime', 'ORDER BY idx')}) AS v FROM ({_AB})"
+
+
+@query("augment_volatility_regime", f"SELECT Ticker, idx, R(f * greatest(least(v / avg(v) OVER (PARTITION BY Ticker), 2.0), 0.5)) AS f FROM ({_VOL})")
 def augment_volatility_regime(spark, sf_dir):
     return A.volatility_regime(_samples(spark, sf_dir), ["f"]).select("Ticker", "idx", "f")
 
 
-@query("augment_presets", None)
+@query("augment_presets", f"SELECT method, 0 AS copy, n FROM (SELECT unnest(['original', 'jitter', 'scale', 'magnitude_warp', 'trend_inject', 'regime_noise']) AS method), (SELECT count(*) AS n FROM ({_SAMPLES}))")
 def augment_presets(spark, sf_dir):
     return A.augment(_samples(spark, sf_dir), ["f"], A.PRESETS["strong"]).groupBy("method", "copy").agg(F.count("*").alias("n"))
 
