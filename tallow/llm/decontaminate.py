@@ -1,28 +1,42 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
-The test items' words become one automaton; document words stream through it
+The test items' words become an automaton; document words stream through it
 and the longest matching length at every word says which windows end there.  A
 window is ``window`` consecutive words of an item; an item of fewer words is
-one window.  The automaton is broadcast, its size checked: a larger benchmark
-is split into several automata, which a document passes one after the other.
+one window.  Words are told apart by their 64-bit hashes (see textbatch).
+
+Items are dealt into groups of bounded size; tasks build an automaton of each
+and put it, as plain arrays, on shared storage.  Documents are read once: each
+batch passes one automaton after the other, of which a worker process keeps
+what fits in KEPT_BYTES and loads the others anew.
 """
 
 from __future__ import annotations
 
+import io
+import json
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallow.llm import scratch
 from tallow.llm.textbatch import ALNUM, Words, chunks
 
 #: A word before lower-casing.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: UTF-8 bytes of item texts that one automaton takes.
-AUTOMATON_BYTES = 4 << 20
+#: UTF-8 bytes of item texts that one automaton takes, about; building takes some 150 bytes for each, the arrays some 10.
+AUTOMATON_BYTES = 1 << 20
+#: Words of a longer item's pieces, which overlap by a window.
+PIECE_WORDS = 50_000
+#: Bytes of automata that a worker process keeps.
+KEPT_BYTES = 256 << 20
 
 
 class SuffixAutomaton:
@@ -79,52 +93,94 @@ class SuffixAutomaton:
 
 
 class ItemIndex:
-    """An automaton of items with the items of every window, and the words that may occur in one."""
+    """An automaton of items as arrays, with the items of every window and the words that may occur in one."""
+
+    def __init__(self, window: int, ids: list[str], **arrays: np.ndarray):
+        self.window, self.ids = window, ids
+        self.__dict__ |= arrays
+        self.arrays = arrays
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
-        self.window = window
-        self.ids = sorted({i for i, _ in items})
-        number = {x: k for k, x in enumerate(self.ids)}
+    @classmethod
+    def build(cls, items: list[tuple[str, str | None]], window: int) -> ItemIndex:
+        ids = sorted({i for i, _ in items})
+        number = {x: k for k, x in enumerate(ids)}
         seqs = []
         for k, text in enumerate([t for _, t in items]):
             _, data, offs = next(chunks(pa.array([text], pa.string())))
             seqs.append((number[items[k][0]], Words(data, offs, ALNUM).hash))
-        self.vocab = np.unique(np.concatenate([np.zeros(0, np.uint64), *[s for _, s in seqs]]))
-        coded = [(k, np.searchsorted(self.vocab, s).tolist()) for k, s in seqs if len(s)]
-        size = len(self.vocab)
-        self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.array(s[:-1], np.int64) * size + np.array(s[1:], np.int64) for _, s in coded]]))
-        self.least = min((min(window, len(s)) for _, s in coded), default=0)
-        self.auto = auto = SuffixAutomaton()
-        whole = [(k, s, auto.add(s)) for k, s in coded]
-        #: Of each state that holds strings of the window's length or the whole of a shorter item: those items.
-        self.found: dict[int, set[int]] = {}
-        whole = [(k, s, auto.add(s)) for k, s, _ in whole]  # a later item may have split an earlier one's state
-        self.short: set[int] = set()
-        for k, s, end in whole:
+        vocab = np.unique(np.concatenate([np.zeros(0, np.uint64), *[s for _, s in seqs]]))
+        coded = [(k, np.searchsorted(vocab, s).tolist()) for k, s in seqs if len(s)]
+        size = len(vocab)
+        pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.array(s[:-1], np.int64) * size + np.array(s[1:], np.int64) for _, s in coded]]))
+        auto = SuffixAutomaton()
+        for _, s in coded:
+            auto.add(s)
+        found: dict[int, set[int]] = {}  # of each state that holds strings of the window's length or the whole of a shorter item: those items
+        short: set[int] = set()
+        for k, s in coded:
             if len(s) < window:
-                self.found.setdefault(end, set()).add(k)
-                self.short.add(end)
+                end = auto.add(s)  # a later item may have split the state that an earlier one ended in
+                found.setdefault(end, set()).add(k)
+                short.add(end)
         n = len(auto.len)
-        self.up = [-1] * n  # the state of a state's suffix of the window's length
-        self.shorter = [-1] * n  # the next state up the links that is a short item
+        up = [-1] * n  # the state of a state's suffix of the window's length
+        shorter = [-1] * n  # the next state up the links that is a short item
         for v in sorted(range(1, n), key=auto.len.__getitem__):
             p = auto.link[v]
-            self.up[v] = self.up[p] if auto.len[p] >= window else (v if auto.len[v] >= window else -1)
-            self.shorter[v] = p if p in self.short else self.shorter[p]
-        for k, s, _ in whole:
+            up[v] = up[p] if auto.len[p] >= window else (v if auto.len[v] >= window else -1)
+            shorter[v] = p if p in short else shorter[p]
+        for k, s in coded:
             state = length = 0
             if len(s) >= window:
                 for c in s:
                     state, length = auto.step(state, length, c)
                     if length >= window:
-                        self.found.setdefault(self.up[state], set()).add(k)
-
-    def scan(self, words: Words) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-        """Hit ranges of words, as (first, behind the last), and (text, item) pairs of one chunk."""
-        spans: list[tuple[int, int]] = []
-        items: set[tuple[int, int]] = set()
-        if not len(self.vocab) or not len(words.hash):
-            return spans, []
+                        found.setdefault(up[state], set()).add(k)
+        count = np.zeros(n + 1, np.int64)
+        for v, x in found.items():
+            count[v + 1] = len(x)
+        edges = np.fromiter((v * size + c for v, moves in enumerate(auto.next) for c in moves), np.int64)
+        ends = np.fromiter((to for moves in auto.next for to in moves.values()), np.int32)
+        order = np.argsort(edges)
+        return cls(
+            window, ids, vocab=vocab, pairs=pairs, edges=edges[order], ends=ends[order], link=np.array(auto.link, np.int32), length=np.array(auto.len, np.int32), up=np.array(up, np.int32), shorter=np.array(shorter, np.int32),
+            short=np.isin(np.arange(n), list(short)), first=np.cumsum(count), items=np.array([k for v in sorted(found) for k in sorted(found[v])], np.int32), least=np.array(min((min(window, len(s)) for _, s in coded), default=0)),
+        )
+
+    def dumps(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, head=np.frombuffer(json.dumps([self.window, self.ids]).encode(), np.uint8), **self.arrays)
+        return out.getvalue()
+
+    @classmethod
+    def loads(cls, data: bytes) -> ItemIndex:
+        with np.load(io.BytesIO(data)) as z:
+            window, ids = json.loads(z["head"].tobytes())
+            return cls(window, ids, **{k: z[k] for k in z.files if k != "head"})
+
+    def _go(self, state: np.ndarray, length: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States and longest matching lengths of many streams after one more word each."""
+        state, length = state.copy(), length.copy()
+        open_ = np.arange(len(state))
+        while len(open_):
+            key = state[open_].astype(np.int64) * len(self.vocab) + word[open_]
+            spot = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            hit = self.edges[spot] == key
+            state[open_[hit]] = self.ends[spot[hit]]
+            length[open_[hit]] += 1
+            open_ = open_[~hit]
+            stuck = state[open_] == 0
+            length[open_[stuck]] = 0
+            open_ = open_[~stuck]
+            state[open_] = self.link[state[open_]]
+            length[open_] = self.length[state[open_]]
+        return state, length
+
+    def scan(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows met, as first words and words behind the last, and (text, item) pairs of one chunk."""
+        none = np.zeros(0, np.int64)
+        if not len(self.edges) or not len(words.hash):
+            return none, none, none, none
         at = np.searchsorted(self.vocab, words.hash)
         at[at == len(self.vocab)] = 0
         known = self.vocab[at] == words.hash
@@ -141,64 +197,81 @@ class ItemIndex:
         begin = np.flatnonzero(known & ~np.concatenate([[False], joined]))
         end = np.flatnonzero(known & ~np.concatenate([joined, [False]])) + 1
         far = end - begin >= self.least
-        window, step, up, shorter, short, length_of, found = self.window, self.auto.step, self.up, self.shorter, self.short, self.auto.len, self.found
-        for a, b in zip(begin[far].tolist(), end[far].tolist()):
-            state = length = 0
-            doc = int(words.doc[a])
-            for i, c in enumerate(at[a:b].tolist(), a + 1):
-                state, length = step(state, length, c)
-                if length >= window:
-                    spans.append((i - window, i))
-                    items.update((doc, k) for k in found[up[state]])
-                u = state if length == length_of[state] and state in short else shorter[state]
-                while u > 0:
-                    spans.append((i - length_of[u], i))
-                    items.update((doc, k) for k in found[u])
-                    u = shorter[u]
-        return spans, list(items)
-
-
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def _scan_rows(index, text_at: int, with_spans: bool):
-    """Append or extend the columns of SCAN."""
+        begin, end = begin[far], end[far]
+        order = np.argsort(begin - end, kind="stable")  # longest first
+        begin, size = begin[order], (end - begin)[order]
+        state, length = np.zeros(len(begin), np.int32), np.zeros(len(begin), np.int32)
+        spans, met = [(none, none)], [(none, none)]
+
+        def note(which: np.ndarray, states: np.ndarray, long: np.ndarray, behind: int) -> None:
+            spans.append((begin[which] + behind - long, begin[which] + behind))
+            n = self.first[states + 1] - self.first[states]
+            k = np.repeat(self.first[states] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            met.append((np.repeat(words.doc[begin[which]], n), self.items[k]))
+
+        for i in range(int(size[0]) if len(size) else 0):
+            m = int(np.searchsorted(-size, -i, "left"))  # streams of more than i words
+            state, length = self._go(state[:m], length[:m], at[begin[:m] + i])
+            whole = np.flatnonzero(length >= self.window)
+            note(whole, self.up[state[whole]], np.full(len(whole), self.window), i + 1)
+            u = np.where((length == self.length[state]) & self.short[state], state, self.shorter[state])
+            which = np.flatnonzero(u > 0)
+            while len(which):
+                note(which, u[which], self.length[u[which]], i + 1)
+                u[which] = self.shorter[u[which]]
+                which = which[u[which] > 0]
+        a, b = (np.concatenate(x) for x in zip(*spans))
+        d, k = (np.concatenate(x) for x in zip(*met))
+        return a, b, d, k
+
+
+_kept: OrderedDict[str, tuple[ItemIndex, int]] = OrderedDict()
+
+
+def _load(uri: str) -> ItemIndex:
+    """An automaton from shared storage, or from this process's memory."""
+    if uri in _kept:
+        _kept.move_to_end(uri)
+        return _kept[uri][0]
+    fs, path = pafs.FileSystem.from_uri(uri)
+    with fs.open_input_stream(path, compression=None) as stream:
+        index = ItemIndex.loads(stream.read())
+    _kept[uri] = index, sum(x.nbytes for x in index.arrays.values())
+    while len(_kept) > 1 and sum(n for _, n in _kept.values()) > KEPT_BYTES:
+        _kept.popitem(last=False)
+    return index
+
+
+def _scan_rows(uris: list[str], text_at: int):
+    """Append the columns of SCAN."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix: ItemIndex = index.value
         for batch in batches:
-            n = batch.num_rows
-            count = np.zeros(n, np.int64)
-            spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-            items: list[set[str]] = [set() for _ in range(n)]
-            ranges: dict[int, list[tuple[int, int]]] = {}
-            if with_spans:  # an earlier automaton's
-                for i, (s, m) in enumerate(zip(batch.column("__spans").to_pylist(), batch.column("__items").to_pylist())):
-                    spans[i] = [(x["a"], x["b"]) for x in s]
-                    items[i] = set(m)
-            for base, data, offs in chunks(batch.column(text_at)):
-                words = Words(data, offs, ALNUM)
-                count[base : base + len(words.count)] = words.count
-                hit, met = ix.scan(words)
-                for a, b in hit:
-                    d = int(words.doc[a])
-                    spans[base + d].append((a - int(words.first[d]), b - int(words.first[d])))
-                for d, k in met:
-                    items[base + d].add(ix.ids[k])
-                for d in {int(words.doc[a]) for a, _ in hit}:
-                    spans[base + d] = _merged(spans[base + d])
-            columns = {c: batch.column(c) for c in batch.schema.names if c not in SCAN}
-            columns["__words"] = pa.array(count)
-            columns["__spans"] = pa.array([[{"a": a, "b": b} for a, b in s] for s in spans], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
-            columns["__items"] = pa.array([sorted(x) for x in items], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            parts = [(base, Words(data, offs, ALNUM)) for base, data, offs in chunks(batch.column(text_at))]
+            hit = [np.zeros(len(w.hash) + 1, np.int32) for _, w in parts]  # windows opened less those closed, before each word
+            items: list[set[str]] = [set() for _ in range(batch.num_rows)]
+            for uri in uris:
+                index = _load(uri)
+                for (base, words), opened in zip(parts, hit):
+                    a, b, d, k = index.scan(words)
+                    np.add.at(opened, a, 1)
+                    np.subtract.at(opened, b, 1)
+                    for doc, item in set(zip(d.tolist(), k.tolist())):
+                        items[base + doc].add(index.ids[item])
+            spans: list[list[dict[str, int]]] = []
+            for (_, words), opened in zip(parts, hit):
+                inside = np.cumsum(opened[:-1]) > 0
+                new = np.ones(len(inside), bool)
+                new[1:] = words.doc[1:] != words.doc[:-1]
+                start = np.flatnonzero(inside & (new | ~np.concatenate([[False], inside])[:-1]))
+                end = np.flatnonzero(inside & np.concatenate([new[1:] | ~inside[1:], [True]])) + 1 if len(inside) else start
+                of: list[list[dict[str, int]]] = [[] for _ in words.count]
+                for d, a, b in zip(words.doc[start].tolist(), (start - words.first[words.doc[start]]).tolist(), (end - words.first[words.doc[start]]).tolist()):
+                    of[d].append({"a": a, "b": b})
+                spans += of
+            count = np.concatenate([np.zeros(0, np.int64), *[w.count for _, w in parts]])
+            made = [pa.array(count), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *SCAN])
 
     return run
 
@@ -210,25 +283,37 @@ SCAN = {
 }
 
 
-def _indexes(items: DataFrame, window: int) -> Iterator[ItemIndex]:
-    """Automata that together hold all items, each of about AUTOMATON_BYTES at most."""
+def _build_rows(folder: str, window: int):
+    def run(table: pa.Table) -> pa.Table:
+        index = ItemIndex.build(list(zip(table.column("id").to_pylist(), table.column("text").to_pylist())), window)
+        fs, path = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(path, recursive=True)
+        name = f"{uuid.uuid4().hex}.npz"  # a repeated task writes another file
+        with fs.open_output_stream(f"{path}/{name}", compression=None) as out:
+            out.write(index.dumps())
+        return pa.table({"uri": [f"{folder}/{name}"]})
+
+    return run
+
+
+def automata(items: DataFrame, window: int = 13) -> list[str]:
+    """Where the automata are that together hold all items."""
     rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("id"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-size // AUTOMATON_BYTES) or 1
-    for j in range(parts):
-        part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == j).collect()
-        yield ItemIndex([(r["id"], r["text"]) for r in part], window)
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    # A very long item goes in pieces, none shorter than a window.
+    piece = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - window, F.lit(0)), F.lit(PIECE_WORDS)), lambda i: F.array_join(F.slice(w, i + 1, PIECE_WORDS + window - 1), " "))
+    long = F.octet_length("text") > AUTOMATON_BYTES
+    rows = rows.withColumn("w", F.when(long, words)).select("id", F.explode(F.when(long, piece(F.col("w"))).otherwise(F.array("text"))).alias("text"))
+    group = F.pmod(F.xxhash64("id", "text"), F.lit(-(-size // AUTOMATON_BYTES) or 1)).alias("group")
+    made = rows.select(group, "id", "text").groupBy("group").applyInArrow(_build_rows(scratch.folder(items.sparkSession, "automata"), window), "uri string")
+    return [r[0] for r in scratch.table(made, "automaton-paths").collect()]  # a path for each AUTOMATON_BYTES of items
 
 
 def scan(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
     """docs with __words (their number), __spans (hit word ranges, merged) and __items (ids of the items met)."""
-    spark, out = docs.sparkSession, docs
-    for index in _indexes(items, window):
-        old = [c for c in out.schema.fields if c.name not in SCAN]
-        schema = T.StructType([*old, *[T.StructField(k, v) for k, v in SCAN.items()]])
-        at = out.columns.index("text")
-        out = out.mapInArrow(_scan_rows(spark.sparkContext.broadcast(index), at, "__spans" in out.columns), schema)
-    return out
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(k, v) for k, v in SCAN.items()]])
+    return docs.mapInArrow(_scan_rows(automata(items, window), docs.columns.index("text")), schema)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, max_percent: int = 5) -> DataFrame:

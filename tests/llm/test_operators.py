@@ -142,6 +142,33 @@ def test_decontaminate(spark, docs):
             assert brute_hits(r["clean_text"], [])[0] == r["n_words"] - r["n_hit"]
 
 
+def test_several_automata_and_long_items(spark, docs, monkeypatch):
+    from tallow.llm import decontaminate as module
+
+    monkeypatch.setattr(module, "AUTOMATON_BYTES", 40)
+    monkeypatch.setattr(module, "PIECE_WORDS", 5)
+    long = [("l", " ".join(f"w{k}" for k in range(30, 75))), ("m", " ".join(f"w{k}" for k in range(13)))]
+    text = "w0 w29 " + " ".join(f"w{k}" for k in range(31, 60)) + " w0 " + " ".join(f"w{k}" for k in range(62, 75))
+    more = [(910, text, "en", None, 1), (911, " ".join(f"w{k}" for k in range(12)), "en", None, 1), (912, " ".join(f"W{k}" for k in range(13)) + " w5 w6 w7", "en", None, 1)]
+    every = docs.union(spark.createDataFrame(more, SCHEMA))
+    items = ITEMS + long
+    table = spark.createDataFrame(items, "item_id string, text string")
+    assert len(module.automata(table)) > 5
+    for r in decontaminate(every, table).collect():
+        assert (r["n_words"], r["n_hit"], r["item_ids"]) == brute_hits(r["text"], items), r["text"]
+
+
+def test_an_automaton_survives_storage_in_little_space():
+    from tallow.llm.decontaminate import ItemIndex
+
+    rng = random.Random(9)
+    items = [(str(i), " ".join(f"v{rng.randrange(3000)}" for _ in range(40))) for i in range(1500)]
+    data = ItemIndex.build(items, 13).dumps()
+    assert len(data) < 25 * sum(len(t) for _, t in items)
+    back = ItemIndex.loads(data)
+    assert back.ids == sorted(i for i, _ in items) and back.window == 13
+
+
 def test_decontaminate_without_items(spark, docs):
     none = spark.createDataFrame([], "item_id string, text string")
     assert decontaminate(docs, none).where("n_hit > 0 OR contaminated").count() == 0
