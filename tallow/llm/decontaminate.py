@@ -31,7 +31,7 @@ from tallow.llm.textbatch import ALNUM, Words, chunks
 
 #: A word before lower-casing.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: UTF-8 bytes of item texts that one automaton takes, about; building takes some 150 bytes for each, the arrays some 10.
+#: UTF-8 bytes of item texts that one automaton takes, about; building takes some 240 bytes for each, the arrays some 10.
 AUTOMATON_BYTES = 1 << 20
 #: Words of a longer item's pieces, which overlap by a window.
 PIECE_WORDS = 50_000
