@@ -189,7 +189,7 @@ def test_splits_leave_a_gap(spark):
     assert (out.split == "holdout").sum() == 20 and (out.split == "gap").sum() == 5 and (out.split == "train").sum() == 175
 
 
-SAMPLE = ["candles_hourly", "candle_slice", "ind_momentum_rsi", "rolling_median", "close_features", "outliers_mean", "metrics_per_step", "augment_mixup", "classify_features"]
+SAMPLE = ["candles_hourly", "candle_slice", "ind_momentum_rsi", "rolling_median", "close_features", "outliers_mean", "metrics_per_step", "augment_mixup", "classify_features", "direct_evaluation", "prune_decisions", "augment_volatility_regime"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
@@ -270,3 +270,60 @@ def test_recurrences_of_a_series_that_spans_partitions(spark, monkeypatch):
             for name, want in y.items():
                 have = getattr(row, name)
                 assert (have != have) if want is None else abs(have - want) < 1e-9 * max(1, abs(want)), (row, name, want)
+
+
+def test_kendall_equals_pandas(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"a": rng.integers(0, 12, 400).astype(float), "b": rng.normal(size=400).round(1)})
+    pdf["b"] += pdf.a * 0.2
+    df = spark.createDataFrame(pdf).union(spark.createDataFrame([(None, 1.0), (2.0, None)], "a double, b double"))
+    c = np.sign(pdf.a.values[:, None] - pdf.a.values) * np.sign(pdf.b.values[:, None] - pdf.b.values)
+    want = c.sum() / np.sqrt((pdf.a.values[:, None] != pdf.a.values).sum() * (pdf.b.values[:, None] != pdf.b.values).sum())
+    assert P.kendall(df, "a", "b") == pytest.approx(want)
+    assert P.kendall(df.withColumn("b", F.lit(1.0)), "a", "b") is None and P.kendall(df.where("false"), "a", "b") is None
+
+
+def test_stored_pipeline_needs_its_context_only(spark):
+    c = series(spark, 60)
+    old, new = c.where(F.col("Datetime") < c.agg(F.max("Datetime")).first()[0]), c.where(F.col("Datetime") == c.agg(F.max("Datetime")).first()[0])
+    p = X.FeaturePipeline(["Close"], [1, 3], [5], ["mean", "std"]).fit(old)
+    again = X.FeaturePipeline.from_json(p.to_json())
+    a = frame(again.transform_new(new, old))[p.names()].to_numpy()
+    b = frame(p.transform(c).where(F.col("Datetime") == c.agg(F.max("Datetime")).first()[0]))[p.names()].to_numpy()
+    assert len(a) and np.allclose(a, b) and p.summary()["features"] == 4
+
+
+def test_processor_and_reloaded_models(spark, tmp_path):
+    from tallow.operators import models as L
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 3))
+    x[:, 2] = x[:, 0] + 0.01 * x[:, 2]
+    df = spark.createDataFrame([(float(a), float(b), float(c), [float(a - b)]) for a, b, c in x], "a double, b double, c double, y array<double>")
+    p = L.FeatureProcessor(["a", "b", "c"], "raw+pca", 0.95).fit(df)
+    out = p.transform(df)
+    assert out.columns == ["y", "PCA_1", "PCA_2", "a", "b", "c"] and p.metadata(spark).first()["n_out"] == 5
+    assert abs(out.agg(F.corr("PCA_1", "PCA_2")).first()[0]) < 1e-6
+    m = LinearForecaster.fit(df, ["a", "b"], 1)
+    m.save(spark, f"{tmp_path}/linear")
+    assert np.array_equal(LinearForecaster.load(spark, f"{tmp_path}/linear").weights, m.weights)
+    trees = L.fit_steps("boosted_trees", df, ["a", "b"], 1, maxIter=2)
+    L.save_steps(trees, f"{tmp_path}/trees")
+    back = L.load_steps(type(trees[0]), f"{tmp_path}/trees", 1)
+    one = lambda ms: [r["y_pred"] for r in L.predict_steps(ms, df, ["a", "b"]).collect()]
+    assert one(trees) == one(back)
+    assert [r["feature"] for r in L.importances(spark, trees, ["a", "b"], top=1).collect()] in (["a"], ["b"])
+
+
+def test_grids_and_variants():
+    from tallow.operators import models as L
+    from tallow.operators.indicators import Registry
+
+    assert len(L.grid({"a": [1, 2], "b": [3, 4, 5]})) == 6 and L.grid({"a": [1, 2, 3]}, 2) == L.grid({"a": [1, 2, 3]}, 2) and len(L.grid({"a": [1, 2, 3]}, 2)) == 2
+    assert L.search([{"a": 3}, {"a": 1}, {"a": -1}], lambda c: abs(c["a"]))[0] == {"a": 1}
+    r = Registry()
+    r.indicators, r.helpers = dict(REGISTRY.indicators), dict(REGISTRY.helpers)
+    assert r.variant("rsi_14", 21) == "rsi_21" and "rs_21" in r.helpers and r.variant("ema_20_ratio", 33) == "ema_33_ratio" and "ema_33" in r.indicators
+    assert "rsi_21" not in REGISTRY.indicators
+    with pytest.raises(ValueError):
+        r.variant("obv", 3)
