@@ -398,7 +398,7 @@ def prune_decisions(spark, sf_dir):
     return P.Pruner().fit(c.where("split = 'train'"), ["Close", "first", "same", "gap", "twin", "late"]).summary(spark)
 
 
-@query("leak_audit", f"SELECT unnest({list(REGISTRY.indicators)!r}) AS name, 0 AS moved")
+@query("leak_audit", f"SELECT unnest({list(REGISTRY.indicators)!r}) AS name, CAST(0 AS BIGINT) AS moved")
 def leak_audit(spark, sf_dir):
     return indicators.leak_audit(C.event_candles(spark, sf_dir), list(REGISTRY.indicators))
 
@@ -411,13 +411,13 @@ def indicator_variant(spark, sf_dir):
     return compute(C.event_candles(spark, sf_dir), [name], registry=names).select("Ticker", "Datetime", name)
 
 
-@query("indicator_summary", "SELECT * FROM (VALUES ('candle', 9), ('momentum', 31), ('regime', 9), ('returns', 16), ('trend', 32), ('volatility', 14), ('volume', 12)) v(category, n) WHERE (SELECT count(*) FROM events) > 0")
+@query("indicator_summary", "SELECT category, CAST(n AS BIGINT) AS n FROM (VALUES ('candle', 9), ('momentum', 31), ('regime', 9), ('returns', 16), ('trend', 32), ('volatility', 14), ('volume', 12)) v(category, n) WHERE (SELECT count(*) FROM events) > 0")
 def indicator_summary(spark, sf_dir):
     out = REGISTRY.summary(spark).groupBy("category").agg(F.count("*").alias("n"))
     return out.where(F.lit(spark.read.parquet(f"{sf_dir}/events.parquet").limit(1).count() > 0))
 
 
-@query("indicator_features", f"SELECT DISTINCT Ticker, 1.0 AS null_share, true AS safe FROM ({EC})")
+@query("indicator_features", f"SELECT DISTINCT Ticker, CAST(1 AS DOUBLE) AS null_share, true AS safe FROM ({EC})")
 def indicator_features(spark, sf_dir):
     """Every indicator looks back, so that each series' first row has none."""
     return indicators.indicator_features(C.event_candles(spark, sf_dir), ["candle", "volatility"], P.Pruner())[2]
