@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallow.llm.conversation_repair import damage, repair
 from tallow.llm.decontaminate import decontaminate
 from tallow.llm.divergence import audit
 from tallow.llm.html_crf import extract
@@ -80,6 +81,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    return repair(damage(rows), rows).audits
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(_read(spark, sf_dir, "documents").select("text", "lang", "source"), min_docs=10, top=10)
 
@@ -95,6 +101,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_token_counts": op9_token_counts,
     "op10_html_extraction": op10_html_extraction,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -132,6 +139,52 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
        CASE WHEN n >= 100 AND f <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 100 AND f <> page_id THEN f END AS refers_to
 FROM d
+""",
+    "op12_conversation_repair": r"""
+WITH RECURSIVE
+tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+crc AS (SELECT src.*, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(substr(k, i, 1)) AS BIGINT))),
+                                      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS f FROM src, tab),
+harm AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+                CASE WHEN f = 1 THEN '' WHEN f = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                unnest(CASE WHEN f = 3 THEN [1, 2] ELSE [1] END) AS copy FROM crc WHERE f <> 0),
+put AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM harm),
+seen AS (SELECT *, substr(role, 1, 1) AS o, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS again,
+                substr(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1, 1) AS b FROM put),
+msg AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN again > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault,
+               b IS NOT NULL AND b || o NOT IN ('su', 'ua', 'au') AS illegal FROM seen),
+edit(st, edits, goes, cost, o, before, role) AS (VALUES
+  (0, 'D', 0, 4, NULL, NULL, NULL), (1, 'D', 1, 4, NULL, NULL, NULL), (2, 'D', 2, 4, NULL, NULL, NULL), (3, 'D', 3, 4, NULL, NULL, NULL),
+  (0, 'K', 1, 0, 's', '', NULL), (0, 'K', 2, 0, 'u', '', NULL), (0, 'R', 2, 3, NULL, '', 'user'),
+  (0, 'IK', 3, 3, 'a', E'user:\n', NULL), (0, 'IR', 3, 6, NULL, E'user:\n', 'assistant'),
+  (0, 'IIK', 2, 6, 'u', E'user:\nassistant:\n', NULL), (0, 'IIR', 2, 9, NULL, E'user:\nassistant:\n', 'user'),
+  (1, 'K', 2, 0, 'u', '', NULL), (1, 'R', 2, 3, NULL, '', 'user'),
+  (1, 'IK', 3, 3, 'a', E'user:\n', NULL), (1, 'IR', 3, 6, NULL, E'user:\n', 'assistant'),
+  (1, 'IIK', 2, 6, 'u', E'user:\nassistant:\n', NULL), (1, 'IIR', 2, 9, NULL, E'user:\nassistant:\n', 'user'),
+  (2, 'K', 3, 0, 'a', '', NULL), (2, 'R', 3, 3, NULL, '', 'assistant'),
+  (2, 'IK', 2, 3, 'u', E'assistant:\n', NULL), (2, 'IR', 2, 6, NULL, E'assistant:\n', 'user'),
+  (3, 'K', 2, 0, 'u', '', NULL), (3, 'R', 2, 3, NULL, '', 'user'),
+  (3, 'IK', 3, 3, 'a', E'user:\n', NULL), (3, 'IR', 3, 6, NULL, E'user:\n', 'assistant')),
+dp(conv_id, i, st, best) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, {'cost': CAST(0 AS BIGINT), 'audit': '', 'out': ''} FROM conversations
+  UNION ALL
+  SELECT dp.conv_id, dp.i + 1, e.goes,
+         min({'cost': best.cost + e.cost + CASE WHEN e.edits <> 'D' AND m.fault = 3 THEN 3 ELSE 0 END, 'audit': best.audit || e.edits,
+              'out': best.out || CASE WHEN e.edits = 'D' THEN '' ELSE e.before || coalesce(e.role, m.role) || ':' || m.text || E'\n' END})
+  FROM dp JOIN msg m ON m.conv_id IS NOT DISTINCT FROM dp.conv_id AND m.i = dp.i + 1
+  JOIN edit e ON e.st = dp.st AND (e.o IS NULL OR e.o = m.o) AND (e.edits = 'D' OR m.fault NOT IN (1, 2))
+  GROUP BY dp.conv_id, dp.i + 1, e.goes),
+size AS (SELECT c.conv_id, count(m.i) AS n, coalesce(max(m.turn) - min(m.turn) + 1 - count(DISTINCT m.turn), 0) AS gaps,
+                count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (illegal) AS illegal
+         FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN msg m ON m.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id),
+done AS (SELECT size.*, (SELECT min({'cost': best.cost + CASE st WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 0 END, 'audit': best.audit || CASE st WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+                                     'out': best.out || CASE st WHEN 1 THEN E'user:\nassistant:\n' WHEN 2 THEN E'assistant:\n' ELSE '' END})
+                         FROM dp WHERE dp.conv_id IS NOT DISTINCT FROM size.conv_id AND dp.i = size.n) AS best FROM size)
+SELECT conv_id, CAST(gaps AS BIGINT) AS gaps, blank, duplicate, truncated, illegal, best.cost AS cost, best.audit AS audit,
+       sha256(CASE WHEN best.out = '' THEN '' ELSE substr(best.out, 1, length(best.out) - 1) END) AS repaired_sha256
+FROM done
 """,
     "op13_source_divergence": r"""
 WITH d AS (

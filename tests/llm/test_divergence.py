@@ -37,7 +37,7 @@ def brute(rows, min_docs, top):
 
 def rows():
     rng = np.random.default_rng(3)
-    words = ["the", "The", "cat", "é", "ёж", "世界", "x1y", "w-w", "Zoo", *[f"a{'bcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(60)]]
+    words = ["the", "The", "cat", "é", "ёж", "世界", "x1y", "w-w", "Zoo", *[f"a{'bcdefghijk'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(60)]]
     out = [(" ".join(rng.choice(words, int(rng.integers(0, 60)))), f"l{rng.integers(2)}", f"s{int(rng.integers(12) * (rng.random() < 0.7))}") for _ in range(150)]
     out += [out[0]] * 5 + [(None, "l0", "empty"), ("alone", "l9", "one"), ("", "l9", "two"), (None, None, None), ("the the", None, "s0"), ("cat " * 5000, "l0", "s1")]
     return out
