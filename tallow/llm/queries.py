@@ -13,6 +13,7 @@ from tallow.llm.html_crf import extract
 from tallow.llm.jaccard_join import jaccard_components
 from tallow.llm.packing import pack
 from tallow.llm.pii import pseudonymise
+from tallow.llm.pitman_yor import score as score_texts
 from tallow.llm.quality_classifier import score
 from tallow.llm.quality_rules import apply_rules
 from tallow.llm.token_counts import prefix_counts, tokens_of
@@ -81,6 +82,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = score_texts(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations")
     return repair(damage(rows), rows).audits
@@ -101,6 +107,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_token_counts": op9_token_counts,
     "op10_html_extraction": op10_html_extraction,
+    "op11_lm_scoring": op11_lm_scoring,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_source_divergence": op13_source_divergence,
 }
