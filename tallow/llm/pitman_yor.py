@@ -40,8 +40,10 @@ from tallow.llm import scratch
 from tallow.llm.textbatch import NOT_SPACE, Words, chunks, mix
 
 #: Bytes of text of a chunk, and keys of a bucket, about.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 BUCKET_KEYS = 1 << 20
+#: Pairs whose probabilities a task works out at once.
+BLOCK = 1 << 17
 #: Customers of a cell whose seating is drawn exactly.
 EXACT = 32
 SWEEPS, BURN_IN = 3, 1
@@ -402,12 +404,14 @@ def _scored(model: Model, sweeps: range, tokens: int):
         told, n = _joined(replies.filter(pa.compute.equal(kind, 0))), _joined(replies.filter(pa.compute.equal(kind, 1)))[0] >> 1
         last = sweeps[-1]
         told += [np.zeros(len(keys), np.int64)] * (3 + 3 * (last + 1) - len(told))
-        count, cols, u, w = told[0], told[3:], pairs.context, pairs.word
-        context, customers, tables = ([cols[3 * s + k] for s in range(last + 1)] for k in range(3))
-        seated = model.seatings(last, n, pairs.keys, [x[u] for x in context], [x[w] for x in customers], [x[w] for x in tables])
+        count, context, customers, tables = told[0], told[3::3], told[4::3], told[5::3]
         p = np.zeros(len(n))
-        for s in sweeps:
-            p += (n - model.d * seated[s] + (STRENGTH + model.d * context[s][u]) * model.parent(s, customers[s], tables[s])[w]) / (STRENGTH + count[u])
+        for a in range(0, len(n), BLOCK):
+            part = slice(a, a + BLOCK)
+            c, u, w = n[part], pairs.context[part], pairs.word[part]
+            seated = model.seatings(last, c, pairs.keys[part], [x[u] for x in context], [x[w] for x in customers], [x[w] for x in tables])
+            for s in sweeps:
+                p[part] += (c - model.d * seated[s] + (STRENGTH + model.d * context[s][u]) * model.parent(s, customers[s][w], tables[s][w])) / (STRENGTH + count[u])
         score = np.log10(p / len(sweeps))[pairs.pair]
         base = np.log10((count + 0.5) / (tokens + 0.5 * (model.v + 1)))[words]
         return pa.table(
@@ -435,7 +439,7 @@ def score(docs: DataFrame, train: str = "crc32(coalesce(CAST(doc_id AS STRING),
     words.
     """
     parts = docs.select("doc_id", F.coalesce(F.expr(train), F.lit(False)).alias("train"), F.col("text").cast("string").alias("text"))
-    name = docs.schema["doc_id"].dataType.simpleString()
+    spark, name = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     made = "chunk long, doc_ids array<{}>, train binary, sizes binary, keys binary, counts binary, words binary, n_keys long, n_words long".format(name)
     texts = scratch.table(parts.mapInArrow(_chunked, made), "chunks")
     n_keys, n_words = texts.agg(F.sum("n_keys"), F.sum("n_words")).first()
@@ -448,8 +452,10 @@ def score(docs: DataFrame, train: str = "crc32(coalesce(CAST(doc_id AS STRING),
     streams = texts.select("chunk", "keys", "words", "sizes", "train")
     ask = streams.mapInArrow(_pair_slices(pair_buckets), _SLICE)
     pairs = scratch.table(ask.groupBy("bucket").applyInArrow(_count_pairs, _SLICE), "pairs")
+    scratch.release(spark)
     by_chunk = streams.groupBy("chunk").cogroup(pairs.groupBy("chunk"))
     found = scratch.table(by_chunk.applyInArrow(_own_cells(word_buckets), _SLICE + ", nums array<long>"), "cells")
+    scratch.release(spark)
     cells, sums = found.where("bucket < 0"), found.where("bucket >= 0").drop("nums")
     words = scratch.table(words.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(_first_seating, _WORDS), "words-0")
     once, twice = (x or 0 for x in cells.agg(F.sum(F.expr("nums[0]")), F.sum(F.expr("nums[1]"))).first())
@@ -467,6 +473,7 @@ def score(docs: DataFrame, train: str = "crc32(coalesce(CAST(doc_id AS STRING),
         model.customers.append(totals[0])
         model.tables.append(totals[1])
 
+    scratch.release(spark)
     ask = lexicon.mapInArrow(_lexicon_slices(word_buckets, False), _SLICE)
     told = ask.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_answer(slice(None)), _SLICE)
     kind = lambda df, k: df.select("chunk", "bucket", "cols", F.lit(k).alias("kind"))

@@ -8,9 +8,14 @@ from pyspark.sql import SparkSession
 
 from tallow.functions.scratch import root, table
 
-__all__ = ["folder", "root", "table"]
+__all__ = ["folder", "release", "root", "table"]
 
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new path for one set of files; nothing is created yet."""
     return f"{root(spark)}/tallow/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of finished steps: it does so once the driver has collected their garbage."""
+    spark.sparkContext._jvm.System.gc()
