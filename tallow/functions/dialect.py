@@ -14,6 +14,10 @@ class Spark:
     """Spark SQL text."""
 
     spark = True
+    order = ORDER
+
+    def row_number(self) -> str:
+        return f"row_number() OVER ({self.order})"
 
     def div(self, a: str, b: str) -> str:
         """Null where b is 0."""
@@ -26,13 +30,13 @@ class Spark:
         return f"CASE WHEN {x} >= 0 THEN sqrt({x}) END"
 
     def lag(self, x: str, k: int) -> str:
-        return f"lag({x}, {k}) OVER ({ORDER})" if k >= 0 else f"lead({x}, {-k}) OVER ({ORDER})"
+        return f"lag({x}, {k}) OVER ({self.order})" if k >= 0 else f"lead({x}, {-k}) OVER ({self.order})"
 
     def frame(self, call: str, lo: int | None, hi: int = 0) -> str:
         """call over the rows from lo before (None: all) to hi before the current one."""
         first = "UNBOUNDED PRECEDING" if lo is None else f"{lo} PRECEDING"
         last = "CURRENT ROW" if hi == 0 else f"{hi} PRECEDING"
-        return f"{call} OVER ({ORDER} ROWS BETWEEN {first} AND {last})"
+        return f"{call} OVER ({self.order} ROWS BETWEEN {first} AND {last})"
 
     def full(self, fn: str, x: str, k: int, shift: int = 0) -> str:
         """fn of x over the last k rows, null unless all k are there."""
@@ -72,6 +76,15 @@ class Spark:
         return f"CASE WHEN {hi} = {lo} THEN 0D WHEN {xs} IS NOT NULL THEN aggregate({each}, 0D, (s, p) -> s - CASE WHEN p > 0 THEN p * ln(p) ELSE 0D END) END"
 
 
+class Stretched(Spark):
+    """Spark SQL text over stretches of numbered rows (functions.stretches)."""
+
+    order = "PARTITION BY Ticker, __stretch ORDER BY __row"
+
+    def row_number(self) -> str:
+        return "CAST(__row AS INT)"
+
+
 class Duck(Spark):
     """DuckDB text, used for the oracle only."""
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tallow.functions.quantiles import quantiles
 from tallow.functions.recurrence import Affine, linear_recurrences
 
 PRESETS = {"light": ["jitter", "scale"], "medium": ["jitter", "scale", "magnitude_warp"], "strong": ["jitter", "scale", "magnitude_warp", "trend_inject", "regime_noise"], "time": ["window_crop", "block_bootstrap"], "mix": ["mixup"], "tails": ["tail_augment"]}
@@ -121,8 +122,9 @@ def tail_augment(df: DataFrame, columns: list[str], percentile: float = 0.1, amp
     """Rows and again those whose largest |y| lies in either tail, pushed away from the feature means."""
     s = F.array_max(F.transform("y", F.abs))
     wide = df.withColumn("__s", s)
-    cut = wide.agg(F.percentile("__s", F.lit(percentile)).alias("__a"), F.percentile("__s", F.lit(1 - percentile)).alias("__b"), *[F.avg(c).alias(f"{c}__m") for c in columns])
-    tails = _with(wide, cut).where((F.col("__s") <= F.col("__a")) | (F.col("__s") >= F.col("__b")))
+    low, high = quantiles(df, {"s": (s, [percentile, 1 - percentile])})["s"]
+    means = df.agg(*[F.avg(c).alias(f"{c}__m") for c in columns])
+    tails = _with(wide, means).where((F.col("__s") <= F.lit(low)) | (F.col("__s") >= F.lit(high)))
     return df.union(_put(tails, df, {c: F.col(f"{c}__m") + amplify * (F.col(c) - F.col(f"{c}__m")) for c in columns}))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from tallow.functions.quantiles import quantiles
 from tallow.functions.windows import series
 
 RESERVED = ("Datetime", "Ticker", "Date")
@@ -98,18 +99,19 @@ def price_vector(history: Column, lags: list[int], windows: list[int]) -> dict[s
 
 
 def fit_scaler(df: DataFrame, columns: list[str], method: str = "standard") -> DataFrame:
-    """One row: {col}__shift and {col}__scale; a scale of 0 counts as 1."""
+    """One row: {col}__shift and {col}__scale; a scale of 0 counts as 1.  robust: median and distance of the quartiles, exactly."""
     one = lambda s: F.when(s == 0, 1.0).otherwise(F.coalesce(s, F.lit(1.0)))
     aggs = []
+    if method == "robust":
+        found = quantiles(df, {c: (F.col(c), [0.25, 0.5, 0.75]) for c in columns})
+        row = [v for c in columns for v in (found[c][1], 1.0 if found[c][0] in (None, found[c][2]) else found[c][2] - found[c][0])]
+        return df.sparkSession.createDataFrame([row], ", ".join(f"`{c}__shift` double, `{c}__scale` double" for c in columns))
     for c in columns:
         x = F.col(c).cast("double")
         if method == "standard":
             shift, scale = F.avg(x), F.stddev_pop(x)
         elif method == "minmax":
             shift, scale = F.min(x), F.max(x) - F.min(x)
-        elif method == "robust":
-            q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-            shift, scale = q[1], q[2] - q[0]
         else:
             raise ValueError(f"unknown scaler {method!r}")
         aggs += [shift.alias(f"{c}__shift"), one(scale).alias(f"{c}__scale")]

@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tallow.functions import scratch
-from tallow.functions.dialect import ORDER, Spark
+from tallow.functions.dialect import Spark, Stretched
 from tallow.functions.recurrence import Affine, Mean, linear_recurrences
+from tallow.functions.stretches import automatic, haloed, numbered, running_sums
 
 CANDLE = ("Open", "High", "Low", "Close", "Volume")
 Formula = Callable[[Spark], str]
@@ -40,11 +41,18 @@ class Recurrence:
         return Mean(name, self.of, self.span) if self.of else Affine(name, self.a(d), self.b(d))
 
 
+@dataclass
+class Running:
+    """The sum of a column over all rows so far."""
+
+    of: str
+
+
 @dataclass
 class Indicator:
     name: str
     group: str
-    formula: Formula | Recurrence
+    formula: Formula | Recurrence | Running
     inputs: tuple[str, ...] = ()
     params: dict = field(default_factory=dict)
 
@@ -56,7 +64,7 @@ class Registry:
         self.indicators: dict[str, Indicator] = {}
         self.helpers: dict[str, Formula | Recurrence] = {}
 
-    def register(self, name: str, group: str, formula: Formula | Recurrence, inputs: Iterable[str] = (), **params) -> None:
+    def register(self, name: str, group: str, formula: Formula | Recurrence | Running, inputs: Iterable[str] = (), **params) -> None:
         self.indicators[name] = Indicator(name, group, formula, tuple(inputs), params)
 
     def helper(self, name: str, formula: Formula | Recurrence) -> None:
@@ -68,13 +76,20 @@ class Registry:
     def by_category(self, group: str) -> list[str]:
         return [n for n, i in self.indicators.items() if i.group == group]
 
-    def formula(self, name: str) -> Formula | Recurrence:
+    def formula(self, name: str) -> Formula | Recurrence | Running:
         return self.indicators[name].formula if name in self.indicators else self.helpers[name]
 
     def texts(self, name: str, d: Spark) -> list[str]:
         f = self.formula(name)
+        if isinstance(f, Running):
+            return [d.frame(f"sum({f.of})", None)]
         return [f.a(d), f.b(d)] if isinstance(f, Recurrence) else [f(d)]
 
+    def reach(self, name: str, d: Spark) -> int:
+        """Rows that the formula itself looks back."""
+        text = " ".join(self.texts(name, d))
+        return max((int(k) for pair in re.findall(r"\b(\d+) PRECEDING|lag\(\w+, (\d+)\)", text) for k in pair if k), default=0)
+
     def needs(self, name: str, d: Spark) -> set[str]:
         """Registered names that the formula mentions."""
         found = {x for t in self.texts(name, d) for x in re.findall(r"[A-Za-z_]\w*", t)}
@@ -94,6 +109,8 @@ class Registry:
             return new
         f = self.formula(name)
         arg = next(iter(f.__defaults__ and f.__code__.co_varnames[1:2] or ()), None) if not isinstance(f, Recurrence) else None
+        if isinstance(f, Running):
+            raise ValueError(f"{name} has no parameter")
         if isinstance(f, Recurrence):
             if not f.of or len(f.of) != 1 or f.span != old:
                 raise ValueError(f"{name} can't take another number")
@@ -214,7 +231,7 @@ _help("ema_20_3", ema("ema_20_2", 20))
 _add("dema_20", "trend", lambda d: "2 * ema_20 - ema_20_2", ["Close"], span=20)
 _add("tema_20", "trend", lambda d: "3 * ema_20 - 3 * ema_20_2 + ema_20_3", ["Close"], span=20)
 _help("abs_diff", lambda d: "abs(diff)")
-_help("row_no", lambda d: f"row_number() OVER ({ORDER})")
+_help("row_no", lambda d: d.row_number())
 for w in (10, 20):
     _help(f"kama_er_{w}", lambda d, w=w: d.div(f"abs(Close - {d.lag('Close', w)})", d.full("sum", "abs_diff", w)))
     _help(f"kama_sc_{w}", lambda d, w=w: f"power(kama_er_{w} * {2 / 3 - 2 / 31!r} + {2 / 31!r}, 2)")
@@ -322,9 +339,9 @@ _add("elder_ray_bear_13", "momentum", lambda d: "Low - ema_13", ["Low", "Close"]
 # volume
 HLCV = ["High", "Low", "Close", "Volume"]
 _help("signed_volume", lambda d: "coalesce(sign(diff), 0) * Volume")
-_add("obv", "volume", lambda d: d.frame("sum(signed_volume)", None), ["Close", "Volume"])
+_add("obv", "volume", Running("signed_volume"), ["Close", "Volume"])
 _help("money_flow", lambda d: "coalesce(" + d.div("((Close - Low) - (High - Close))", "(High - Low)") + ", 0) * Volume")
-_add("ad_line", "volume", lambda d: d.frame("sum(money_flow)", None), HLCV)
+_add("ad_line", "volume", Running("money_flow"), HLCV)
 _add("cmf_20", "volume", lambda d: d.div(d.full("sum", "money_flow", 20), d.full("sum", "Volume", 20)), HLCV, window=20)
 _help("flow_up", lambda d: "CASE WHEN tp > tp_prev THEN tp_volume ELSE 0.0 END")
 _help("flow_down", lambda d: "CASE WHEN tp < tp_prev THEN tp_volume ELSE 0.0 END")
@@ -336,7 +353,7 @@ _help("eom_1", lambda d: d.div("(mid - mid_prev)", d.div(d.div("Volume", "(High
 _add("eom_14", "volume", lambda d: d.full("avg", "eom_1", 14), ["High", "Low", "Volume"], window=14)
 _add("volume_roc_10", "volume", lambda d: "100 * " + d.div(f"(Volume - {d.lag('Volume', 10)})", d.lag("Volume", 10)), ["Volume"])
 _help("ret_volume", lambda d: "coalesce(ret * Volume, 0)")
-_add("pvt", "volume", lambda d: d.frame("sum(ret_volume)", None), ["Close", "Volume"])
+_add("pvt", "volume", Running("ret_volume"), ["Close", "Volume"])
 _help("kvo_volume", lambda d: "CASE WHEN tp > tp_prev THEN Volume ELSE -Volume END")
 _help("kvo_34", ema("kvo_volume", 34))
 _help("kvo_55", ema("kvo_volume", 55))
@@ -402,21 +419,44 @@ _help("ret_avg_20", lambda d: d.full("avg", "ret", 20))
 _add("change_point_score_20", "regime", lambda d: d.flag("abs(" + d.div("(ret - ret_avg_20)", "ret_std_20") + ") > 2"), ["Close"], window=20)
 
 
-def compute(candles: DataFrame, names: Iterable[str], shift: bool = True, registry: Registry = REGISTRY) -> DataFrame:
+def compute(candles: DataFrame, names: Iterable[str], shift: bool = True, registry: Registry = REGISTRY, stretch: int | None = None) -> DataFrame:
     """candles with a column per name, each (with shift) as of the row before.
 
     Series are the rows of one Ticker by Datetime.  Rows of a series too short
     for a window get null, flags 0 (null in the first row once shifted).
+    With stretch, or where a series is too long for one task, windows are
+    computed over stretches of that many rows with what they look back at.
     """
-    names, d = list(names), Spark()
-    out = candles
+    names, length = list(names), stretch or automatic(candles)
+    d = Stretched() if length else Spark()
+    out = numbered(candles, length) if length else candles
     todo = [n for level in registry.levels(names, d) for n in level]
+    is_barrier = lambda n: isinstance(registry.formula(n), (Recurrence, Running) if length else Recurrence)
+    lag = lambda n: F.expr(d.lag(n, 1)).alias(n) if shift else F.col(n)
+
+    def selected(out: DataFrame, levels: list[list[str]], last: bool) -> DataFrame:
+        """All windows of these levels, and the shift behind the last ones."""
+        if length:
+            own = ["__row", "__own", "__stretch"]
+            behind = sum(max(registry.reach(n, d) for n in level) for level in levels) + last
+            out = haloed(out, max(length, behind), behind)
+        for level in levels:
+            out = out.select("*", *[F.expr(registry.texts(n, d)[0]).alias(n) for n in level])
+        if last:
+            out = out.select(*candles.columns, *(own if length else []), *map(lag, names))
+        return out.where("__own").drop("__own", "__stretch") if length else out
+
+    levels: list[list[str]] = []
     while todo:
         # All formulas that need no recurrence still to come, level by level; then all recurrences that these and each other feed.
-        while plain := [n for n in todo if not isinstance(registry.formula(n), Recurrence) and not registry.needs(n, d).intersection(todo)]:
-            out = out.select("*", *[F.expr(registry.texts(n, d)[0]).alias(n) for n in plain])
+        while plain := [n for n in todo if not is_barrier(n) and not registry.needs(n, d).intersection(todo)]:
+            levels.append(plain)
             todo = [n for n in todo if n not in plain]
+        if not todo:
+            break
+        out, levels = selected(out, levels, False) if levels else out, []
         means = [n for n in todo if isinstance(registry.formula(n), Recurrence)]
+        sums = [n for n in todo if is_barrier(n) and n not in means and not registry.needs(n, d).intersection(todo)]
 
         def waits(n: str) -> bool:
             f = registry.formula(n)
@@ -424,11 +464,12 @@ def compute(candles: DataFrame, names: Iterable[str], shift: bool = True, regist
 
         while late := [n for n in means if waits(n)]:
             means = [n for n in means if n not in late]
+        if sums:
+            out = running_sums(out, {n: registry.formula(n).of for n in sums}, length)
         if means:
             out = linear_recurrences(out, [registry.formula(n).part(n, d) for n in means])
-            todo = [n for n in todo if n not in means]
-    w = Window.partitionBy("Ticker").orderBy("Datetime")
-    return out.select(*candles.columns, *[(F.lag(n, 1).over(w) if shift else F.col(n)).alias(n) for n in names])
+        todo = [n for n in todo if n not in means and n not in sums]
+    return selected(out, levels, True).select(*candles.columns, *names)
 
 
 def compute_sql(source: str, names: Iterable[str], dialect: Spark, shift: bool = True, registry: Registry = REGISTRY) -> str:

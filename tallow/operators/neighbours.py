@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tallow.functions.quantiles import quantiles
 from tallow.operators.augment import uniform
 from tallow.operators.models import pca_features
 
@@ -125,9 +126,9 @@ def pattern_morph(df: DataFrame, columns: list[str], alpha: float = 0.5, k: int
 
 def smote(df: DataFrame, columns: list[str], k: int = 5, seed: int = 42) -> DataFrame:
     """Originals, and for half the rows of each fifth of the targets one between the row and a near one of the same fifth."""
-    q = df.agg(F.percentile(F.get("y", F.lit(0)), F.array(*[F.lit(x) for x in (0.2, 0.4, 0.6, 0.8)])).alias("__q"))
     y0 = F.get("y", F.lit(0))
-    fifth = df.crossJoin(F.broadcast(q)).withColumn("__g", F.size(F.filter("__q", lambda c: c < y0))).drop("__q")  # q is one row
+    cuts = quantiles(df, {"y": (y0, [0.2, 0.4, 0.6, 0.8])})["y"]
+    fifth = df.withColumn("__g", sum((F.coalesce(F.lit(c) < y0, F.lit(False)).cast("int") for c in cuts), F.lit(0)))
     order = Window.partitionBy("Ticker", "__g").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "Ticker", F.col("idx").cast("string"))))
     size = F.count("*").over(Window.partitionBy("Ticker", "__g"))
     some = _partners(fifth, columns, k, seed, "smote", "__g").withColumns({"__r": F.row_number().over(order), "__s": size}).where("__r * 2 <= __s AND __p IS NOT NULL")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tallow.functions.quantiles import quantiles
 from tallow.functions.windows import series, whole
 from tallow.operators.features import scale_free_indicators
 
@@ -43,12 +44,10 @@ def horizon_score(y: Column, how: str) -> Column:
 
 def outlier_filter(train: DataFrame, percentile: float, how: str = "max_abs", y: str = "y") -> DataFrame:
     """Training rows whose score lies within the percentile: the upper tail goes for max_abs and max, the lower for min, both for mean."""
-    scored = train.withColumn("__s", horizon_score(F.col(y), how))
-    low, high = F.percentile("__s", F.lit(1 - percentile)), F.percentile("__s", F.lit(percentile))
-    cut = scored.agg(low.alias("__low"), high.alias("__high"))
-    keep = {"max_abs": F.col("__s") <= F.col("__high"), "max": F.col("__s") <= F.col("__high"), "min": F.col("__s") >= F.col("__low")}
-    inside = keep.get(how, (F.col("__s") >= F.col("__low")) & (F.col("__s") <= F.col("__high")))
-    return scored.crossJoin(F.broadcast(cut)).where(inside).drop("__s", "__low", "__high")  # cut is one row
+    score = horizon_score(F.col(y), how)
+    low, high = quantiles(train, {"s": (score, [1 - percentile, percentile])})["s"]
+    keep = {"max_abs": score <= F.lit(high), "max": score <= F.lit(high), "min": score >= F.lit(low)}
+    return train.where(keep.get(how, (score >= F.lit(low)) & (score <= F.lit(high))))
 
 
 def sample_rows(df: DataFrame, count: int, seed: int = 42, history: int = 30) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tallow.functions.dialect import Duck
 from tallow.operators.indicators import REGISTRY, compute, compute_sql
-from tallow.plans.oracle import EVENT_CANDLES, ORDER_CANDLES, USER_CANDLES, rounded
-from tallow.sources.candles import event_candles, order_candles
+from tallow.plans.oracle import EVENT_CANDLES, ITEM_CANDLES, ORDER_CANDLES, USER_CANDLES, rounded
+from tallow.sources.candles import event_candles, item_candles, order_candles
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,23 @@ for _group in REGISTRY.categories():
     QUERIES[f"group_{_group}"] = _indicators(_members)
     ORACLES[f"group_{_group}"] = rounded(compute_sql(EVENT_CANDLES, _members, Duck()), _members)
 
+#: Rows of a stretch of the long-series queries: a tenth of a series of the smallest tables.
+STRETCH = 256
+
+
+def _long(names: list[str]):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = compute(item_candles(spark, sf_dir), names, stretch=STRETCH)
+        return _round(out.select("Ticker", "Datetime", *names), names, 4)
+
+    return run
+
+
+for _group in REGISTRY.categories():
+    _members = REGISTRY.by_category(_group)
+    QUERIES[f"long_series_{_group}"] = _long(_members)
+    ORACLES[f"long_series_{_group}"] = rounded(compute_sql(ITEM_CANDLES, _members, Duck()), _members, digits=4)
+
 
 def candles_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_candles(spark, sf_dir)
@@ -58,8 +75,12 @@ def candles_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_candles(spark, sf_dir)
 
 
-QUERIES |= {"candles_hourly": candles_hourly, "candles_by_user": candles_by_user, "candles_orders": candles_orders}
-ORACLES |= {"candles_hourly": EVENT_CANDLES, "candles_by_user": USER_CANDLES, "candles_orders": ORDER_CANDLES}
+def candles_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return item_candles(spark, sf_dir)
+
+
+QUERIES |= {"candles_items": candles_items, "candles_hourly": candles_hourly, "candles_by_user": candles_by_user, "candles_orders": candles_orders}
+ORACLES |= {"candles_items": ITEM_CANDLES, "candles_hourly": EVENT_CANDLES, "candles_by_user": USER_CANDLES, "candles_orders": ORDER_CANDLES}
 
 _SLICE = ["log_return_1", "sma_20_ratio", "rsi_14", "atr_14"]
 

@@ -108,6 +108,14 @@ def order_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candles_from_events(o, F.col("o_orderpriority"), F.col("o_orderdate").cast("timestamp"), F.col("o_totalprice"), [F.col("o_orderkey")], "day")
 
 
+def item_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily candles of the price of a piece, by return flag: few and long series."""
+    i = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    tie = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")]
+    price = F.col("l_extendedprice").cast("double") / F.col("l_quantity").cast("double")
+    return candles_from_events(i, F.col("l_returnflag"), F.col("l_shipdate").cast("timestamp"), price, tie, "day")
+
+
 def write_candles(candles: DataFrame, path: str, fmt: str = "parquet") -> None:
     """One folder per ticker."""
     candles.write.mode("overwrite").partitionBy("Ticker").format(fmt).options(header=True).save(path)
