@@ -40,7 +40,7 @@ from tallow.llm import scratch
 from tallow.llm.textbatch import NOT_SPACE, Words, chunks, mix
 
 #: Bytes of text of a chunk, and keys of a bucket, about.
-CHUNK = 4 << 20
+CHUNK = 5 << 20
 BUCKET_KEYS = 1 << 20
 #: Pairs whose probabilities a task works out at once.
 BLOCK = 1 << 17
@@ -449,6 +449,7 @@ def score(docs: DataFrame, train: str = "crc32(coalesce(CAST(doc_id AS STRING),
     words = scratch.table(ask.groupBy("bucket").applyInArrow(_count_words, _WORDS), "words")
     tokens, vocabulary = (x or 0 for x in words.agg(F.sum(F.expr("nums[0]")), F.sum(F.expr("nums[1]"))).first())
 
+    scratch.release(spark)
     streams = texts.select("chunk", "keys", "words", "sizes", "train")
     ask = streams.mapInArrow(_pair_slices(pair_buckets), _SLICE)
     pairs = scratch.table(ask.groupBy("bucket").applyInArrow(_count_pairs, _SLICE), "pairs")
@@ -457,7 +458,8 @@ def score(docs: DataFrame, train: str = "crc32(coalesce(CAST(doc_id AS STRING),
     found = scratch.table(by_chunk.applyInArrow(_own_cells(word_buckets), _SLICE + ", nums array<long>"), "cells")
     scratch.release(spark)
     cells, sums = found.where("bucket < 0"), found.where("bucket >= 0").drop("nums")
-    words = scratch.table(words.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(_first_seating, _WORDS), "words-0")
+    counted, words = words, scratch.table(words.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(_first_seating, _WORDS), "words-0")
+    scratch.discard(counted)
     once, twice = (x or 0 for x in cells.agg(F.sum(F.expr("nums[0]")), F.sum(F.expr("nums[1]"))).first())
     totals = [x or 0 for x in words.agg(*[F.sum(F.expr(f"nums[{k}]")) for k in range(4)]).first()]
     model = Model(vocabulary, _discount(once, twice), _discount(*totals[2:]))
@@ -468,11 +470,13 @@ def score(docs: DataFrame, train: str = "crc32(coalesce(CAST(doc_id AS STRING),
     for s in range(1, sweeps + 1):
         told = ask.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_answer(slice(None)), _SLICE)
         seated = cells.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_sweep_cells(model, s, word_buckets), _SLICE)
-        words = scratch.table(words.groupBy("bucket").cogroup(seated.groupBy("bucket")).applyInArrow(_sweep_words(model, s), _WORDS), f"words-{s}")
+        before, words = words, scratch.table(words.groupBy("bucket").cogroup(seated.groupBy("bucket")).applyInArrow(_sweep_words(model, s), _WORDS), f"words-{s}")
         totals = [x or 0 for x in words.agg(F.sum(F.expr("nums[0]")), F.sum(F.expr("nums[1]"))).first()]
         model.customers.append(totals[0])
         model.tables.append(totals[1])
+        scratch.discard(before)
 
+    scratch.discard(found)
     scratch.release(spark)
     ask = lexicon.mapInArrow(_lexicon_slices(word_buckets, False), _SLICE)
     told = ask.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_answer(slice(None)), _SLICE)

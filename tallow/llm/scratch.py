@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-from tallow.functions.scratch import root, table
+from tallow.functions.scratch import discard, root, table
 
-__all__ = ["folder", "release", "root", "table"]
+__all__ = ["discard", "folder", "release", "root", "table"]
 
 
 def folder(spark: SparkSession, name: str) -> str:
