@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -27,14 +27,22 @@ def column_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.select(F.explode("s").alias("s")).select("s.*")
 
 
-def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """columns replaced by average ranks; nulls stay null, rows without any value go. All columns are ranked in one pass over their distinct values."""
+def _ranked(df: DataFrame, columns: list[str], rank: Column) -> DataFrame:
+    """__id and a column 0, 1, ... for each of columns: rank of before (rows of less value) and n (rows of the value); null where the value is.
+
+    All columns are ranked in one pass over their distinct values.  Rows without any value go.
+    """
     rows = scratch.table(df.select(F.monotonically_increasing_id().alias("__id"), *[F.col(c).cast("double").alias(c) for c in columns]), "values")
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("c"), F.col(c).alias("v")) for k, c in enumerate(columns)]))
     long = rows.select("__id", pairs.alias("x")).select("__id", "x.c", "x.v").where("v IS NOT NULL")
     ranks = scratch.table(_running(long.groupBy("c", "v").agg(F.count("*").alias("n"))), "ranks")
-    ranked = long.join(ranks.select("c", "v", (F.col("before") + (F.col("n") + 1) / 2).alias("r")), ["c", "v"])
-    wide = ranked.groupBy("__id").pivot("c", list(range(len(columns)))).agg(F.first("r"))
+    ranked = long.join(ranks.select("c", "v", rank.alias("r")).hint("merge"), ["c", "v"])
+    return ranked.groupBy("__id").pivot("c", list(range(len(columns)))).agg(F.first("r"))
+
+
+def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """columns replaced by average ranks; nulls stay null, rows without any value go."""
+    wide = _ranked(df, columns, F.col("before") + (F.col("n") + 1) / 2)
     return wide.select(*[F.col(str(k)).alias(c) for k, c in enumerate(columns)])
 
 
@@ -52,6 +60,8 @@ def _running(counts: DataFrame) -> DataFrame:
 
 def dominance(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> float:
     """Sum of w_i w_j over the pairs with u_i < u_j and v_i < v_j, by merging halves."""
+    if not len(u):
+        return 0.0
     rank = np.unique(v, return_inverse=True)[1]
     order = np.lexsort((-rank, u))  # of equal u the greater v first, so that they never count
     r, w, at, total, s = rank[order].astype(np.int64), w[order].astype(float), np.arange(len(order)), 0.0, 1
@@ -67,34 +77,121 @@ def dominance(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> float:
     return total
 
 
-def _dominance_of(u: str, v: str):
-    def run(table: pa.Table) -> pa.Table:
-        get = lambda c: table.column(c).to_numpy()
-        return pa.table({"c": [dominance(get(u), get(v), get("n"))]})
+#: Rows of a range of values at least, but for a column's last; a value of so many rows is a range of its own.
+RANGE_ROWS = 1 << 15
+#: Ranges of a column at most, about.
+RANGES = 1024
+
+_SUMS = ("c", "n0", "tx", "ty", "txy")
+
+
+def _pairs_of(counts: np.ndarray) -> int:
+    return int((counts * (counts - 1) // 2).sum())
+
+
+def _equal(*keys: np.ndarray) -> int:
+    """Pairs of rows that are equal in all keys."""
+    return _pairs_of(np.unique(np.column_stack(keys), axis=0, return_counts=True)[1]) if len(keys[0]) else 0
+
+
+def _codes(table: pa.Table, names: list[str], cap: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """By column: ranks, range codes (odd: one frequent value) and which rows have a value."""
+    there = [table.column(c).is_valid().to_numpy(zero_copy_only=False) for c in names]
+    held = [table.column(c).fill_null(0).to_numpy() for c in names]
+    return [h >> 1 for h in held], [2 * ((h >> 1) // cap) + (h & 1) for h in held], there
+
+
+def _cells(p: int, cap: int):
+    """Rows of a batch by pair of columns and pair of ranges."""
+
+    def run(batches):
+        for batch in batches:
+            _, code, there = _codes(pa.Table.from_batches([batch]), [str(k) for k in range(p)], cap)
+            for i in range(p):
+                out = []
+                for j in range(i + 1, p):
+                    both = there[i] & there[j]
+                    cells, n = np.unique(np.column_stack([code[i][both], code[j][both]]), axis=0, return_counts=True)
+                    out.append((j, cells, n))
+                if out:
+                    size = [len(n) for _, _, n in out]
+                    ga, gb = (np.concatenate([c[:, k] for _, c, _ in out]) for k in (0, 1))
+                    js = np.repeat([j for j, _, _ in out], size)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(js), i, np.int64), js.astype(np.int64), ga, gb, np.concatenate([n for _, _, n in out]))], ["i", "j", "ga", "gb", "n"])
 
     return run
 
 
-def kendall(df: DataFrame, a: str, b: str) -> float | None:
-    """Tau-b of two columns over the rows where both are present; null where either is constant.
+def _of_cells(key: tuple, table: pa.Table) -> pa.Table:
+    """One pair's sums over its ranges: concordant pairs in different ranges of both, all pairs, ties of frequent values."""
+    ga, gb, n = (table.column(c).to_numpy() for c in ("ga", "gb", "n"))
+    by = lambda g: np.bincount(np.unique(g[g % 2 == 1], return_inverse=True)[1], weights=n[g % 2 == 1]).astype(np.int64) if (g % 2 == 1).any() else np.zeros(0, np.int64)
+    heavy = n[(ga % 2 == 1) & (gb % 2 == 1)]
+    total = int(n.sum())
+    return _sums_row(key[0].as_py(), key[1].as_py(), dominance(ga, gb, n), total * (total - 1) // 2, _pairs_of(by(ga)), _pairs_of(by(gb)), _pairs_of(heavy))
+
+
+def _sums_row(i: int, j: int, *sums: float) -> pa.Table:
+    return pa.table({"i": pa.array([i], pa.int64()), "j": pa.array([j], pa.int64())} | {k: pa.array([float(x)]) for k, x in zip(_SUMS, sums)})
+
+
+def _of_range(p: int, cap: int):
+    """One range of column k with all others: its part of the sums of every pair that k is in."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        k = key[0].as_py()
+        rank, code, there = _codes(table, [str(x) for x in range(p)], cap)
+        out = []
+        for o in range(p):
+            if o == k:
+                continue
+            own, r, g = rank[k][there[o]], rank[o][there[o]], code[o][there[o]]
+            one = np.ones(len(own))
+            if k < o:  # k is the pair's first: pairs in this range of it
+                out.append(_sums_row(k, o, dominance(own, r, one), 0, _equal(own), 0, _equal(own, r)))
+            else:  # the second: pairs in this range of it and different ranges of the first; ties with frequent values of the first
+                odd = g % 2 == 1
+                out.append(_sums_row(o, k, dominance(g, own, one), 0, 0, _equal(own), _equal(own[odd], g[odd])))
+        return pa.concat_tables(out)
+
+    return run
+
 
-    Equal pairs are counted first.  Concordant pairs stand in one range of a's
-    values, or in different ranges of a and of b, or in different ranges of a
-    and one of b: three sums of counts within groups of bounded size.
+def _kendall(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, corr): tau-b of all pairs, over the rows where both are present, in one set of jobs; null where either is constant.
+
+    Values are coded by rank once, ranks cut into ranges.  Concordant pairs of
+    rows stand in different ranges of both columns (counts of pairs of
+    ranges), in one range of the first, or in one range of the second and
+    different ones of the first.  The rows of a range are the same for all
+    pairs that its column is in.  A value too frequent for a range is a range
+    of its own that need not be looked into: rows equal in a column are never
+    concordant.
     """
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    xy = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).dropna().groupBy("x", "y").agg(F.count("*").alias("n"))
-    by_x = scratch.table(xy.repartitionByRange(n, "x").withColumn("p", F.spark_partition_id()), "kendall-x")
-    both = scratch.table(by_x.repartitionByRange(n, "y").withColumn("q", F.spark_partition_id()), "kendall-y")
-    cells = both.groupBy("p", "q").agg(F.sum("n").alias("n"))  # at most a row for each pair of ranges
-    found = both.groupBy("p").applyInArrow(_dominance_of("x", "y"), "c double")
-    found = found.union(both.groupBy("q").applyInArrow(_dominance_of("p", "y"), "c double"))
-    found = found.union(cells.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(_dominance_of("p", "q"), "c double"))
-    same = lambda *keys: (both.groupBy(*keys).agg(F.sum("n").alias("n")) if keys else both.agg(F.sum("n").alias("n"))).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0.0
-    concordant, every, tx, ty, txy = found.agg(F.sum("c")).first()[0] or 0.0, same(), same("x"), same("y"), same("x", "y")
-    discordant = every - tx - ty + txy - concordant
-    scale = (every - tx) * (every - ty)
-    return (concordant - discordant) / scale**0.5 if scale > 0 else None
+    p = len(columns)
+    n = df.count()
+    cap = max(RANGE_ROWS, n // RANGES)
+    wide = scratch.table(_ranked(df, columns, F.col("before") * 2 + (F.col("n") >= cap).cast("long")).drop("__id"), "kendall-ranks")
+    sums = "i long, j long, " + ", ".join(f"{c} double" for c in _SUMS)
+    cells = wide.mapInArrow(_cells(p, cap), "i long, j long, ga long, gb long, n long").groupBy("i", "j", "ga", "gb").agg(F.sum("n").alias("n"))
+    found = cells.groupBy("i", "j").applyInArrow(_of_cells, sums)
+    held = F.element_at(F.array(*[F.col(str(k)) for k in range(p)]), F.col("k") + 1)
+    ranges = wide.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(p - 1)))).withColumn("__e", held).where("__e IS NOT NULL AND __e % 2 = 0")
+    ranges = ranges.withColumn("g", F.floor(F.col("__e") / (2 * cap))).drop("__e")
+    found = found.union(ranges.groupBy("k", "g").applyInArrow(_of_range(p, cap), sums))
+    total = found.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    scale = (F.col("n0") - F.col("tx")) * (F.col("n0") - F.col("ty"))
+    corr = F.when(scale > 0, (2 * F.col("c") - (F.col("n0") - F.col("tx") - F.col("ty") + F.col("txy"))) / F.sqrt(scale))
+    named = F.array(*map(F.lit, columns))
+    every = df.sparkSession.createDataFrame([(i, j) for i in range(p) for j in range(i + 1, p)], "i long, j long")
+    out = every.join(total.hint("merge"), ["i", "j"], "left")
+    at = lambda c: F.get(named, F.col(c).cast("int"))
+    return out.select(at("i").alias("a"), at("j").alias("b"), corr.alias("corr"))
+
+
+def kendall(df: DataFrame, a: str, b: str) -> float | None:
+    """Tau-b of two columns."""
+    return _kendall(df, [a, b]).first()["corr"]
 
 
 def _gram(columns: list[str]):
@@ -124,8 +221,7 @@ def correlations(df: DataFrame, columns: list[str], method: str = "pearson") ->
     row of p * p sums per partition is all that is exchanged.
     """
     if method == "kendall":
-        pairs = [(a, b, kendall(df, a, b)) for i, a in enumerate(columns) for b in columns[i + 1 :]]  # some jobs for each pair
-        return df.sparkSession.createDataFrame(pairs, "a string, b string, corr double")
+        return _kendall(df.select(*columns), columns)
     if method == "spearman":
         return correlations(average_ranks(df.select(*columns), columns), columns)
     if method != "pearson":

@@ -283,6 +283,32 @@ def test_kendall_equals_pandas(spark):
     assert P.kendall(df.withColumn("b", F.lit(1.0)), "a", "b") is None and P.kendall(df.where("false"), "a", "b") is None
 
 
+@pytest.mark.parametrize("rows", [1 << 15, 20])
+def test_kendall_of_all_pairs_in_one_set_of_jobs(spark, monkeypatch, rows):
+    monkeypatch.setattr(P, "RANGE_ROWS", rows)
+    rng = np.random.default_rng(9)
+    n = 300
+    x = rng.normal(size=(n, 6))
+    x[:, 1] += x[:, 0]
+    x[:, 2] = np.where(rng.random(n) < 0.95, 0.0, x[:, 2])  # one value in nearly all rows
+    x[:, 3] = rng.integers(0, 4, n)
+    x[:, 4] = np.where(rng.random(n) < 0.8, x[:, 3], x[:, 0])
+    x[:, 5] = 2.0
+    gaps = rng.random(x.shape) < 0.1
+    columns = list("abcdef")
+    data = [tuple(None if g else float(v) for v, g in zip(r, m)) for r, m in zip(x, gaps)]
+    df = spark.createDataFrame(data, ", ".join(f"{c} double" for c in columns)).repartition(3)
+    got = {(r["a"], r["b"]): r["corr"] for r in P.correlations(df, columns, "kendall").collect()}
+    assert len(got) == 15
+    for i in range(6):
+        for j in range(i + 1, 6):
+            both = ~gaps[:, i] & ~gaps[:, j]
+            u, v = np.sign(x[both, i][:, None] - x[both, i]), np.sign(x[both, j][:, None] - x[both, j])
+            scale = (u != 0).sum() * (v != 0).sum()
+            have = got[columns[i], columns[j]]
+            assert have is None if scale == 0 else have == pytest.approx((u * v).sum() / np.sqrt(scale)), (i, j)
+
+
 def test_stored_pipeline_needs_its_context_only(spark):
     c = series(spark, 60)
     old, new = c.where(F.col("Datetime") < c.agg(F.max("Datetime")).first()[0]), c.where(F.col("Datetime") == c.agg(F.max("Datetime")).first()[0])
