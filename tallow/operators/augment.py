@@ -31,6 +31,14 @@ def normal(seed: int, tag: str, *key: Column | str) -> Column:
     return F.sqrt(-2 * F.ln(1 - a)) * F.cos(2 * math.pi * b)
 
 
+def beta(a: float, seed: int, tag: str, *key: Column | str) -> Column:
+    """Beta(a, a), exactly and without rejection: a point of the polar method for Beta(a + 1, a + 1), whose odds two powers of uniforms bring down to a."""
+    u, v, p, q = (uniform(seed, f"{tag}/{c}", *key) for c in "uvpq")
+    x = (1 + F.sqrt(1 - F.pow(1 - u, F.lit(2 / (2 * a + 1)))) * F.cos(2 * math.pi * v)) / 2
+    z = F.ln(x / (1 - x)) + (F.ln(1 - p) - F.ln(1 - q)) / a
+    return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(700.0)), F.lit(-700.0))))
+
+
 def _stds(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row of population deviations, 0 as 1."""
     return df.agg(*[F.when(F.stddev_pop(c) == 0, 1.0).otherwise(F.coalesce(F.stddev_pop(c), F.lit(1.0))).alias(f"{c}__std") for c in columns])
@@ -69,10 +77,10 @@ def _ranked(df: DataFrame, seed: int, tag: str) -> DataFrame:
     return df.withColumn("__r", (F.row_number().over(w) - 1).cast("long"))
 
 
-def mixup(df: DataFrame, columns: list[str], low: float = 0.5, seed: int = 42, copy: int = 0) -> DataFrame:
-    """Each row mixed with its partner in a random permutation of its ticker; the weight is max(u, 1 - u), at least low, for X and y."""
+def mixup(df: DataFrame, columns: list[str], alpha: float = 0.2, seed: int = 42, copy: int = 0) -> DataFrame:
+    """Each row mixed with its partner in a random permutation of its ticker; the row's weight is Beta(alpha, alpha), for X and y."""
     partner = _ranked(df, seed, f"mixup/{copy}").select("Ticker", F.col("__r").alias("idx"), *[F.col(c).alias(f"__{c}") for c in columns], F.col("y").alias("__y"))
-    lam = F.greatest(uniform(seed, f"mixup/l/{copy}", "Ticker", "idx"), F.lit(low))
+    lam = beta(alpha, seed, f"mixup/l/{copy}", "Ticker", "idx")
     joined = df.join(partner.hint("merge"), ["Ticker", "idx"]).withColumn("__l", lam)
     mix = lambda a, b: F.col("__l") * a + (1 - F.col("__l")) * b
     new = {c: mix(F.col(c), F.col(f"__{c}")) for c in columns} | {"y": F.zip_with("y", "__y", mix)}
@@ -167,8 +175,11 @@ def compare(train: DataFrame, columns: list[str], score: Callable[[DataFrame], D
     return train.sparkSession.createDataFrame([(*r, k + 1) for k, r in enumerate(rows)], "method string, rmse double, mae double, r2 double, place int")
 
 
-def augment(df: DataFrame, columns: list[str], methods: list[str], copies: int = 1, seed: int = 42) -> DataFrame:
-    """Originals first (method original), then each method's copies, tagged (method, copy)."""
+def augment(df: DataFrame, columns: list[str], methods: list[str] | str, copies: int = 1, seed: int = 42, params: dict[str, dict] | None = None) -> DataFrame:
+    """Originals first (method original), then each method's copies, tagged (method, copy).
+
+    methods are names or the name of a preset; params has, by method, arguments that replace its defaults.
+    """
     from tallow.operators import neighbours as N  # it imports this module
 
     makers = {"pattern_morph": N.pattern_morph, "jitter": jitter, "scale": scale, "mixup": mixup, "volatility_regime": volatility_regime, "regime_noise": regime_noise, "magnitude_warp": magnitude_warp}
@@ -176,15 +187,19 @@ def augment(df: DataFrame, columns: list[str], methods: list[str], copies: int =
     seeded = {"feature_rotation": N.feature_rotation, "smote": N.smote}
     tag = lambda d, m, k: d.withColumns({"method": F.lit(m), "copy": F.lit(k)})
     out = tag(df, "original", 0)
+    methods = PRESETS[methods] if isinstance(methods, str) else methods
+    if strange := set(params or {}) - set(METHODS):
+        raise ValueError(f"unknown methods {sorted(strange)}")
     for m in methods:
+        own = (params or {}).get(m, {})
         for k in range(copies):
             if m in makers:
-                made = makers[m](df, columns, seed=seed, copy=k)
+                made = makers[m](df, columns, **{"seed": seed, "copy": k} | own)
             elif m in plain:
-                made = plain[m](df, seed=seed, copy=k)
+                made = plain[m](df, **{"seed": seed, "copy": k} | own)
             elif m in seeded:
-                made = seeded[m](df, columns, seed=seed + k)
+                made = seeded[m](df, columns, **{"seed": seed + k} | own)
             else:
-                made = {"trend_inject": trend_inject, "tail_augment": tail_augment, "frequency_mask": N.frequency_mask}[m](df, columns)
+                made = {"trend_inject": trend_inject, "tail_augment": tail_augment, "frequency_mask": N.frequency_mask}[m](df, columns, **own)
             out = out.unionByName(tag(made, m, k))
     return out

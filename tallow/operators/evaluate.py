@@ -6,10 +6,11 @@ last_price); metrics are aggregations over them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tallow.functions import scratch
 from tallow.functions.windows import series
 
 
@@ -55,22 +56,21 @@ def aggregate_rolling(predictions: DataFrame, method: str = "mean") -> DataFrame
     return predictions.groupBy("model", "Ticker", (F.col("origin") + F.col("step")).alias("target")).agg(value.alias("y_pred"), F.stddev_pop("y_pred").alias("y_std"), F.count("*").alias("n"))
 
 
-def _sums(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts and error sums per key; the mean comes first, so that r2 loses nothing to cancellation."""
-    ok = df.where(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull())
-    mean = ok.groupBy(*keys).agg(F.avg("y_true").alias("__m"))
+def metrics(predictions: DataFrame, keys: list[str] | None = None, more: dict[str, Column] | None = None) -> DataFrame:
+    """rmse, mae, r2 and mape per key, over at least two pairs, and more aggregates of them; r2 is null where the truth is constant.
+
+    One aggregation of mergeable moments: the truth's spread comes from its
+    variance, which merges means and squares about them, so that r2 loses
+    nothing to cancellation and no second pass goes by the mean.
+    """
+    keys, more = keys or ["model", "step"], more or {}
     err = F.col("y_true") - F.col("y_pred")
     ape = F.when(F.col("y_true") != 0, F.abs(err / F.when(F.col("y_true") != 0, F.col("y_true"))))
-    return ok.join(mean.hint("merge"), keys).groupBy(*keys).agg(
-        F.count("*").alias("n"), F.sum(err * err).alias("sse"), F.sum(F.abs(err)).alias("sae"), F.sum((F.col("y_true") - F.col("__m")) ** 2).alias("sst"), F.avg(ape).alias("ape")
+    s = predictions.where(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull()).groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg(err * err).alias("mse"), F.avg(F.abs(err)).alias("mae"), F.var_pop("y_true").alias("spread"), F.avg(ape).alias("ape"), *[x.alias(c) for c, x in more.items()]
     )
-
-
-def metrics(predictions: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """rmse, mae, r2 and mape per key, over at least two pairs; r2 is null where the truth is constant."""
-    keys = keys or ["model", "step"]
-    s = _sums(predictions, keys).where("n >= 2")
-    return s.select(*keys, "n", F.sqrt(F.col("sse") / F.col("n")).alias("rmse"), (F.col("sae") / F.col("n")).alias("mae"), (1 - F.try_divide(F.col("sse"), F.col("sst"))).alias("r2"), (100 * F.col("ape")).alias("mape"))
+    r2 = 1 - F.try_divide(F.col("mse"), F.col("spread"))
+    return s.where("n >= 2").select(*keys, "n", F.sqrt("mse").alias("rmse"), "mae", r2.alias("r2"), (100 * F.col("ape")).alias("mape"), *more)
 
 
 def step_averages(per_step: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def to_returns(predictions: DataFrame) -> DataFrame:
 def evaluate_rolling(actual: DataFrame, aggregated: DataFrame, baseline: str = "naive") -> DataFrame:
     """rmse, mae, r2 and mean contributions per model on rows with predictions, and the improvement on the baseline in percent. actual: (Ticker, target, y_true)."""
     joined = aggregated.join(actual, ["Ticker", "target"])
-    m = metrics(joined, ["model"]).join(joined.groupBy("model").agg(F.avg("n").alias("contributions")), "model")
+    m = metrics(joined, ["model"], {"contributions": F.avg("n")})
     base = m.where(F.col("model") == baseline).select(F.col("rmse").alias("__b"))
     return m.crossJoin(F.broadcast(base)).select(  # base is one row
         "model", "n", "rmse", "mae", "r2", "contributions", (F.col("rmse") < F.col("__b")).alias("beats_baseline"), (100 * F.try_divide(F.col("__b") - F.col("rmse"), F.col("__b"))).alias("improvement")
@@ -96,9 +96,9 @@ def evaluate_rolling(actual: DataFrame, aggregated: DataFrame, baseline: str = "
 
 def direct_evaluation(predictions: DataFrame) -> DataFrame:
     """rmse, mae and r2 of the first step per model, the rmse of the last price as a forecast of it, and whether the model beats that."""
-    first = predictions.where("step = 1")
-    naive = metrics(first.withColumn("y_pred", F.col("last_price")), ["model"]).select("model", F.col("rmse").alias("naive_rmse"))
-    return metrics(first, ["model"]).select("model", "n", "rmse", "mae", "r2").join(naive.hint("merge"), "model").withColumn("beats_naive", F.col("rmse") < F.col("naive_rmse"))
+    naive = F.sqrt(F.avg((F.col("y_true") - F.col("last_price")) ** 2))
+    out = metrics(predictions.where("step = 1"), ["model"], {"naive_rmse": naive}).select("model", "n", "rmse", "mae", "r2", "naive_rmse")
+    return out.withColumn("beats_naive", F.col("rmse") < F.col("naive_rmse"))
 
 
 def recursive_scores(forecast: DataFrame, actual: DataFrame) -> DataFrame:
@@ -122,10 +122,11 @@ def trend_assessment(classes: DataFrame, forecasts: DataFrame, scores: DataFrame
 
 def prediction_alarms(predictions: DataFrame) -> DataFrame:
     """Per model: negative predictions, those over half off the mean, and whether r2 is too good to be true."""
+    judged = metrics(predictions, ["model"]).select("model", (F.col("r2") > 0.999).alias("too_good"))
     mean = predictions.groupBy("model").agg(F.avg("y_true").alias("__m"))
+    mean = scratch.table(mean.join(judged, "model", "left"), "means")  # a row per model, of known size, so that predictions need no shuffle to meet it
     off = F.abs(F.col("y_pred") - F.col("__m")) > 0.5 * F.abs(F.col("__m"))
-    counts = predictions.join(mean, "model").groupBy("model").agg(F.sum((F.col("y_pred") < 0).cast("long")).alias("negative"), F.sum(off.cast("long")).alias("far_off"))
-    return counts.join(metrics(predictions, ["model"]).select("model", (F.col("r2") > 0.999).alias("too_good")), "model", "left")
+    return predictions.join(mean, "model").groupBy("model").agg(F.sum((F.col("y_pred") < 0).cast("long")).alias("negative"), F.sum(off.cast("long")).alias("far_off"), F.first("too_good").alias("too_good"))
 
 
 def confusion(labels: DataFrame) -> DataFrame:

@@ -1,19 +1,20 @@
 """Augmentations that need more than a row: spectra, rotations and neighbours.
 
-Spectra work on one (Ticker, feature) series per group, rotations on a small
-matrix; neighbours are found in blocks along a random projection: a row's own
+Spectra are sums over blocks of a series, rotations work on a small matrix; neighbours are found in blocks along a random projection: a row's own
 block bounds the distance, and every block within that bound is searched too.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tallow.functions import scratch
 from tallow.functions.quantiles import quantiles
+from tallow.functions.stretches import numbered
 from tallow.operators.augment import uniform
 from tallow.operators.models import pca_features
 
@@ -21,23 +22,84 @@ from tallow.operators.models import pca_features
 BLOCK = 64
 
 
+def band_bins(n: int, band: str, share: float) -> tuple[int, int]:
+    """First and last + 1 of the bins of a series of n rows that a band takes."""
+    bins = n // 2 + 1
+    k = max(1, int(bins * share))
+    first, last = {"low": (1, 1 + k), "mid": (bins // 2 - k // 2, bins // 2 - k // 2 + k), "high": (bins - k, bins)}[band]
+    return first, min(last, bins)
+
+
+#: Rows of a block of a series, whose part of a bin's sums one task adds up, and bins of a slice of the band.
+SPECTRUM_ROWS = 4096
+SPECTRUM_BINS = 16384
+
+
+def _spectrum(columns: list[str], band: str, share: float):
+    """One block's part of the sums of x cos and x sin over time for every bin of the band."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        n, t = table.column("__n")[0].as_py(), table.column("__t").to_numpy()
+        first, last = band_bins(n, band, share)
+        x = np.column_stack([table.column(c).fill_null(0.0).to_numpy() for c in columns])
+        re, im = np.zeros((last - first, len(columns))), np.zeros((last - first, len(columns)))
+        for at in range(first, last, 256):
+            k = np.arange(at, min(at + 256, last))
+            turn = 2 * np.pi / n * ((k[:, None] * t[None, :]) % n)  # exact in whole numbers before the angle is taken
+            re[k - first], im[k - first] = np.cos(turn) @ x, np.sin(turn) @ x
+        rows = last - first
+        return pa.table({"__s": pa.concat_arrays([table.column("__s").slice(0, 1).combine_chunks()] * rows) if rows else table.column("__s").slice(0, 0), "k": np.arange(first, last), "re": pa.array(re.tolist(), pa.list_(pa.float64())), "im": pa.array(im.tolist(), pa.list_(pa.float64()))})
+
+    return run
+
+
+def _waves(columns: list[str]):
+    """What a slice of the band's bins adds to the rows of a block."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        n, t = left.column("__n")[0].as_py(), left.column("__t").to_numpy()
+        k = right.column("k").to_numpy()
+        re, im = (np.array(right.column(c).to_pylist()).reshape(len(k), len(columns)) for c in ("re", "im"))
+        twice = np.where((k == 0) | (2 * k == n), 1.0, 2.0)[:, None] / n
+        wave = np.zeros((len(t), len(columns)))
+        for at in range(0, len(k), 256):
+            p = slice(at, at + 256)
+            turn = 2 * np.pi / n * ((t[:, None] * k[None, p]) % n)
+            wave += np.cos(turn) @ (re[p] * twice[p]) + np.sin(turn) @ (im[p] * twice[p])
+        return pa.table({"__s": left.column("__s"), "__t": left.column("__t")} | {f"__w{j}": wave[:, j] for j in range(len(columns))})
+
+    return run
+
+
 def frequency_mask(df: DataFrame, columns: list[str], band: str = "high", share: float = 0.2) -> DataFrame:
-    """Each feature's spectrum over its series with the low, mid or high band at zero. One group is one column of one ticker."""
-    long = df.select("Ticker", "idx", F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("double"))])).alias("c", "v"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        spec = np.fft.rfft(pdf.v.fillna(0.0).to_numpy())
-        n = len(spec)
-        k = max(1, int(n * share))
-        at = {"low": slice(1, 1 + k), "mid": slice(n // 2 - k // 2, n // 2 - k // 2 + k), "high": slice(n - k, n)}[band]
-        spec[at] = 0
-        return pdf.assign(v=np.fft.irfft(spec, len(pdf)))
-
-    out = long.groupBy("Ticker", "c").applyInPandas(run, "Ticker string, idx long, c string, v double")
-    wide = out.groupBy("Ticker", "idx").pivot("c", columns).agg(F.first("v"))
-    rest = [c for c in df.columns if c not in columns]
-    return df.select(*rest).join(wide.hint("merge"), ["Ticker", "idx"]).select(*df.columns)
+    """Each feature without the waves of the low, mid or high share of its spectrum; gaps count as 0.
+
+    A distributed transform of the band alone: blocks of rows add up their
+    part of each bin's two sums, and every block then takes off the waves of
+    every slice of bins.  No task holds a series or its band; the work is rows
+    times bins.
+    """
+    totals = df.groupBy("Ticker").agg(F.count("*").alias("__n"))
+    rows = numbered(df.withColumn("Datetime", F.timestamp_micros(F.col("idx"))) if "Datetime" not in df.columns else df.withColumns({"__time": F.col("Datetime"), "Datetime": F.timestamp_micros(F.col("idx"))}), SPECTRUM_ROWS * 16)
+    rows = rows.join(scratch.table(totals, "spectra").withColumnRenamed("Ticker", "__ticker"), F.col("Ticker").eqNullSafe(F.col("__ticker"))).drop("__ticker")
+    rows = rows.withColumns({"__t": F.col("__row") - 1, "__b": F.floor((F.col("__row") - 1) / SPECTRUM_ROWS), "__s": F.coalesce(F.concat(F.lit("v"), "Ticker"), F.lit("n"))})
+    narrow = rows.select("__s", "__b", "__n", "__t", *[F.col(c).cast("double").alias(c) for c in columns])
+    sums = narrow.groupBy("__s", "__b").applyInArrow(_spectrum(columns, band, share), "__s string, k long, re array<double>, im array<double>")
+    each = lambda c: F.array(*[F.sum(F.get(c, F.lit(j))) for j in range(len(columns))]).alias(c)
+    bins = scratch.table(sums.groupBy("__s", "k").agg(each("re"), each("im")), "bins")
+    bins = bins.withColumn("__kb", F.floor(F.col("k") / SPECTRUM_BINS))
+    slices = scratch.table(bins.select("__s", "__kb").distinct(), "slices")
+    blocks = scratch.table(narrow.select("__s", "__b").distinct(), "blocks")
+    keys = ["__s", "__b", "__kb"]
+    told = blocks.join(bins.hint("merge"), "__s").groupBy(*keys)
+    asked = narrow.join(slices.hint("merge"), "__s").groupBy(*keys)
+    names = [f"__w{j}" for j in range(len(columns))]
+    waves = asked.cogroup(told).applyInArrow(_waves(columns), "__s string, __t long, " + ", ".join(f"{w} double" for w in names))
+    waves = waves.groupBy("__s", "__t").agg(*[F.sum(w).alias(w) for w in names])
+    if "__time" in rows.columns:
+        rows = rows.drop("Datetime").withColumnRenamed("__time", "Datetime")
+    new = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.coalesce(F.col(f"__w{j}"), F.lit(0.0)) for j, c in enumerate(columns)}
+    return rows.join(waves.hint("merge"), ["__s", "__t"], "left").select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
 
 
 def feature_rotation(df: DataFrame, columns: list[str], angle: float = 0.1, seed: int = 42) -> DataFrame:

@@ -439,6 +439,12 @@ def _u(tag: str, *key: str) -> str:
     return f"(CAST(('0x' || substr(md5(concat_ws('|', '42', '{tag}', {', '.join(f'CAST({k} AS VARCHAR)' for k in key)})), 1, 8)) AS BIGINT) / 4294967296.0)"
 
 
+def _beta(a: float, tag: str, *key: str) -> str:
+    u, v, p, q = (_u(f"{tag}/{c}", *key) for c in "uvpq")
+    x = f"((1 + sqrt(1 - pow(1 - {u}, {2 / (2 * a + 1)!r})) * cos(2 * pi() * {v})) / 2)"
+    return f"(1 / (1 + exp(-greatest(least(ln({x} / (1 - {x})) + (ln(1 - {p}) - ln(1 - {q})) / {a}, 700.0), -700.0))))"
+
+
 def _n(tag: str, *key: str) -> str:
     return f"(sqrt(-2 * ln(1 - {_u(tag + '/a', *key)})) * cos(2 * pi() * {_u(tag + '/b', *key)}))"
 
@@ -459,7 +465,7 @@ def augment_window_crop(spark, sf_dir):
 
 
 @query("augment_mixup", f"""WITH s AS ({_SAMPLES}), q AS (SELECT Ticker, row_number() OVER (PARTITION BY Ticker ORDER BY md5(concat_ws('|', '42', 'mixup/0', Ticker, CAST(idx AS VARCHAR)))) - 1 AS idx, f AS g, y1 AS z1 FROM s)
-SELECT Ticker, idx, R(l * f + (1 - l) * g) AS f, R(l * y1 + (1 - l) * z1) AS y1 FROM (SELECT *, greatest({_u('mixup/l/0', 'Ticker', 'idx')}, 0.5) AS l FROM s JOIN q USING (Ticker, idx))""")
+SELECT Ticker, idx, R(l * f + (1 - l) * g) AS f, R(l * y1 + (1 - l) * z1) AS y1 FROM (SELECT *, {_beta(0.2, 'mixup/l/0', 'Ticker', 'idx')} AS l FROM s JOIN q USING (Ticker, idx))""")
 def augment_mixup(spark, sf_dir):
     return A.mixup(_samples(spark, sf_dir), ["f"]).select("Ticker", "idx", "f", F.get("y", F.lit(0)).alias("y1"))
 
@@ -514,8 +520,17 @@ def _two(spark, sf_dir) -> DataFrame:
     return _samples(spark, sf_dir).withColumns({"g": F.col("Close") / 2 + F.col("f"), "h": F.sqrt("Close")})
 
 
+# The last fifth of the bins of each series, summed and taken off bin by bin.
+@query("augment_frequency_mask", f"""WITH s AS (SELECT Ticker, idx, f, Close / 2 + f AS g, y1, count(*) OVER (PARTITION BY Ticker) AS n FROM ({_SAMPLES})),
+b AS (SELECT Ticker, n, n // 2 + 1 AS m, unnest(range(n // 2 + 1 - greatest(1, CAST(floor((n // 2 + 1) * 0.2) AS BIGINT)), n // 2 + 1)) AS k FROM (SELECT DISTINCT Ticker, n FROM s)),
+c AS (SELECT b.Ticker, b.k, sum(f * cos(2 * pi() * (b.k * idx % b.n) / b.n)) AS fc, sum(f * sin(2 * pi() * (b.k * idx % b.n) / b.n)) AS fs, sum(g * cos(2 * pi() * (b.k * idx % b.n) / b.n)) AS gc, sum(g * sin(2 * pi() * (b.k * idx % b.n) / b.n)) AS gs FROM s JOIN b USING (Ticker) GROUP BY 1, 2),
+w AS (SELECT s.Ticker, idx, sum(t * (fc * cos(x) + fs * sin(x))) AS wf, sum(t * (gc * cos(x) + gs * sin(x))) AS wg FROM (SELECT s.Ticker, idx, fc, fs, gc, gs, 2 * pi() * (k * idx % n) / n AS x, CASE WHEN k = 0 OR 2 * k = n THEN 1.0 ELSE 2.0 END / n AS t FROM s JOIN c USING (Ticker)) s GROUP BY 1, 2)
+SELECT Ticker, idx, R(f - wf) AS f, R(g - wg) AS g, R(y1) AS y1 FROM s JOIN w USING (Ticker, idx)""")
+def augment_frequency_mask(spark, sf_dir):
+    return N.frequency_mask(_two(spark, sf_dir), ["f", "g"]).select("Ticker", "idx", "f", "g", F.get("y", F.lit(0)).alias("y1"))
+
+
 for _name, _make in {
-    "augment_frequency_mask": lambda d: N.frequency_mask(d, ["f", "g"]),
     "augment_feature_rotation": lambda d: N.feature_rotation(d, ["f", "g", "h"]),
     "augment_pattern_morph": lambda d: N.pattern_morph(d, ["f", "g"]),
     "augment_smote": lambda d: N.smote(d, ["f", "g"]),
