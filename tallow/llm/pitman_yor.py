@@ -42,6 +42,8 @@ from tallow.llm.textbatch import NOT_SPACE, Words, chunks, mix
 #: Bytes of text of a chunk, and keys of a bucket, about.
 CHUNK = 5 << 20
 BUCKET_KEYS = 1 << 20
+#: Bytes of text whose words are hashed at once.
+HASHED = 1 << 20
 #: Pairs whose probabilities a task works out at once.
 BLOCK = 1 << 17
 #: Customers of a cell whose seating is drawn exactly.
@@ -163,13 +165,15 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, train, text) to chunks: their texts, sorted distinct words with training counts, and words by place among these."""
     task, serial = TaskContext.get().partitionId(), 0
     for batch in batches:
-        for at, data, offs in chunks(batch.column(2), CHUNK):
-            words = Words(data, offs, NOT_SPACE)
+        for at, _, offs in chunks(batch.column(2), CHUNK):
             n = len(offs) - 1
-            sizes = words.count + 1
-            stop = np.cumsum(sizes) - 1
-            stream = np.full(int(sizes.sum()), END, np.uint64)
-            stream[np.delete(np.arange(len(stream)), stop)] = words.hash
+            parts = [(w.count, w.hash) for w in (Words(d, o, NOT_SPACE) for _, d, o in chunks(batch.column(2).slice(at, n), HASHED))]
+            sizes = np.concatenate([count for count, _ in parts]) + 1
+            word = np.ones(int(sizes.sum()), bool)
+            word[np.cumsum(sizes) - 1] = False
+            stream = np.full(len(word), END, np.uint64)
+            stream[word] = np.concatenate([h for _, h in parts])
+            del parts, word
             train = batch.column(1).slice(at, n).to_numpy(zero_copy_only=False).astype(bool)
             keys, place = np.unique(np.concatenate([stream, [BEGIN]]), return_inverse=True)
             count = np.bincount(place[:-1], weights=np.repeat(train, sizes), minlength=len(keys)).astype(np.int64)
