@@ -6,7 +6,8 @@ permutation per kind maps every character class (digits, lower, upper,
 Cyrillic, Greek ...) onto itself, so that format and script stay, equal
 entities get equal surrogates in every text and different ones different
 surrogates.  The permutation is a derangement, a shift of one character between
-a Feistel cipher's inverse and the cipher itself, so no entity stays as it is.
+a Feistel cipher's inverse and the cipher itself, so no entity that is found stays
+as it is.
 Addresses are permuted among the valid ones, card and account numbers keep the
 distance from their check digits, given names move to names of their gender and
 script.  ``clashes`` checks the distinctness over a whole table.
@@ -21,10 +22,14 @@ from pyspark.sql import functions as F
 
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+"
 AWS = r"\bAKIA[0-9A-Z]{16}\b"
-SECRET = r"(?<=[=: \"'])(?<=(?:token|secret|password|passwd|api_key) ?[=:] ?[\"']?)(?![\s=:\"'])[^\s\"']{6,}(?<![.,;])"
+SECRET = r"(?<=[=: \"'])(?<=(?:token|secret|password|passwd|api_key|api-key|apikey) ?[=:] ?[\"']?)(?![\s=:\"'])[^\s\"']{6,}(?<![.,;])"
+TOLD = r"(?<=(?:[Tt]oken|[Kk]ey|[Ss]ecret|[Pp]assword) is )(?=\S*\d)[^\s\"']{8,}(?<![.,;])|(?<=Bearer )[A-Za-z0-9._~+/=\-]{16,}(?<![.,;])"
+MAC = r"(?<![\w:-])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![\w:-])"
+IPV6 = r"(?<![\w:])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,7}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:])"
+ABROAD = r"(?<![\d+])00\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\d)"
 IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
 IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"
-PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d-])\d{3}[-. ]\d{3}[-. ]\d{4}(?![\d-])"
+PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d-])\d{3}[-. ]\d{3}[-. ]\d{4}(?![\d-])|(?<![\d+])\+\d{1,3} \(0\) ?\d{1,5}(?:[ .-]?\d{2,8}){1,4}(?!\d)|(?<![\d+-])0\d{4} \d{6}(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"
 
@@ -56,17 +61,23 @@ def _any_of(words: list[str]) -> str:
 
 
 _GIVEN = _any_of([x for common, _ in NAMES.values() for x in common])
-_TITLE = rf"\b(?:{'|'.join(TITLES)})"
-_WORD = r"\p{Lu}[\p{L}\p{M}'’\-]+"
-_FAR = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]{2,6}"
+_TITLE = rf"\b(?:{'|'.join([*TITLES, *dict.fromkeys(t.upper() for t in TITLES)])})"
+#: Small words inside a name; they stay.
+PARTICLES = ("von", "van", "der", "den", "de", "del", "la", "di", "da", "zu", "bin", "al", "ter")
+_SMALL = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}"
+#: A possessive is not part of a word.
+_WORD = r"\p{Lu}(?:[\p{L}\p{M}\-]|['’](?!s\b)(?=\p{L}))++"
+#: Possessive loops: they take no stack, however long a word or a name.
+_WORDS = rf"{_WORD}(?: {_SMALL}{_WORD})*+"
+_FAR = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}ー・]{2,}"
 _HAN = rf"[{HAN_SURNAMES}]\p{{IsHan}}{{1,2}}"
 #: A look at one character, before lists are gone through.
 _EAST = r"\u3040-\u30FF\u4E00-\u9FFF\uAC00-\uD7AF"
-NAME = rf"(?<= )(?=[\p{{Lu}}{_EAST}])(?<={_TITLE}\.? )(?:{_WORD}(?: {_WORD})?|{_FAR})|\b(?=\p{{Lu}})(?:{_GIVEN}) {_WORD}|(?=[{_EAST}]){_HAN}(?={'|'.join(HAN_TITLES)})"
+NAME = rf"(?<= )(?=[\p{{L}}{_EAST}])(?<={_TITLE}\.? )(?:{_SMALL}{_WORDS}|{_FAR})|\b(?=\p{{Lu}})(?:{_GIVEN}) {_SMALL}{_WORDS}|(?=[{_EAST}]){_HAN}(?={'|'.join(HAN_TITLES)})"
 
-ENTITY = "|".join((EMAIL, AWS, SECRET, IBAN, IP, PHONE, SSN, CARD, NAME))
+ENTITY = "|".join((EMAIL, AWS, SECRET, TOLD, MAC, IPV6, IBAN, IP, ABROAD, PHONE, SSN, CARD, NAME))
 #: Texts without any of these, and without a Chinese title, hold no entity.
-HINT = rf"[0-9@]|AKIA|token|secret|passw|api_key|{_TITLE}\b|\b(?=\p{{Lu}})(?:{_GIVEN}) "
+HINT = rf"[0-9@]|AKIA|Bearer|token|secret|passw|api_key|{_TITLE}\b|\b(?=\p{{Lu}})(?:{_GIVEN}) "
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ALPHABETS = (
@@ -195,17 +206,20 @@ def _word(w: Column, key: Column, alphabets: Column) -> Column:
     def moved(tail: Column) -> Column:
         stem = F.substr(w, F.lit(1), F.length(w) - F.length(tail))
         step = lambda s, i: F.when((i == 0) | F.array_contains(listed, F.concat(s, tail)), derange(s, key, alphabets, F.lit(False))).otherwise(s)
-        return F.concat(F.aggregate(F.sequence(F.lit(0), F.lit(5)), stem, step), tail)
+        some = F.aggregate(F.sequence(F.lit(0), F.lit(2)), stem, step)
+        # A permutation leaves the lists after no more steps than they have words.
+        rest = lambda s: F.when(F.array_contains(listed, F.concat(s, tail)), F.aggregate(F.sequence(F.lit(1), F.size(listed)), s, step)).otherwise(s)
+        return F.concat(_let(some, rest), tail)
 
-    return F.coalesce(_given(w, key), _let(end, moved))
+    return F.when(w.isin(*PARTICLES), w).otherwise(F.coalesce(_given(w, key), _let(end, moved)))
 
 
 def kind_of(e: Column) -> Column:
     whole = lambda p: e.rlike(rf"^(?:{p})$")
     return (
-        F.when(whole(EMAIL), "email").when(whole(AWS), "access_key").when(whole(IP), "ip").when(whole(SSN), "ssn")
+        F.when(whole(f"{MAC}|{IPV6}"), "hex").when(whole(ABROAD), "phone").when(whole(EMAIL), "email").when(whole(AWS), "access_key").when(whole(IP), "ip").when(whole(SSN), "ssn")
         .when(whole(CARD), "card").when(whole(PHONE), "phone").when(whole(IBAN), "iban")
-        .when(whole(rf"{_WORD}(?: {_WORD})?|{_FAR}"), "name").when(whole("[0-9a-f]+|[0-9A-F]+"), "hex").otherwise("secret")
+        .when(whole(rf"{_SMALL}{_WORDS}|{_FAR}"), "name").when(whole("[0-9a-f]+|[0-9A-F]+"), "hex").otherwise("secret")
     )
 
 
@@ -217,7 +231,7 @@ def surrogate(e: Column, kind: Column, key: Column) -> Column:
     from the right ones.  What has nothing to move gets a keyed word.
     """
     keyed = F.concat(key, F.lit("|"), kind)
-    fixed = F.when(kind.isin("phone", "access_key", "iban"), r"^(?:\+\d{1,3}(?=[ .(-])|AKIA|[A-Z]{2}\d{2})?").otherwise(F.lit("^"))
+    fixed = F.when(kind.isin("phone", "access_key", "iban"), r"^(?:(?:\+|00)\d{1,3}(?=[ .(-])|AKIA|[A-Z]{2}\d{2})?").otherwise(F.lit("^"))
     last = F.when(kind == "email", r"\.[^.]*$").when(kind == "card", r"\d$").otherwise(F.lit("$"))
     sets = [F.array(*map(F.lit, x)) for x in (SPOKEN, HEX, ALPHABETS, (*ALPHABETS, SIGNS))]
     alphabets = F.when(kind == "name", sets[0]).when(kind == "hex", sets[1]).when(kind == "secret", sets[3]).otherwise(sets[2])
