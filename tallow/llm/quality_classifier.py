@@ -3,8 +3,9 @@
 Trusted positives and unlabelled web text of an estimated class prior train a
 linear model on binned text statistics by minimising the non-negative
 unbiased risk: ``pi R+_p + max(0, R-_u - pi R-_p)``, with the step reversed
-where the part in brackets falls below zero (Kiryo et al. 2017).  Training
-rows are a bounded, documented sample; every text is scored whole.
+where the part in brackets falls below zero (Kiryo et al. 2017).  Labelled
+rows are a bounded, documented sample, unlabelled rows all teach; every text
+is scored whole.
 """
 
 from __future__ import annotations
@@ -13,14 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallow.llm import scratch
 from tallow.llm.textbatch import ALNUM, NOT_SPACE, Words, chunks
 
-#: Rows of either kind that the weights are fitted on at most: those of least hash.
+#: Labelled positives that the weights are fitted on at most: those of least hash.  Unlabelled rows all count.
 SAMPLE = 20_000
+#: Newton steps of a fit at most, the pull of weights to 0, and the furthest that a weight goes in a step.
+STEPS, DECAY, LONGEST = 10, 1e-3, 3.0
+#: Groups in which the sums of tasks are put together before they meet at the driver.
+GROUPS = 16
 #: Score bins in which positives and unlabelled rows are counted for the class prior.
 GRID = 2000
 NAMES = ("n_words", "word_len", "symbols", "upper", "digits", "marks", "pipes", "distinct", "repeats", "top_word", "lines", "far", "bare", "shouts")
@@ -122,43 +128,86 @@ def grid(scores: np.ndarray) -> np.ndarray:
     return np.minimum((scores * GRID).astype(np.int64), GRID - 1)
 
 
-def _fit(model: Model, p: np.ndarray, u: np.ndarray, prior: float | None, steps: int = 800, rate: float = 0.1, decay: float = 1e-5) -> None:
-    """Adam on the non-negative risk with logistic loss; without prior on plain positive against unlabelled."""
-    a, b = model.bins(p), model.bins(u)
-    theta = np.zeros(len(model.weight) + 1)
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+class _Sums:
+    """Loss of rows as negative at given weights, its gradient and its curvature, summed; n rows."""
 
-    def grad(idx: np.ndarray, g: np.ndarray) -> np.ndarray:
-        out = np.bincount(idx.ravel(), weights=np.repeat(g, idx.shape[1]), minlength=len(model.weight))
-        return np.append(out, g.sum())
+    def __init__(self, size: int):
+        self.n, self.loss, self.grad, self.hess = 0, 0.0, np.zeros(size), np.zeros((size, size))
 
-    for step in range(1, steps + 1):
-        zp, zu = theta[a].sum(1) + theta[-1], theta[b].sum(1) + theta[-1]
-        up = grad(a, (sig(zp) - 1) / len(a))  # loss of positives as positive
-        down = grad(b, sig(zu) / len(b))  # of unlabelled as negative
-        if prior is None:
-            g = up + down
-        else:
-            loss = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            rest = down - prior * grad(a, sig(zp) / len(a))
-            g = prior * up + rest if loss >= 0 else -rest
-        g = g + decay * np.append(theta[:-1], 0)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    model.weight, model.shift = theta[:-1], float(theta[-1])
+    def add(self, bins: np.ndarray, theta: np.ndarray) -> None:
+        size, z = len(theta), theta[bins].sum(1) + theta[-1]
+        s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        self.n, self.loss = self.n + len(z), self.loss + float(np.logaddexp(0, z).sum())
+        columns = [*bins.T.astype(np.int64), np.full(len(z), size - 1)]
+        for i, c in enumerate(columns):
+            self.grad += np.bincount(c, weights=s, minlength=size)
+            for j in range(i, len(columns)):
+                part = np.bincount(c * size + columns[j], weights=s * (1 - s), minlength=size * size).reshape(size, size)
+                self.hess += part if i == j else part + part.T
 
+    def row(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([self.n]), pa.array([self.loss]), pa.array([self.grad.tobytes()], pa.binary()), pa.array([self.hess.tobytes()], pa.binary())], ["n", "loss", "grad", "hess"])
 
-def start(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
-    """A model with bins and the weights that tell positives from unlabelled; all weights 0 if either is missing."""
-    both = np.concatenate([positive, unlabelled])
-    cuts = [np.unique(np.quantile(both[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) if len(both) else np.zeros(0) for k in range(len(NAMES))]
-    # Rare extremes, where junk is found, get bins of their own.
-    cuts = [np.unique(np.concatenate([c, np.quantile(both[:, k], [0.005, 0.02, 0.05, 0.95, 0.98, 0.995]) if len(both) else []])) for k, c in enumerate(cuts)]
-    model = Model(cuts, np.zeros(sum(len(c) + 1 for c in cuts)), 0.0)
-    if len(positive) and len(unlabelled):
-        _fit(model, positive, unlabelled, None)
-    return model
+    def take(self, n: int, loss: float, grad: bytes, hess: bytes) -> None:
+        self.n, self.loss = self.n + n, self.loss + loss
+        self.grad, self.hess = self.grad + np.frombuffer(grad), self.hess + np.frombuffer(hess).reshape(self.hess.shape)
+
+
+_SUMS = "n long, loss double, grad binary, hess binary"
+
+
+def _all_sums(rows: DataFrame, theta: np.ndarray) -> _Sums:
+    """The sums over all rows of bin numbers (part, bins): per task, then per group of tasks, then here."""
+    size = len(theta)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, part = _Sums(size), 0
+        for batch in batches:
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums.add(np.frombuffer(packed, np.int16).reshape(-1, len(NAMES)), theta)
+        if sums.n:
+            row = sums.row()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *row.columns], ["part", *row.schema.names])
+
+    def together(table: pa.Table) -> pa.Table:
+        sums = _Sums(size)
+        for row in zip(*(table.column(c).to_pylist() for c in ("n", "loss", "grad", "hess"))):
+            sums.take(*row)
+        return pa.Table.from_batches([sums.row()])
+
+    groups = rows.mapInArrow(each, "part long, " + _SUMS).withColumn("part", F.pmod("part", F.lit(GROUPS))).groupBy("part").applyInArrow(together, _SUMS)
+    out = _Sums(size)
+    for row in groups.collect():  # GROUPS at most
+        out.take(*row)
+    return out
+
+
+def _minimise(theta: np.ndarray, positive: np.ndarray, rows: DataFrame, prior: float | None, steps: int = STEPS, decay: float = DECAY) -> np.ndarray:
+    """Newton steps on the risk with logistic loss: plain positive against unlabelled, or with a prior the non-negative one.
+
+    The unclipped risk is convex, for the positives' part of it is linear.  A
+    step after which the part in brackets is negative is taken half back.
+    """
+    before = theta
+    for _ in range(steps):
+        u, p = _all_sums(rows, theta), _Sums(len(theta))
+        p.add(positive, theta)
+        x = np.bincount(positive.ravel(), minlength=len(theta)).astype(float)
+        x[-1] = p.n
+        if prior is None:
+            grad, hess = (p.grad - x) / p.n + u.grad / u.n, p.hess / p.n + u.hess / u.n
+        else:
+            if u.loss / u.n < prior * p.loss / p.n:
+                theta = (theta + before) / 2
+                continue
+            grad, hess = u.grad / u.n - prior * x / p.n, u.hess / u.n
+        ridge = np.append(np.full(len(theta) - 1, decay), 1e-9)
+        grad = grad + ridge * theta
+        if np.abs(grad).max() < 1e-6:
+            break
+        move = np.linalg.solve(hess + np.diag(ridge), grad)
+        before, theta = theta, theta - move * min(1.0, LONGEST / np.abs(move).max())
+    return theta
 
 
 def _score_rows(model):
@@ -190,11 +239,18 @@ def _least(stats: DataFrame, sample: int) -> list[DataFrame]:
     return [stats.where(near & (F.col("kind") == kind)).orderBy("h", "doc_id", "x").limit(sample) for kind in (0, 1)]
 
 
+def _cuts(rows: DataFrame) -> list[np.ndarray]:
+    """Inner edges of the bins of each statistic, by quantiles of all rows; rare extremes, where junk is found, get bins of their own."""
+    shares = sorted({*np.linspace(0, 1, BINS + 1)[1:-1].tolist(), 0.005, 0.02, 0.05, 0.95, 0.98, 0.995})
+    found = rows.agg(*[F.percentile_approx(F.get("x", F.lit(k)), F.array(*map(F.lit, shares)), 10_000).alias(f"q{k}") for k in range(len(NAMES))]).first()
+    return [np.unique(q) for q in found]
+
+
 def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, float]:
     """(model, class prior) from stats (doc_id, held_out, x).
 
-    The weights are fitted on a bounded sample; the prior is estimated from
-    the scores of all positives and all unlabelled rows.
+    Of the labelled positives a bounded sample teaches; bins, class prior and
+    every step of the weights go over all unlabelled rows.
     """
     spark = stats.sparkSession
     # Labels grow with the corpus: joined by shuffle, of keys and statistics only.
@@ -202,10 +258,22 @@ def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Mode
     kind = F.when(F.col("quality").isNull(), 0).when(F.col("quality") == 1, 1).alias("kind")
     taught = stats.where("NOT held_out").join(known, "doc_id", "left").select(kind, F.xxhash64("doc_id").alias("h"), "doc_id", "x").where("kind IS NOT NULL")
     taught = scratch.table(taught, "taught")
-    u, p = (np.array([r[0] for r in few.select("x").collect()]).reshape(-1, len(NAMES)) for few in _least(taught, sample))
-    model = start(p, u)
-    if not len(p) or not len(u):
-        return model, 0.5
+    p = np.array([r[0] for r in _least(taught, sample)[1].select("x").collect()]).reshape(-1, len(NAMES))
+    if not len(p) or not taught.where("kind = 0").limit(1).count():
+        return Model([np.zeros(0)] * len(NAMES), np.zeros(len(NAMES)), 0.0), 0.5
+    cuts = _cuts(taught)
+    model = Model(cuts, np.zeros(sum(len(c) + 1 for c in cuts)), 0.0)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for batch in batches:
+            x = np.asarray(batch.column(0).flatten()).reshape(-1, len(NAMES))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([model.bins(x).astype(np.int16).tobytes()], pa.binary())], ["part", "bins"])
+
+    rows = scratch.table(taught.where("kind = 0").select("x").mapInArrow(packed, "part long, bins binary"), "bins")
+    positive = model.bins(p)
+    theta = _minimise(np.zeros(len(model.weight) + 1), positive, rows, None)
+    model.weight, model.shift = theta[:-1], float(theta[-1])
     shared = spark.sparkContext.broadcast(model)
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,17 +285,16 @@ def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Mode
     for k, b, n in taught.select("kind", "x").mapInArrow(bins, "kind int, bin long").groupBy("kind", "bin").count().collect():
         counts[k, b] = n
     prior = class_prior(counts[1], counts[0])
-    _fit(model, p, u, prior)
-    return model, prior
+    theta = _minimise(theta, positive, rows, prior)
+    return Model(cuts, theta[:-1], float(theta[-1])), prior
 
 
 def score(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs (doc_id, text, ...).
 
     held_out rows (crc32 of doc_id as text divisible by five) teach nothing.
-    Positives are the others labelled quality 1, unlabelled those without a
-    label; the weights are fitted on the ``sample`` rows of least hash of each,
-    the class prior on all of them.  A document labelled twice counts twice; a
+    Positives are the others labelled quality 1, of which the ``sample`` rows of
+    least hash teach; unlabelled are those without a label, which all do.  A document labelled twice counts twice; a
     null or empty text has the statistics of no words; a null doc_id is scored
     and not held out; empty tables give an empty result or scores of one half.
     """
