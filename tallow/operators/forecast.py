@@ -30,6 +30,23 @@ def future(features: DataFrame, predict: Callable[[DataFrame], DataFrame], model
     return out.select("Ticker", F.lit(model).alias("model"), (F.col("pos") + 1).alias("step"), F.coalesce("p", "Close").alias("y_pred"))
 
 
+def futures(features: DataFrame, models: dict[str, Callable[[DataFrame], DataFrame]], horizon: int, transform: str = "log_return") -> DataFrame:
+    """(Ticker, model, step, y_pred, note) of all models and of naive, each ticker's last price.
+
+    A model that fails has the last price for all steps too, and its error as note.
+    """
+    last = features.groupBy("Ticker").agg(F.max_by("Close", "Datetime").alias("p"))
+    flat = lambda m, note: last.select("Ticker", F.lit(m).alias("model"), F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"), F.col("p").alias("y_pred"), F.lit(note).cast("string").alias("note"))
+    out = flat("naive", None)
+    for name, predict in models.items():
+        try:
+            made = scratch.table(future(features, predict, name, transform).withColumn("note", F.lit(None).cast("string")), "future")  # fails here, if at all
+        except Exception as e:  # one model's failure is a note, not the end of the run
+            made = flat(name, f"{type(e).__name__}: {e}"[:200])
+        out = out.union(made)
+    return out
+
+
 def recursive(histories: DataFrame, features: Callable[[Column], dict[str, Column]], model: LinearForecaster, steps: int, transform: str = "log_return") -> DataFrame:
     """histories (Ticker, history: array<double>) with forecast: block after block of the model's horizon, each fed with the prices before.
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tallow.functions import scratch
 from tallow.functions.windows import series, whole
-from tallow.operators.features import apply_scaler, fit_scaler
+from tallow.operators.features import apply_scaler, fit_means, fit_scaler, impute
 
 
 @dataclass
@@ -82,7 +82,6 @@ REGRESSORS: dict[str, Callable[..., Estimator]] = {
 }
 CLASSIFIERS: dict[str, Callable[..., Estimator]] = {
     "random_forest": lambda **k: RandomForestClassifier(**({"numTrees": 30, "maxDepth": 6, "seed": 42, "labelCol": "label"} | k)),
-    "svc": lambda **k: OneVsRest(classifier=LinearSVC(**({"maxIter": 20, "regParam": 0.1} | k)), labelCol="label"),
     "perceptron": lambda layers, **k: MultilayerPerceptronClassifier(**({"layers": layers, "maxIter": 40, "seed": 42, "labelCol": "label"} | k)),
 }
 
@@ -91,9 +90,16 @@ def available_models() -> list[str]:
     return sorted(["linear", *REGRESSORS, *CLASSIFIERS])
 
 
-def fit_steps(name: str, rows: DataFrame, features: list[str], steps: int, **params) -> list[Model]:
-    """One regressor per step."""
+def fit_steps(name: str, rows: DataFrame, features: list[str], steps: int, validation: float = 0.0, **params) -> list[Model]:
+    """One regressor per step.
+
+    With a validation share, boosting stops where trees no longer lower the
+    loss of that share of the rows, chosen by a hash of their features.
+    """
     vec = assemble(rows, features)
+    if validation:
+        params = {"validationIndicatorCol": "__held"} | params
+        vec = vec.withColumn("__held", F.pmod(F.xxhash64(*features), F.lit(1000)) < int(1000 * validation))
     return [REGRESSORS[name](labelCol="label", **params).fit(vec.withColumn("label", F.get("y", F.lit(k)))) for k in range(steps)]
 
 
@@ -229,26 +235,99 @@ def kernel_ridge(rows: DataFrame, features: list[str], steps: int, alpha: float
     return LinearForecaster.fit(add(rows), [f"rff_{j}" for j in range(count)], steps, ridge=alpha), add
 
 
-def train_classifiers(train: DataFrame, test: DataFrame, features: list[str], names: list[str], label: str = "trend") -> tuple[DataFrame, list[tuple[str, str]]]:
-    """(model, y_true, y_pred) on the test rows, and (model, error) of those that are unknown or failed."""
+def train_classifiers(train: DataFrame, test: DataFrame, features: list[str], names: list[str], label: str = "trend", params: dict[str, dict] | None = None) -> tuple[DataFrame | None, list[tuple[str, str]]]:
+    """(model, y_true, y_pred) on the test rows, and (model, error) of those that are unknown or failed.
+
+    Gaps take the training means, features are scaled by training rows; params
+    has, by model, what replaces its defaults.
+    """
+    means = fit_means(train, features)
+    fill = lambda df: impute(df.withColumn("label", F.col(label).cast("double")), means, features)
     scale = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)])
-    prep = scale.fit(train)
-    a = prep.transform(train.withColumn("label", F.col(label).cast("double"))).select("features", "label")
-    b = prep.transform(test.withColumn("label", F.col(label).cast("double"))).select("features", "label")
+    a, b = fill(train), fill(test)
+    prep = scale.fit(a)
+    a, b = (scratch.table(prep.transform(df).select("features", "label"), "classes") for df in (a, b))
     out, failed = None, []
     for n in names:
         if n not in CLASSIFIERS:
             failed.append((n, "unknown model"))
             continue
         try:
-            est = CLASSIFIERS[n](layers=[len(features), 16, 3]) if n == "perceptron" else CLASSIFIERS[n]()
-            p = est.fit(a).transform(b).select(F.lit(n).alias("model"), F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
+            own = ({"layers": [len(features), 16, 3]} if n == "perceptron" else {}) | (params or {}).get(n, {})
+            p = CLASSIFIERS[n](**own).fit(a).transform(b).select(F.lit(n).alias("model"), F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
             out = p if out is None else out.union(p)
         except Exception as e:  # one model's failure is a row, not the end of the run
-            failed.append((n, str(e)[:200]))
+            failed.append((n, f"{type(e).__name__}: {e}"[:200]))
     return out, failed
 
 
+def classifier_report(spark: SparkSession, predicted: DataFrame | None, failed: list[tuple[str, str]]) -> DataFrame:
+    """(model, y_true, y_pred, n, error): the counts of each model, and a row for each that failed."""
+    rows = spark.createDataFrame([(m, None, None, None, e) for m, e in failed], "model string, y_true int, y_pred int, n long, error string")
+    if predicted is None:
+        return rows
+    counts = predicted.groupBy("model", "y_true", "y_pred").agg(F.count("*").alias("n"))
+    return counts.withColumn("error", F.lit(None).cast("string")).union(rows)
+
+
+class KernelSVC:
+    """One linear machine for each class on random features of a Gaussian kernel; gamma as in exp(-gamma distance^2), None: one over the number of features."""
+
+    def __init__(self, C: float = 1.0, gamma: float | None = None, count: int = 64, seed: int = 42, maxIter: int = 20):
+        self.C, self.gamma, self.count, self.seed, self.steps = C, gamma, count, seed, maxIter
+
+    def _front(self, rows: DataFrame) -> DataFrame:
+        names = [f"__x{j}" for j in range(self.width)]
+        wide = rows.withColumn("__a", vector_to_array("features")).select("*", *[F.get("__a", F.lit(j)).alias(c) for j, c in enumerate(names)])
+        wide = random_features(wide, names, self.count, self.gamma or 1.0 / self.width, self.seed)
+        lifted = [f"rff_{j}" for j in range(self.count)]
+        return VectorAssembler(inputCols=lifted, outputCol="__rff").transform(wide).drop("__a", *names, *lifted)
+
+    def fit(self, rows: DataFrame) -> "KernelSVC":
+        self.width = rows.select(F.size(vector_to_array("features"))).first()[0]
+        lifted = scratch.table(self._front(rows).select("__rff", "label"), "lifted")
+        n = max(1, lifted.count())
+        # The penalty of the whole, C, as one of the mean loss.
+        machine = OneVsRest(classifier=LinearSVC(maxIter=self.steps, regParam=1.0 / (self.C * n)), labelCol="label", featuresCol="__rff")
+        self.model = machine.fit(lifted)
+        return self
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return self.model.transform(self._front(rows)).drop("__rff")
+
+
+CLASSIFIERS["svc"] = lambda **k: KernelSVC(**k)
+CLASSIFIERS["linear_svc"] = lambda **k: OneVsRest(classifier=LinearSVC(**({"maxIter": 20, "regParam": 0.1} | k)), labelCol="label")
+
+
+def search_classifier(name: str, train: DataFrame, test: DataFrame, features: list[str], space: dict[str, list], label: str = "trend", most: int | None = None, seed: int = 42) -> tuple[DataFrame, dict]:
+    """(every choice's accuracy on test rows, the best choice): one fit a choice, of equal ones the first."""
+    rows = []
+    for choice in grid(space, most, seed):
+        out, failed = train_classifiers(train, test, features, [name], label, {name: choice})
+        accuracy = None if failed else out.agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double"))).first()[0]
+        rows.append((choice, accuracy))
+    best = max(rows, key=lambda r: -1.0 if r[1] is None else r[1])[0]
+    named = [(", ".join(f"{k}={v}" for k, v in c.items()), a) for c, a in rows]
+    return train.sparkSession.createDataFrame(named, "choice string, accuracy double"), best
+
+
+def model_parameters(name: str, config: dict | None = None, overrides: dict | None = None) -> dict:
+    """Parameters of a model: the config's first section that has it, then overrides.
+
+    Sections in order: model_hyperparameters (as regressor_name), model_zoo,
+    advanced_models; of the latter two what stands under params, if there is
+    such an entry.
+    """
+    config = config or {}
+    own = config.get("model_hyperparameters", {}).get(f"regressor_{name}") or {}
+    for section in ("model_zoo", "advanced_models"):
+        if not own:
+            held = config.get(section, {}).get(name) or {}
+            own = held.get("params", held)
+    return own | (overrides or {})
+
+
 def pca_features(rows: DataFrame, features: list[str], share: float | int) -> tuple[DataFrame, list[float]]:
     """rows with PCA_1 ...: gaps as 0, columns centred, signs by the largest loading; share below 1 is the variance to keep."""
     means = rows.agg(*[F.avg(F.coalesce(c, F.lit(0.0))).alias(c) for c in features]).first()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.ml.functions import vector_to_array
@@ -24,6 +25,7 @@ from tallow.plans import evaluation_queries as EQ
 from tallow.plans.evaluation_queries import query
 from tallow.plans.oracle import EVENT_CANDLES as EC
 from tallow.sources import candles as C
+from tallow.sources.sinks import read_results, write_results
 
 QUERIES, ORACLES = {}, {}
 _before = set(EQ.QUERIES)
@@ -73,8 +75,45 @@ for _name in ("linear", "elastic_net", "boosted_trees", "kernel_ridge"):
 @query("model_classifiers", None)
 def model_classifiers(spark, sf_dir):
     rows = Y.trend_labels(_samples(spark, sf_dir), 5, 0.03)
-    out, _ = L.train_classifiers(rows.where("split = 'train'"), rows.where("split = 'holdout'"), FEATURES, ["random_forest", "svc", "perceptron"])
-    return out.groupBy("model", "y_true", "y_pred").agg(F.count("*").alias("n"))
+    out, failed = L.train_classifiers(rows.where("split = 'train'"), rows.where("split = 'holdout'"), FEATURES, ["random_forest", "svc", "linear_svc", "perceptron", "no_such_model"])
+    return L.classifier_report(spark, out, failed)
+
+
+@query("classifier_gaps", None)
+def classifier_gaps(spark, sf_dir):
+    """Rows judged by a classifier, those with gaps in their features included."""
+    rows = Y.trend_labels(_samples(spark, sf_dir), 5, 0.03)
+    hold = rows.where("split = 'holdout'").withColumn(FEATURES[0], F.when(F.pmod(F.xxhash64("Ticker", "Datetime"), F.lit(3)) > 0, F.col(FEATURES[0])))
+    out, _ = L.train_classifiers(rows.where("split = 'train'"), hold, FEATURES, ["random_forest"], params={"random_forest": {"numTrees": 5}})
+    return out.groupBy("model").agg(F.count("*").alias("n"))
+
+
+@query("search_svc", None)
+def search_svc(spark, sf_dir):
+    rows = Y.trend_labels(_samples(spark, sf_dir), 5, 0.03).where("split = 'train'")
+    late = F.percent_rank().over(Window.partitionBy("Ticker").orderBy("Datetime")) > 0.8
+    rows = scratch.table(rows.withColumn("late", late), "labelled")
+    tried, best = L.search_classifier("svc", rows.where("NOT late"), rows.where("late"), FEATURES, {"C": [0.1, 10.0], "gamma": [0.1, 1.0]})
+    return tried.withColumn("best", F.lit(", ".join(f"{k}={v}" for k, v in best.items())))
+
+
+@query("boosting_rounds", None)
+def boosting_rounds(spark, sf_dir):
+    """Trees that each step's boosting used before the validation rows stopped it, of at most 60."""
+    train = scratch.table(_train(_samples(spark, sf_dir)), "train")
+    models = L.fit_steps("boosted_trees", train, FEATURES, H, validation=0.2, maxIter=60, maxDepth=3)
+    return spark.createDataFrame([(k + 1, m.getNumTrees) for k, m in enumerate(models)], "step int, rounds int")
+
+
+@query("results_snapshot", f"SELECT model, n, '{{\"columns\": [\"sma_5_ratio\", \"rsi_14\", \"atr_normalized_14\"], \"horizon\": 2}}' AS config FROM (VALUES ('drift'), ('naive'), ('rolling_mean')) v(model), (SELECT sum(greatest(least(c, 40) - 3, 0))::BIGINT AS n FROM (SELECT count(*) AS c FROM ({EC}) GROUP BY Ticker))")
+def results_snapshot(spark, sf_dir):
+    """Metrics and the configuration that they were made with, written and read back."""
+    path = f"{scratch.root(spark)}/tallow/results-{uuid.uuid4().hex}"
+    hold = S.holdout_split(C.event_candles(spark, sf_dir), 40, 3).where("split = 'holdout'")
+    write_results(E.metrics(E.rolling_baselines(hold, 3), ["model"]), path, {"horizon": H, "columns": FEATURES})
+    metrics, config = read_results(spark, path)
+    n = F.col("n") / 3  # steps
+    return metrics.select("model", n.cast("long").alias("n"), F.lit(json.dumps(config, sort_keys=True)).alias("config"))
 
 
 @query("pca_features", None)
@@ -86,7 +125,8 @@ def pca_features(spark, sf_dir):
 @query("future_forecast", None)
 def future_forecast(spark, sf_dir):
     rows = _samples(spark, sf_dir)
-    return J.future(rows, L.LinearForecaster.fit(_train(rows), FEATURES, H).transform, "linear")
+    broken = lambda df: df.withColumn("y_pred", F.col("no_such_column"))
+    return J.futures(rows, {"linear": L.LinearForecaster.fit(_train(rows), FEATURES, H).transform, "broken": broken}, H)
 
 
 @query("recursive_forecast", None)

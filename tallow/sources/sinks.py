@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,16 @@ def write_training_set(rows: DataFrame, columns: list[str], horizon: int, transf
     rows.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
-def write_results(metrics: DataFrame, path: str) -> None:
-    """Metric rows as JSON lines."""
-    metrics.write.mode("overwrite").json(path)
+def write_results(metrics: DataFrame, path: str, config: dict | None = None) -> None:
+    """Metric rows as JSON lines; with a config its snapshot, one JSON line with sorted keys, below config."""
+    if config is None:
+        metrics.write.mode("overwrite").json(path)
+        return
+    metrics.write.mode("overwrite").json(f"{path}/metrics")
+    text = json.dumps(config, sort_keys=True, default=str)
+    metrics.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
+
+
+def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """The metric rows and the config that write_results stored with them."""
+    return spark.read.json(f"{path}/metrics"), json.loads(spark.read.text(f"{path}/config").first()[0])
