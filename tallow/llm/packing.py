@@ -12,7 +12,7 @@ the token sum over the capacity, has proved its solution and rests.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,32 +79,123 @@ def best_fit(items: list[int], size: list[int], bins: list[list[int]], capacity:
             insort(free, (room - size[i], k))
 
 
+def exchange(pool: list[int], size: list[int], bins: list[list[int]], capacity: int) -> list[int]:
+    """What is left of pool once bins are filled up from it: a bin takes a piece that fills its room, or a piece of the pool in place of a smaller one of its own.
+
+    A bin becomes fuller by each step and the pool's pieces smaller, which
+    find places more easily.  Bins are served from the fullest on; of the
+    exchanges of a bin the one that leaves the least room is made.
+    """
+    if not pool:
+        return pool
+    have = sorted((size[i], i) for i in pool)
+    room = [capacity - sum(size[i] for i in b) for b in bins]
+    for k in sorted(range(len(bins)), key=room.__getitem__):
+        left, b = room[k], bins[k]
+        if not left:
+            continue
+        at = bisect_right(have, (left, len(size))) - 1
+        best, give = (left - have[at][0], None) if at >= 0 else (left, None)
+        take = at
+        for n, i in enumerate(b):
+            at = bisect_right(have, (size[i] + left, len(size))) - 1
+            if at >= 0 and have[at][0] > size[i] and size[i] + left - have[at][0] < best:
+                best, give, take = size[i] + left - have[at][0], n, at
+        if best == left:
+            continue
+        _, j = have.pop(take)
+        if give is None:
+            b.append(j)
+        else:
+            insort(have, (size[b[give]], b[give]))
+            b[give] = j
+        if not have:
+            break
+    return [i for _, i in have]
+
+
+def concentrate(bins: list[list[int]], size: list[int], capacity: int) -> None:
+    """Exchange pieces between bins until those that can be are full to the last token; what room there is gathers in few bins.
+
+    A bin takes, alone or for one of its own, the piece that leaves it the
+    least room, from a bin with no less room: fills grow more unlike with each
+    step, so the steps come to an end, and bins with much room can be emptied.
+    """
+    room = [capacity - sum(size[i] for i in b) for b in bins]
+    home = {i: k for k, b in enumerate(bins) if room[k] for i in b}
+    of: dict[int, set[int]] = {}
+    for i in home:
+        of.setdefault(size[i], set()).add(i)
+    sizes = sorted(of)
+    for k in sorted((k for k, r in enumerate(room) if r), key=room.__getitem__):
+        while room[k]:
+            best = (0, None, None)
+            for n in range(-1, len(bins[k])):
+                own = size[bins[k][n]] if n >= 0 else 0
+                at = bisect_right(sizes, own + room[k]) - 1
+                for x in sizes[max(at - NEAR, 0) : at + 1][::-1]:
+                    if x - own <= best[0]:
+                        break
+                    j = next((j for j in of[x] if home[j] != k and room[home[j]] >= room[k]), None)
+                    if j is not None:
+                        best = (x - own, n, j)
+            gain, n, j = best
+            if j is None:
+                break
+            other = home[j]
+            bins[other].remove(j)
+            if n >= 0:
+                i, bins[k][n] = bins[k][n], j
+                bins[other].append(i)
+                home[i] = other
+            else:
+                bins[k].append(j)
+            home[j] = k
+            room[k] -= gain
+            room[other] += gain
+        if not room[k]:
+            for i in bins[k]:
+                if i in home:
+                    of[size[i]].discard(i)
+    bins[:] = [b for b in bins if b]
+
+
+#: Sizes next to the wanted one that are looked at.
+NEAR = 8
+
+
 def fitness(bins: list[list[int]], size: list[int], capacity: int) -> tuple[int, float]:
     """Fewer bins first, then unevenly filled ones; less is better."""
     return len(bins), -sum((sum(size[i] for i in b) / capacity) ** 2 for b in bins)
 
 
+def _settled(child: list[list[int]], loose: list[int], size: list[int], capacity: int) -> list[list[int]]:
+    """child with the displaced pieces put back: by exchanges that fill bins, by best fit, and by exchanges between bins."""
+    best_fit(exchange(loose, size, child, capacity), size, child, capacity)
+    concentrate(child, size, capacity)
+    return child
+
+
 def crossover(a: list[list[int]], b: list[list[int]], size: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
-    """A child: b's well-filled bins in place of the bins of a that they touch; the rest by best fit."""
+    """A child: b's well-filled bins in place of the bins of a that they touch; the displaced pieces are put back."""
     full = sorted(b, key=lambda x: -sum(size[i] for i in x))
     few = full[: max(1, len(full) // 2)]
     at = sorted(rng.integers(0, len(few) + 1, 2).tolist())
     taken = few[at[0] : max(at[1], at[0] + 1)]
     own = {i for x in taken for i in x}
     child = [list(x) for x in taken] + [list(x) for x in a if not own.intersection(x)]
-    best_fit([i for x in a if own.intersection(x) for i in x if i not in own], size, child, capacity)
-    return child
+    return _settled(child, [i for x in a if own.intersection(x) for i in x if i not in own], size, capacity)
 
 
 def mutate(bins: list[list[int]], size: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
-    """Open the emptiest bin and a few others and put their pieces back."""
-    order = sorted(range(len(bins)), key=lambda k: sum(size[i] for i in bins[k]))
-    open_ = {order[0], *rng.integers(0, len(bins), min(len(bins), 4)).tolist()}
+    """Open the emptiest bin and a third of the others that have room, and put their pieces back."""
+    fill = [sum(size[i] for i in b) for b in bins]
+    loose_bins = [k for k, f in enumerate(fill) if f < capacity] or [0]
+    open_ = {min(loose_bins, key=fill.__getitem__), *rng.choice(loose_bins, len(loose_bins) // 3, replace=False).tolist()}
     child = [list(b) for k, b in enumerate(bins) if k not in open_]
     loose = [i for k in open_ for i in bins[k]]
     rng.shuffle(loose)
-    best_fit(loose, size, child, capacity)
-    return child
+    return _settled(child, loose, size, capacity)
 
 
 def evolve(size: list[int], elites: list[list[list[int]]], capacity: int, seed: int) -> list[list[int]]:
@@ -112,6 +203,7 @@ def evolve(size: list[int], elites: list[list[list[int]]], capacity: int, seed:
     bound = -(-sum(size) // capacity)
     first: list[list[int]] = []
     best_fit(list(range(len(size))), size, first, capacity)
+    concentrate(first, size, capacity)
     group = [*elites, first]
     best = min(group, key=lambda x: fitness(x, size, capacity))
     if len(best) <= bound:
