@@ -68,8 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over the whole table documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage over the whole table documents; a stage's texts are removed once the next has been written."""
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        docs, last = scratch.table(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-")), docs
+        if last is not before:
+            scratch.discard(last)
     return docs
