@@ -154,20 +154,36 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple,
         yield at, rows
 
 
+def _batches(rows: Iterator[tuple], types: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of bounded size."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 64 + sum(len(x) for x in row if isinstance(x, str)) + sum(len(y or "") for x in row if isinstance(x, list) for y in x if not isinstance(y, int))
+        if size > 4 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
+
+
 def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, stretch, place, initial, kind) in order to one row for each stretch."""
-    for (key, stretch), rows in _runs(batches, 2):
-        messages = [(initial, kind) for _, initial, kind in rows if kind != NONE]
-        cost, rank, audits = [], [], []
-        for start in range(4):
-            ends = fold(messages, start)
-            order = sorted(e[1] for e in ends if e is not None)
-            cost += [-1 if e is None else e[0] for e in ends]
-            rank += [-1 if e is None else order.index(e[1]) for e in ends]
-            audits += [None if e is None else e[1] for e in ends]
-        count = lambda k: sum(kind == k for _, kind in messages)  # noqa: E731, B023
-        values = [key, stretch, rows[0][0], cost, rank, audits, count(BLANK), count(DUPLICATE), count(TRUNCATED)]
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _MAP_TYPES)], _MAP_NAMES)
+
+    def mapped(batches):
+        for (key, stretch), rows in _runs(batches, 2):
+            messages = [(initial, kind) for _, initial, kind in rows if kind != NONE]
+            cost, rank, audits = [], [], []
+            for start in range(4):
+                ends = fold(messages, start)
+                order = sorted(e[1] for e in ends if e is not None)
+                cost += [-1 if e is None else e[0] for e in ends]
+                rank += [-1 if e is None else order.index(e[1]) for e in ends]
+                audits += [None if e is None else e[1] for e in ends]
+            kinds = [kind for _, kind in messages]
+            yield (key, stretch, rows[0][0], cost, rank, audits, kinds.count(BLANK), kinds.count(DUPLICATE), kinds.count(TRUNCATED))
+
+    yield from _batches(mapped(batches), _MAP_TYPES, _MAP_NAMES)
 
 
 _INTS = pa.list_(pa.int64())
@@ -176,11 +192,10 @@ _MAP_TYPES = [pa.string(), pa.int64(), pa.int64(), _INTS, _INTS, pa.list_(pa.str
 _MAP = "key string, stretch long, place long, cost array<long>, rank array<long>, audits array<string>, blank long, duplicate long, truncated long"
 
 
-def _route(table: pa.Table) -> pa.Table:
-    """The states that a conversation's best audit passes between its stretches, and what it costs."""
-    table = table.sort_by("stretch")
+def _route(stretches: list[tuple[int, list[int], list[int]]]) -> Iterator[tuple[int, int, int, int]]:
+    """By stretch (number, costs, ranks) of a conversation, in order: its number, the states that the best audit enters and leaves it in, closing insertions, the whole cost at the first."""
     tree, paths = Prefixes(), [(0, 0, ())] + [None] * 3  # cost, node of ranks, linked list of states
-    for cost, rank in zip(table.column("cost").to_pylist(), table.column("rank").to_pylist()):
+    for _, cost, rank in stretches:
         after = [None] * 4
         for s, path in enumerate(paths):
             for e in range(4):
@@ -200,9 +215,14 @@ def _route(table: pa.Table) -> pa.Table:
     while link:
         steps.append(4 * link[0] + link[1])
         link = link[2]
-    n = table.num_rows
-    closing = [0] * (n - 1) + [best[3]]
-    return pa.table({"key": table.column("key"), "stretch": table.column("stretch"), "step": pa.array(steps[::-1], pa.int32()), "closing": pa.array(closing, pa.int32()), "total": pa.array([best[0]] + [0] * (n - 1), pa.int64())})
+    for k, ((number, _, _), step) in enumerate(zip(stretches, reversed(steps))):
+        yield number, step, best[3] if k == len(stretches) - 1 else 0, best[0] if k == 0 else 0
+
+
+def _routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, stretch, cost, rank) in order to (key, stretch, step, closing, total)."""
+    rows = ((key, *found) for (key,), stretches in _runs(batches, 1) for found in _route(stretches))
+    yield from _batches(rows, [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64()], ["key", "stretch", "step", "closing", "total"])
 
 
 @dataclass
@@ -297,18 +317,7 @@ def _applied(types: list[pa.DataType], summaries: bool):
             yield now.summary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
-        for r in stream(batches):
-            rows.append(r)
-            size += 64 + sum(len(x) for x in r if isinstance(x, str))
-            if size > 4 << 20:
-                yield _batch(rows)
-                rows, size = [], 0
-        if rows:
-            yield _batch(rows)
-
-    def _batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+        yield from _batches(stream(batches), types, names)
 
     return run
 
@@ -367,7 +376,7 @@ def repair(messages: DataFrame, conversations: DataFrame | None = None) -> Repai
     marks = rows.join(first.hint("merge"), "place", "left").select("key", F.floor(F.col("place") / STRETCH).alias("stretch"), "place", F.substring("role", 1, 1).alias("initial"), kind.cast("int").alias("kind"))
     maps = marks.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "place").mapInArrow(_maps, _MAP)
     maps = scratch.table(maps, "maps")
-    steps = maps.select("key", "stretch", "cost", "rank").groupBy("key").applyInArrow(_route, "key string, stretch long, step int, closing int, total long")
+    steps = maps.select("key", "stretch", "cost", "rank").repartition("key").sortWithinPartitions("key", "stretch").mapInArrow(_routes, "key string, stretch long, step int, closing int, total long")
     audit = F.concat(F.get("audits", F.col("step")), F.repeat(F.lit("I"), F.col("closing")))
     chosen = maps.join(steps.hint("merge"), ["key", "stretch"]).select("place", audit.alias("audit"), "blank", "duplicate", "truncated", "total")
     chosen = scratch.table(chosen, "chosen")
