@@ -33,20 +33,21 @@ def _edges(df: DataFrame) -> DataFrame:
     return scratch.table(df.where("u != v").distinct(), "edges")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Every upper end has one edge, and no vertex is an upper and a lower end: the lower ends are the components."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every vertex in links; component is its least id.
 
     Null ends and loops are ignored; repeated links count once; an empty table
-    gives an empty one.  The rounds end when one changes no edge.
+    gives an empty one.  The rounds end when all edges form stars.
     """
-    edges = _edges(links.select(F.col(a).alias("u"), F.col(b).alias("v")))
-    count = edges.count()
-    while count:
-        old, before = edges, count
+    edges = _edges(links.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
+    while not _stars(edges):
         edges = _edges(_small(_edges(_large(edges))))
-        count = edges.count()
-        if count == before and not edges.join(old, ["u", "v"], "left_anti").limit(1).count():
-            break
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
-        edges.select(F.col("v").alias("id"), F.col("v").alias("component"))
-    ).distinct()
+    centres = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
+    return scratch.table(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(centres), "linked")

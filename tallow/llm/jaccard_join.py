@@ -225,12 +225,27 @@ def _overlap(pct: int, n):
     return pct * n
 
 
-def _cells(prefix: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Prefix rows with their cell, and the matrix's prefix part: (tok, cell, low, high, rest)."""
-    full = prefix.join(comp.hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    full = full.withColumn("cell", F.xxhash64("g", "component"))
-    matrix = full.groupBy("tok", "cell", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
-    return full, matrix
+def _members(comp: DataFrame) -> DataFrame:
+    """(fp, n, g, component, cell) of every class, written; component may be null, then the class is one by itself."""
+    own = F.coalesce("component", "fp")
+    return scratch.table(comp.select("fp", "n", "g", own.alias("component"), F.xxhash64("g", own).alias("cell")), "members")
+
+
+def _merged(member: DataFrame, links: DataFrame) -> DataFrame:
+    """member with the components joined that links lead across; the same table if none does."""
+    ends = [member.select(F.col("fp").alias(x), F.col("component").alias(f"c{x}")).hint("merge") for x in "ab"]
+    # Only components are vertices here: links within them were followed before.
+    comp = components(links.join(ends[0], "a").join(ends[1], "b"), "ca", "cb")
+    if comp.isEmpty():
+        return member
+    comp = comp.select(F.col("id").alias("component"), F.col("component").alias("least"))
+    return _members(member.join(comp, "component", "left").select("fp", "n", "g", F.coalesce("least", "component").alias("component")))
+
+
+def _matrix(prefix: DataFrame, member: DataFrame) -> DataFrame:
+    """The matrix's prefix part: (tok, cell, component, low, high, rest)."""
+    full = prefix.join(member.select("fp", "n", "component", "cell").hint("merge"), "fp")
+    return full.groupBy("tok", "cell", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
 
 
 def _cell_pairs(matrix: DataFrame, pct: int) -> DataFrame:
@@ -241,16 +256,23 @@ def _cell_pairs(matrix: DataFrame, pct: int) -> DataFrame:
     return met.select(F.col("cell_x").alias("x"), F.col("cell_y").alias("y")).distinct()
 
 
-def links(docs: DataFrame, k: int = 5, pct: int = 75, classes: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) between class fingerprints that span every component."""
+def linked_classes(docs: DataFrame, k: int = 5, pct: int = 75, classes: DataFrame | None = None) -> DataFrame:
+    """(fp, component) of the classes that can link; component is the least fingerprint reachable by links.
+
+    Each step is written, and one that leaves nothing ends the search: a plan of
+    many joins costs the driver memory by its exchanges and by its repeated
+    planning, whatever the rows.  Between the steps the driver collects its
+    garbage, with which go the shuffle files of those before.
+    """
     if classes is None:
         classes = document_classes(docs, k).where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     some = _survivors(docs, classes, k, pct)
     raw = scratch.table(_sets(docs, some, k), "sets")
     sets = scratch.table(_ordered(raw, pct), "ordered")
+    scratch.release(docs.sparkSession)
     take = (F.col("n") - F.ceil(F.col("n") * pct / 100.0) + 1 - (F.col("n") - F.col("s"))).cast("int")
-    prefix = sets.select("fp", "n", "s", "g", F.posexplode(F.slice("toks", F.lit(1), F.greatest(take, F.lit(0)))).alias("pos", "tok"))
-    prefix = scratch.table(prefix.select("fp", "n", "g", "tok", (F.col("s") - F.col("pos")).alias("rest")), "prefix")
+    prefix = sets.select("fp", "s", F.posexplode(F.slice("toks", F.lit(1), F.greatest(take, F.lit(0)))).alias("pos", "tok"))
+    prefix = scratch.table(prefix.select("fp", "tok", (F.col("s") - F.col("pos")).alias("rest")), "prefix")
 
     # Pivots of each group: the member with the fewest tokens of its own, by thirds of the fingerprints.
     score = F.struct((F.col("n") - F.col("s")).alias("own"), F.col("fp").alias("fp"))
@@ -260,38 +282,45 @@ def links(docs: DataFrame, k: int = 5, pct: int = 75, classes: DataFrame | None
     # Written first: with an exchange of its own, the join below may split a group of very many members.
     pivots = scratch.table(pivots, "pivots")
     stars = sets.select("g", F.col("fp").alias("a")).join(pivots.hint("merge"), "g").where("a != b").select("a", "b")
-    found = scratch.table(_verified(stars, sets, pct), "stars")
-    comp = components(found).withColumnRenamed("id", "fp")
+    comp = components(scratch.table(_verified(stars, sets, pct), "stars"))
+    member = _members(sets.select("fp", "n", "g").join(comp.withColumnRenamed("id", "fp").hint("merge"), "fp", "left"))
+    scratch.release(docs.sparkSession)
 
     # The same between cells that share a prefix token.
-    full, matrix = _cells(prefix, comp)
-    heads = sets.join(full.select("fp", "cell").distinct().hint("merge"), "fp").groupBy("cell").agg(F.min(score)["fp"].alias("fp"))
-    met = _cell_pairs(matrix, pct)
-    met = met.join(heads.select(F.col("cell").alias("x"), F.col("fp").alias("a")), "x").join(heads.select(F.col("cell").alias("y"), F.col("fp").alias("b")), "y")
-    found = scratch.table(found.union(_verified(met, sets, pct)), "stars")
-    comp = components(found).withColumnRenamed("id", "fp")
+    met = scratch.table(_cell_pairs(_matrix(prefix, member), pct), "cells")
+    if met.isEmpty():
+        return member.select("fp", "component")
+    heads = sets.select("fp", score.alias("score")).join(member.select("fp", "cell").hint("merge"), "fp").groupBy("cell").agg(F.min("score")["fp"].alias("fp"))
+    heads = scratch.table(heads, "heads")
+    pairs = met.join(heads.select(F.col("cell").alias("x"), F.col("fp").alias("a")), "x").join(heads.select(F.col("cell").alias("y"), F.col("fp").alias("b")), "y")
+    pairs = scratch.table(pairs.select("a", "b"), "heads-met")
+    before, member = member, _merged(member, scratch.table(_verified(pairs, sets, pct), "stars"))
+    scratch.release(docs.sparkSession)
 
     # What is left: each class of the one cell queries the other's union; cells that qualify are opened.
-    full, matrix = _cells(prefix, comp)
-    member = scratch.table(full.select("fp", "n", "cell").distinct(), "members")
-    met = scratch.table(_cell_pairs(matrix, pct), "cells")
-    stats = member.groupBy("cell").agg(F.count("*").alias("m"), F.min("n").alias("low"), F.max("n").alias("high"))
-    sides = met.join(stats.select(F.col("cell").alias("x"), F.col("m").alias("mx")), "x").join(stats.select(F.col("cell").alias("y"), F.col("m").alias("my")), "y")
-    small = F.col("mx") <= F.col("my")
-    sides = sides.select(F.when(small, F.col("x")).otherwise(F.col("y")).alias("q"), F.when(small, F.col("y")).otherwise(F.col("x")).alias("cell"))
-    query = sides.join(member.select(F.col("cell").alias("q"), F.col("fp").alias("a"), F.col("n").alias("na")), "q").join(stats, "cell")
+    if member is not before:
+        met = scratch.table(_cell_pairs(_matrix(prefix, member), pct), "cells")
+    stats = scratch.table(member.groupBy("cell").agg(F.count("*").alias("m"), F.min("n").alias("low"), F.max("n").alias("high")), "sizes")
+    x, y = (stats.select(F.col("cell").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("m", "low", "high")]) for s in "xy")
+    small = F.col("m_x") <= F.col("m_y")
+    other = [F.when(small, F.col(f"{c}_y")).otherwise(F.col(f"{c}_x")).alias(c) for c in ("m", "low", "high")]
+    sides = met.join(x, "x").join(y, "y").select(F.when(small, F.col("x")).otherwise(F.col("y")).alias("q"), F.when(small, F.col("y")).otherwise(F.col("x")).alias("cell"), *other)
+    query = sides.join(member.select(F.col("cell").alias("q"), F.col("fp").alias("a"), F.col("n").alias("na")), "q")
     query = query.where((100 * F.col("high") >= pct * F.col("na")) & (100 * F.col("na") >= pct * F.col("low"))).select("cell", "a", "na", "low", "m")
     query = scratch.table(query, "queries")
+    if query.isEmpty():
+        return member.select("fp", "component")
     many = query.where("m > 1")
     union = sets.select("fp", F.explode("toks").alias("tok")).join(member.join(many.select("cell").distinct(), "cell", "left_semi").select("fp", "cell"), "fp")
     union = union.select("cell", "tok").distinct()
     asked = many.join(sets.select(F.col("fp").alias("a"), "toks").hint("merge"), "a").select("cell", "a", "na", "low", F.explode("toks").alias("tok"))
     bound = asked.join(union.hint("merge"), ["cell", "tok"]).groupBy("cell", "a", "na", "low").agg(F.count("*").alias("o"))
     bound = bound.where(F.col("o") * (100 + pct) >= _overlap(pct, F.col("na") + F.col("low"))).select("cell", "a", "na")
-    opened = query.where("m = 1").select("cell", "a", "na").union(bound)
+    opened = scratch.table(query.where("m = 1").select("cell", "a", "na").union(bound), "opened")
     fits = (100 * F.col("nb") >= pct * F.col("na")) & (100 * F.col("na") >= pct * F.col("nb"))
     pairs = opened.join(member.select("cell", F.col("fp").alias("b"), F.col("n").alias("nb")).hint("merge"), "cell").where(fits).select("a", "b").distinct()
-    return scratch.table(found.union(_verified(pairs, sets, pct)), "links")
+    pairs = scratch.table(pairs, "opened-pairs")
+    return _merged(member, scratch.table(_verified(pairs, sets, pct), "links")).select("fp", "component")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
@@ -309,9 +338,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
     classes = scratch.table(classes, "class")
     if classes.where("lo != hi").limit(1).count():
         raise RuntimeError("two different sets have one fingerprint; choose another seed in textbatch")
-    comp = components(links(docs, k, pct, classes))
+    comp = linked_classes(docs, k, pct, classes)
     # Written: a component of very many classes may then be split, and what is small be sent to all.
-    named = scratch.table(classes.select("fp", "rep").join(comp.withColumnRenamed("id", "fp").hint("merge"), "fp"), "named")
+    named = scratch.table(classes.select("fp", "rep").join(comp.hint("merge"), "fp"), "named")
     least = scratch.table(named.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
     linked = named.join(least, "component").select("fp", "component_id")
     named = linked.union(classes.join(named, "fp", "left_anti").select("fp", F.col("rep").alias("component_id")))
